@@ -27,112 +27,90 @@ class Running:
 class OrderedScan:
     """Running values and neighbours of rows in key order.
 
-    ``keys`` partition the rows, ``order`` is total inside a key, ``segment`` is a monotone coarse prefix of it.
+    ``keys`` partition the rows, ``order`` (ascending) is total inside a key, ``segment`` is a monotone coarse prefix
+    of it. One call of ``compute`` costs one shuffle of the rows and one small join, however many outputs it has.
     """
 
     def __init__(self, keys: Sequence[str], order: Sequence[Column], segment: Column):
         self.keys, self.order, self.segment = list(keys), list(order), segment
 
-    def _local(self, before_only: bool) -> Window:
-        end = -1 if before_only else 0
-        return (
-            Window.partitionBy(*self.keys, "_segment").orderBy(*self.order).rowsBetween(Window.unboundedPreceding, end)
-        )
-
-    def _carry_window(self) -> Window:
-        return Window.partitionBy(*self.keys).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
-
-    def _attach(self, df: DataFrame, summary: DataFrame, carried: dict[str, Column]) -> DataFrame:
-        """Carry the summaries of earlier segments to each segment and join them to the rows."""
-        w = self._carry_window()
-        carry = summary.select(*self.keys, "_segment", *[e(w).alias(n) for n, e in carried.items()])
-        names = {k: f"_k{i}" for i, k in enumerate([*self.keys, "_segment"])}
-        carry = carry.withColumnsRenamed(names)
-        on = None
-        for k, r in names.items():
-            same = df[k].eqNullSafe(carry[r])
-            on = same if on is None else on & same
-        return df.join(carry, on, "left").drop(*names.values())
-
-    def running(self, df: DataFrame, **outputs: Running) -> DataFrame:
-        """Adds one column per named running aggregate."""
+    def compute(
+        self,
+        df: DataFrame,
+        running: dict[str, Running] | None = None,
+        previous: dict[str, Column] | None = None,
+        following: dict[str, Column] | None = None,
+    ) -> DataFrame:
+        """Adds running aggregates, values of the row before and values of the row after, by name."""
+        running, previous, following = running or {}, previous or {}, following or {}
         df = df.withColumn("_segment", self.segment)
-        local, summary_aggs, carried = {}, [], {}
-        order_struct = F.struct(*[c for c in self._order_values()])
-        for name, r in outputs.items():
-            w = self._local(not r.inclusive)
+        inside = Window.partitionBy(*self.keys, "_segment").orderBy(*self.order)
+        segments = Window.partitionBy(*self.keys).orderBy("_segment")
+        earlier = segments.rowsBetween(Window.unboundedPreceding, -1)
+        place = F.struct(*self.order)
+        local: dict[str, Column] = {}
+        summary: list[Column] = []
+        carried: dict[str, Column] = {}
+        merged: dict[str, Column] = {}
+        for name, r in running.items():
+            frame = inside.rowsBetween(Window.unboundedPreceding, 0 if r.inclusive else -1)
             value = r.column if r.column is not None else F.lit(1)
+            here, before = F.col(f"_l_{name}"), F.col(f"_c_{name}")
             if r.fn in ("sum", "count"):
                 agg = F.sum if r.fn == "sum" else F.count
-                local[name] = agg(value).over(w)
-                summary_aggs.append(agg(value).alias(f"_s_{name}"))
-                carried[f"_c_{name}"] = (lambda n: lambda w_: F.sum(f"_s_{n}").over(w_))(name)
+                local[name] = agg(value).over(frame)
+                summary.append(agg(value).alias(f"_s_{name}"))
+                carried[name] = F.sum(f"_s_{name}").over(earlier)
+                total = F.coalesce(here, F.lit(0)) + F.coalesce(before, F.lit(0))
+                merged[name] = F.when(here.isNotNull() | before.isNotNull(), total)
             elif r.fn in ("max", "min"):
                 agg = F.max if r.fn == "max" else F.min
-                local[name] = agg(value).over(w)
-                summary_aggs.append(agg(value).alias(f"_s_{name}"))
-                carried[f"_c_{name}"] = (lambda n, a: lambda w_: a(f"_s_{n}").over(w_))(name, agg)
+                local[name] = agg(value).over(frame)
+                summary.append(agg(value).alias(f"_s_{name}"))
+                carried[name] = agg(f"_s_{name}").over(earlier)
+                merged[name] = (F.greatest if r.fn == "max" else F.least)(here, before)
             elif r.fn in ("last", "first"):
-                pick = F.max_by if r.fn == "last" else F.min_by
-                fn = F.last if r.fn == "last" else F.first
-                local[name] = fn(value, ignorenulls=True).over(w)
-                at = F.when(value.isNotNull(), order_struct)
-                summary_aggs.append(pick(value, at).alias(f"_s_{name}"))
-                carried[f"_c_{name}"] = (lambda n, f: lambda w_: f(f"_s_{n}", ignorenulls=True).over(w_))(name, fn)
+                pick, fn = (F.max_by, F.last) if r.fn == "last" else (F.min_by, F.first)
+                local[name] = fn(value, ignorenulls=True).over(frame)
+                summary.append(pick(value, F.when(value.isNotNull(), place)).alias(f"_s_{name}"))
+                carried[name] = fn(f"_s_{name}", ignorenulls=True).over(earlier)
+                merged[name] = F.coalesce(here, before) if r.fn == "last" else F.coalesce(before, here)
             else:
                 raise ValueError(r.fn)
-        summary = df.groupBy(*self.keys, "_segment").agg(*summary_aggs)
-        out = self._attach(df.withColumns({f"_l_{n}": c for n, c in local.items()}), summary, carried)
-        merged = {}
-        for name, r in outputs.items():
-            here, before = F.col(f"_l_{name}"), F.col(f"_c_{name}")
-            if r.fn in ("sum", "count"):
-                both = F.coalesce(here, F.lit(0)) + F.coalesce(before, F.lit(0))
-                merged[name] = F.when(here.isNotNull() | before.isNotNull(), both)
-            elif r.fn == "max":
-                merged[name] = F.greatest(here, before)
-            elif r.fn == "min":
-                merged[name] = F.least(here, before)
-            elif r.fn == "last":
-                merged[name] = F.coalesce(here, before)
-            else:
-                merged[name] = F.coalesce(before, here)
-        drop = [f"_l_{n}" for n in outputs] + [f"_c_{n}" for n in outputs] + ["_segment"]
-        return out.withColumns(merged).drop(*drop)
+        if previous:
+            row = F.struct(*[c.alias(n) for n, c in previous.items()])
+            local["prev"] = F.lag(row).over(inside)
+            summary.append(F.max_by(row, place).alias("_s_prev"))
+            carried["prev"] = F.lag("_s_prev").over(segments)
+            merged.update({n: F.coalesce(F.col("_l_prev"), F.col("_c_prev"))[n] for n in previous})
+        if following:
+            row = F.struct(*[c.alias(n) for n, c in following.items()])
+            local["next"] = F.lead(row).over(inside)
+            summary.append(F.min_by(row, place).alias("_s_next"))
+            carried["next"] = F.lead("_s_next").over(segments)
+            merged.update({n: F.coalesce(F.col("_l_next"), F.col("_c_next"))[n] for n in following})
+        level = [*self.keys, "_segment"]
+        carry = (
+            df.groupBy(*level).agg(*summary)
+            .select(*level, *[e.alias(f"_c_{n}") for n, e in carried.items()])
+            .withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(level)})
+        )
+        rows = df.withColumns({f"_l_{n}": c for n, c in local.items()})
+        on = None
+        for i, k in enumerate(level):
+            same = F.col(k).eqNullSafe(F.col(f"_k{i}"))
+            on = same if on is None else on & same
+        drop = [f"_k{i}" for i in range(len(level))] + [f"_l_{n}" for n in local] + [f"_c_{n}" for n in carried] + ["_segment"]
+        return rows.join(carry, on, "left").withColumns(merged).drop(*drop)
 
-    def _order_values(self) -> list[Column]:
-        return [F.expr(c) if isinstance(c, str) else c for c in self.order]
+    def running(self, df: DataFrame, **outputs: Running) -> DataFrame:
+        return self.compute(df, running=outputs)
 
     def previous(self, df: DataFrame, **columns: Column) -> DataFrame:
-        """Adds the value of each named column on the row before, null on the first row of a key."""
-        df = df.withColumn("_segment", self.segment)
-        w = Window.partitionBy(*self.keys, "_segment").orderBy(*self.order)
-        order_struct = F.struct(*self._order_values())
-        row = F.struct(*[c.alias(n) for n, c in columns.items()])
-        summary = df.groupBy(*self.keys, "_segment").agg(F.max_by(row, order_struct).alias("_tail"))
-        with_local = df.withColumn("_prev", F.lag(row).over(w))
-        out = self._attach(with_local, summary, {"_ptail": lambda w_: F.last("_tail").over(w_)})
-        value = F.coalesce(F.col("_prev"), F.col("_ptail"))
-        return out.withColumns({n: value[n] for n in columns}).drop("_prev", "_ptail", "_segment")
-
-    def following(self, df: DataFrame, **columns: Column) -> DataFrame:
-        """Adds the value of each named column on the row after, null on the last row of a key."""
-        df = df.withColumn("_segment", self.segment)
-        w = Window.partitionBy(*self.keys, "_segment").orderBy(*self.order)
-        order_struct = F.struct(*self._order_values())
-        row = F.struct(*[c.alias(n) for n, c in columns.items()])
-        summary = df.groupBy(*self.keys, "_segment").agg(F.min_by(row, order_struct).alias("_head"))
-        with_local = df.withColumn("_next", F.lead(row).over(w))
-        after = Window.partitionBy(*self.keys).orderBy("_segment").rowsBetween(1, 1)
-        out = self._attach_over(with_local, summary, {"_nhead": F.first("_head").over(after)})
-        value = F.coalesce(F.col("_next"), F.col("_nhead"))
-        return out.withColumns({n: value[n] for n in columns}).drop("_next", "_nhead", "_segment")
-
-    def _attach_over(self, df: DataFrame, summary: DataFrame, carried: dict[str, Column]) -> DataFrame:
-        return self._attach(df, summary, {n: (lambda e: lambda _w: e)(e) for n, e in carried.items()})
+        return self.compute(df, previous=columns)
 
     def row_number(self, df: DataFrame, name: str = "rn") -> DataFrame:
-        return self.running(df, **{name: Running("count")})
+        return self.compute(df, running={name: Running("count")})
 
 
 def top_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, salts: int = 32, spread: Column | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import col
+from ..session import cut_lineage
 from .ordered import OrderedScan, Running
 
 EPOCH = "1970-01-01 00:00:00"
@@ -192,84 +193,99 @@ def load_days(slices: DataFrame, c: SliceColumns = SliceColumns(), dataset: Sequ
 
 
 def _with_resets(slices: DataFrame, c: SliceColumns) -> DataFrame:
-    """Permanent slices with ``reset_no`` (full slices so far) and ``nth`` (place among the permanent slices)."""
+    """Permanent slices with ``nth`` (place), ``reset_no`` (full slices so far) and the numbers of the slice before.
+
+    Several steps read it, so it is written once to the shared checkpoint folder.
+    """
     perm = slices.filter(~c.is_temp())
-    return c.scan().running(
-        perm, nth=Running("count"), reset_no=Running("sum", F.when(c.is_delta(), 0).otherwise(1))
+    return cut_lineage(
+        c.scan().compute(
+            perm,
+            running={"nth": Running("count"), "reset_no": Running("sum", F.when(c.is_delta(), 0).otherwise(1))},
+            previous={"p_seq": F.col(c.seq), "p_corr": F.col(c.corr)},
+        )
     )
 
 
-def permanent_field_changes(slices: DataFrame, c: SliceColumns = SliceColumns()) -> DataFrame:
-    """Changed top-level properties of every permanent slice against the state just before it.
-
-    A property lives until it is set again or until the next full slice leaves it out; comparing each value with its
-    neighbour in (feature, property) order therefore gives every change without building the state of each slice.
-    Columns: keys, position, prop, old, new. The first full slice of a feature is its start, not a change.
-    """
+def _field_changes(perm: DataFrame, c: SliceColumns) -> DataFrame:
     keys, pos = list(c.keys), list(c.position)
-    numbered = _with_resets(slices, c)
     full = ~c.is_delta()
-    long = numbered.select(
+    long = perm.select(
         *keys, *pos, *{x for x in (c.begin, c.seq, c.corr)}, "nth", "reset_no", full.alias("is_full"),
         F.explode(c.props).alias("prop", "value"),
     )
-    scan = OrderedScan([*keys, "prop"], c.order(), c.day())
-    both = scan.previous(long, p_value=F.col("value"), p_reset=F.col("reset_no"))
-    both = scan.following(both, n_reset=F.col("reset_no"), n_full=F.col("is_full"))
+    both = OrderedScan([*keys, "prop"], c.order(), c.day()).compute(
+        long,
+        previous={"p_value": F.col("value"), "p_reset": F.col("reset_no")},
+        following={"n_reset": F.col("reset_no"), "n_full": F.col("is_full")},
+    )
     state_before = F.when(F.col("is_full"), F.col("reset_no") - 1).otherwise(F.col("reset_no"))
     old = F.when(F.col("p_reset") == state_before, F.col("p_value"))
-    is_change = ~(F.col("is_full") & (F.col("nth") == 1))
-    set_rows = (
-        both.withColumn("old", old).filter(is_change & ~F.col("old").eqNullSafe(F.col("value")))
-        .select(*keys, *pos, "prop", "old", F.col("value").alias("new"))
-    )
+    is_change = ~(F.col("is_full") & (F.col("nth") == 1)) & ~old.eqNullSafe(F.col("value"))
     stays = (F.col("n_reset") == F.col("reset_no")) | ((F.col("n_reset") == F.col("reset_no") + 1) & F.col("n_full"))
-    open_rows = both.filter(~F.coalesce(stays, F.lit(False))).select(
-        *keys, "prop", F.col("value").alias("old"), (F.col("reset_no") + 1).alias("_r")
+    # one pass: the change a row makes, and the removal the next full slice makes of it
+    outcomes = F.array(
+        F.struct(is_change.alias("hit"), old.alias("old"), F.col("value").alias("new"), F.lit(None).cast("long").alias("gone_at")),
+        F.struct(
+            (~F.coalesce(stays, F.lit(False))).alias("hit"), F.col("value").alias("old"), F.lit(None).cast("string").alias("new"),
+            (F.col("reset_no") + 1).cast("long").alias("gone_at"),
+        ),
     )
-    resets = numbered.filter(full).select(*keys, *pos, F.col("reset_no").alias("_r"))
-    removed = open_rows.join(resets, [*keys, "_r"]).select(
-        *keys, *pos, "prop", "old", F.lit(None).cast("string").alias("new")
+    rows = both.select(*keys, *pos, "prop", F.explode(outcomes).alias("o")).filter("o.hit").select(*keys, *pos, "prop", "o.*")
+    resets = perm.filter(full).select(*keys, *[F.col(p).alias(f"_{p}") for p in pos], F.col("reset_no").cast("long").alias("gone_at"))
+    placed = rows.join(resets, [*keys, "gone_at"], "left").filter(F.col("gone_at").isNull() | F.col(f"_{pos[0]}").isNotNull())
+    return placed.select(
+        *keys, *[F.when(F.col("gone_at").isNull(), F.col(p)).otherwise(F.col(f"_{p}")).alias(p) for p in pos], "prop", "old", "new"
     )
-    return set_rows.unionByName(removed)
 
 
-def base_for_temporary(slices: DataFrame, c: SliceColumns = SliceColumns(), others: DataFrame | None = None) -> DataFrame:
-    """Properties of each TEMPDELTA with the value they replace.
+def permanent_field_changes(slices: DataFrame, c: SliceColumns = SliceColumns()) -> DataFrame:
+    """Changed top-level properties of every permanent slice against the state just before it.
 
-    The base is the feature's own permanent state at the begin of the temporary slice, else the latest value of the
-    same feature id in ``others`` (long rows: feature_id, prop, value). Columns: keys, position, prop, old, new.
+    A property lives until it is set again or until the next full slice leaves it out; comparing each value with its
+    neighbour in (feature, property) order therefore gives every change without building the state of each slice.
+    Columns: keys, position, prop, old, new. The first full slice of a feature is its start, not a change.
     """
+    return _field_changes(_with_resets(slices, c), c)
+
+
+def _temporary_fields(slices: DataFrame, perm: DataFrame, c: SliceColumns) -> DataFrame:
+    """Properties of the TEMPDELTAs with the permanent value in force; ``no_base`` where nothing is."""
     keys, pos = list(c.keys), list(c.position)
-    begins = c.begin_or_epoch()
-    perm = _with_resets(slices, c)
     temp = slices.filter(c.is_temp())
-    stamp = lambda df, kind: df.withColumn("_at", begins).withColumn("_kind", F.lit(kind))
+    stamp = lambda df, kind: df.withColumn("_at", c.begin_or_epoch()).withColumn("_kind", F.lit(kind))
     cols = [*keys, *pos, "_at", "_kind", c.seq, c.corr]
-    # which full slice is in force at each temporary slice
     order = [F.col("_at"), F.col("_kind"), F.col(c.seq), F.col(c.corr), *[F.col(p) for p in pos]]
     segment = F.date_trunc("day", F.col("_at"))
-    timeline = stamp(perm, 0).select(*cols, "reset_no").unionByName(
-        stamp(temp, 1).select(*cols, F.lit(None).cast("long").alias("reset_no"))
-    )
-    in_force = OrderedScan(keys, order, segment).running(timeline, _reset=Running("last", F.col("reset_no")))
-    probes = in_force.filter(F.col("_kind") == 1).select(*keys, *pos, "_reset")
-    perm_long = stamp(perm, 0).select(*cols, "reset_no", F.explode(c.props).alias("prop", "value"))
-    temp_long = stamp(temp, 1).select(*cols, F.lit(None).cast("long").alias("reset_no"), F.explode(c.props).alias("prop", "value"))
-    merged = OrderedScan([*keys, "prop"], order, segment).running(
-        perm_long.unionByName(temp_long),
-        _base=Running("last", F.when(F.col("_kind") == 0, F.struct("value", "reset_no"))),
+    nothing = F.lit(None).cast("long")
+    # the empty property stands for the slice itself: its running reset tells which full slice is in force
+    whole = F.map_concat(F.col(c.props), F.create_map(F.lit(""), F.lit("")))
+    timeline = stamp(perm, 0).select(*cols, F.col("reset_no").cast("long").alias("reset_no"), F.explode(whole).alias("prop", "value")).unionByName(
+        stamp(temp, 1).select(*cols, nothing.alias("reset_no"), F.explode(whole).alias("prop", "value"))
     )
-    out = (
-        merged.filter(F.col("_kind") == 1).join(probes, [*keys, *pos])
+    merged = OrderedScan([*keys, "prop"], order, segment).compute(
+        timeline, running={"_base": Running("last", F.when(F.col("_kind") == 0, F.struct("value", "reset_no")))}
+    ).filter(F.col("_kind") == 1)
+    in_force = merged.filter(F.col("prop") == "").select(*keys, *pos, F.col("_base.reset_no").alias("_reset"))
+    return (
+        merged.filter(F.col("prop") != "").join(in_force, [*keys, *pos])
         .withColumn("old", F.when(F.col("_base.reset_no") == F.col("_reset"), F.col("_base.value")))
-        .select(*keys, *pos, "prop", "old", F.col("value").alias("new"), F.col("_reset").isNull().alias("_no_base"))
+        .select(*keys, *pos, "prop", "old", F.col("value").alias("new"), F.col("_reset").isNull().alias("no_base"))
     )
+
+
+def base_for_temporary(slices: DataFrame, c: SliceColumns = SliceColumns(), others: DataFrame | None = None) -> DataFrame:
+    """Properties of each TEMPDELTA with the value they replace.
+
+    The base is the feature's own permanent state at the begin of the temporary slice, else the latest value of the
+    same feature id in ``others`` (long rows: feature id, prop, value). Columns: keys, position, prop, old, new.
+    """
+    out = _temporary_fields(slices, _with_resets(slices, c), c)
     if others is not None:
-        id_ = keys[-1]
+        id_ = c.keys[-1]
         foreign = others.select(F.col(id_), "prop", F.col("value").alias("_other"))
-        out = out.join(foreign, [id_, "prop"], "left").withColumn("old", F.coalesce("old", F.when(F.col("_no_base"), F.col("_other")))).drop("_other")
-    return out.select(*keys, *pos, "prop", "old", "new")
+        out = out.join(foreign, [id_, "prop"], "left").withColumn("old", F.coalesce("old", F.when(F.col("no_base"), F.col("_other"))))
+    return out.select(*c.keys, *c.position, "prop", "old", "new")
 
 
 def in_file_changes(slices: DataFrame, c: SliceColumns = SliceColumns(), dataset: Sequence[str] = ("dataset_id",)) -> DataFrame:
@@ -278,28 +294,27 @@ def in_file_changes(slices: DataFrame, c: SliceColumns = SliceColumns(), dataset
     Columns: keys, position, kind, from, to, n_fields, same (a full slice that repeats the state before it).
     """
     keys, pos = list(c.keys), list(c.position)
-    fields = permanent_field_changes(slices, c).groupBy(*keys, *pos).agg(F.count(F.lit(1)).alias("n_fields"))
     perm = _with_resets(slices, c)
-    perm = c.scan().previous(perm, p_seq=F.col(c.seq), p_corr=F.col(c.corr))
-    counts = slices.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    fields = _field_changes(perm, c).groupBy(*keys, *pos).agg(F.count(F.lit(1)).alias("n_fields"))
+    facts = slices.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(c.life_end).alias("_le"))
     last_order = perm.groupBy(*keys).agg(F.max("nth").alias("_last"))
+    zero = F.coalesce(F.col("n_fields"), F.lit(0)).cast("long")
+    no_ts, no = F.lit(None).cast("timestamp"), F.lit(0).cast("long")
+    out_cols = lambda k, frm, to, n, same: [
+        *keys, *pos, k.alias("kind"), frm.alias("from"), to.alias("to"), n.alias("n_fields"), same.alias("same"),
+    ]
     # 1. permanent slices after the first
     kind = (
         F.when(c.is_delta(), "Permanent change (PERMDELTA)")
         .when((F.col("p_seq") == F.col(c.seq)) & (F.col(c.corr) > F.col("p_corr")), "Correction")
         .otherwise("Permanent change (new BASELINE)")
     )
-    zero = F.coalesce(F.col("n_fields"), F.lit(0)).cast("long")
-    out_cols = lambda k, frm, to, n, same: [
-        *keys, *pos, k.alias("kind"), frm.alias("from"), to.alias("to"), n.alias("n_fields"), same.alias("same"),
-    ]
-    no_ts, no = F.lit(None).cast("timestamp"), F.lit(0).cast("long")
     permanent = (
         perm.filter((F.col("nth") > 1) | c.is_delta()).join(fields, [*keys, *pos], "left")
         .select(*out_cols(kind, F.col(c.begin), F.col(c.end), zero, (F.col(c.interp) == "BASELINE") & (zero == 0)))
     )
     # 2. temporary slices
-    temp_fields = base_for_temporary(slices, c).filter(~F.col("old").eqNullSafe(F.col("new"))).groupBy(*keys, *pos).agg(
+    temp_fields = _temporary_fields(slices, perm, c).filter(~F.col("old").eqNullSafe(F.col("new"))).groupBy(*keys, *pos).agg(
         F.count(F.lit(1)).alias("n_fields")
     )
     temporary = slices.filter(c.is_temp()).join(temp_fields, [*keys, *pos], "left").select(
@@ -307,8 +322,8 @@ def in_file_changes(slices: DataFrame, c: SliceColumns = SliceColumns(), dataset
     )
     # 3. single full slices: new or amended features, unless loaded on an initial-load day
     single = (
-        slices.join(counts, keys)
-        .filter((F.col("_n") == 1) & (F.col(c.interp) == "BASELINE") & F.col(c.life_end).isNull() & F.col(c.begin).isNotNull())
+        slices.join(facts.filter(F.col("_n") == 1), keys, "left_semi")
+        .filter((F.col(c.interp) == "BASELINE") & F.col(c.life_end).isNull() & F.col(c.begin).isNotNull())
         .withColumn("day", F.to_date(c.begin))
         .join(load_days(slices, c, dataset).select(*dataset, "day"), [*dataset, "day"], "left_anti")
     )
@@ -322,7 +337,7 @@ def in_file_changes(slices: DataFrame, c: SliceColumns = SliceColumns(), dataset
     ended = (
         perm.filter(F.col(c.end).isNotNull())
         .groupBy(*keys).agg(F.max_by(F.struct(*pos, F.col(c.end).alias("_e")), F.struct(F.col(c.end), F.negative(F.col("nth")))).alias("_x"))
-        .join(slices.groupBy(*keys).agg(F.max(c.life_end).alias("_le")).filter(F.col("_le").isNull()), keys, "left_semi")
+        .join(facts.filter(F.col("_le").isNull()), keys, "left_semi")
         .join(withdrawn(slices, None, c).filter("gone"), keys, "left_semi")
         .select(*keys, *[F.col("_x")[p].alias(p) for p in pos], F.lit("Feature withdrawn (validity ended)").alias("kind"),
                 F.col("_x._e").alias("from"), no_ts.alias("to"), no.alias("n_fields"), F.lit(False).alias("same"))

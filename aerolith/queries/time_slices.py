@@ -154,12 +154,12 @@ def _(spark, sf):
 
 
 @FAMILY.add("agg_16_load_day", """WITH singles AS (SELECT l_orderkey, max(l_shipdate) AS d FROM lineitem GROUP BY 1 HAVING count(*) = 1),
-days AS (SELECT date_trunc('year', d)::DATE AS day, count(*) AS n FROM singles GROUP BY 1), t AS (SELECT CAST(sum(n) AS BIGINT) AS singles FROM days)
+days AS (SELECT make_date(1990 + 10 * ((year(d) - 1990) // 10), 1, 1) AS day, count(*) AS n FROM singles GROUP BY 1), t AS (SELECT CAST(sum(n) AS BIGINT) AS singles FROM days)
 SELECT day, n, singles FROM days CROSS JOIN t WHERE n > greatest(30, singles * 0.3)""")
 def _(spark, sf):
     sl = table(spark, sf, "lineitem").select(
         F.lit("lineitem").alias("dataset_id"), F.col("l_orderkey").alias("feature_id"), F.lit("BASELINE").alias("interp"),
-        F.date_trunc("year", "l_shipdate").alias("valid_begin"),
+        F.make_date(F.lit(1990) + 10 * F.floor((F.year("l_shipdate") - 1990) / 10).cast("int"), F.lit(1), F.lit(1)).cast("timestamp").alias("valid_begin"),
     )
     return S.load_days(sl).select("day", "n", "singles")
 
