@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .geo import R_NM, col
 
@@ -105,13 +106,17 @@ def direct_arrays(lon, lat, azimuth, distance_nm):
     return (lon + np.degrees(dl) + 180) % 360 - 180, np.degrees(lat2)
 
 
-@F.pandas_udf("distance_nm double, azimuth1 double, azimuth2 double")
+def _doubles(*names: str) -> StructType:
+    return StructType([StructField(n, DoubleType()) for n in names])
+
+
+@F.pandas_udf(_doubles("distance_nm", "azimuth1", "azimuth2"))
 def _inverse_udf(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.DataFrame:
     d, a1, a2 = inverse_arrays(lon1, lat1, lon2, lat2)
     return pd.DataFrame({"distance_nm": d, "azimuth1": a1, "azimuth2": a2})
 
 
-@F.pandas_udf("lon double, lat double")
+@F.pandas_udf(_doubles("lon", "lat"))
 def _direct_udf(lon: pd.Series, lat: pd.Series, azimuth: pd.Series, distance_nm: pd.Series) -> pd.DataFrame:
     x, y = direct_arrays(lon, lat, azimuth, distance_nm)
     return pd.DataFrame({"lon": x, "lat": y})

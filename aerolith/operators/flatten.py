@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 from ..functions.geo import col
 
@@ -57,7 +58,7 @@ def _leaves(tree: dict, prefix: str = "") -> dict[str, str]:
     return out
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(MapType(StringType(), StringType()))
 def flat_map(tree: pd.Series) -> pd.Series:
     """MAP of path to value text of a JSON object text."""
     return tree.map(lambda t: _leaves(json.loads(t)) if t else {})

@@ -148,6 +148,7 @@ def ownership(features: DataFrame, edges: DataFrame, positions: DataFrame | None
         .join(direct.select(F.col("feature_id").alias("src_id")), "src_id", "left_anti")
         .select("src_id", "ref_no", "target_id")
     )
+    direct, steps = cut_lineage(direct), cut_lineage(steps)
     owned = direct.withColumn("via", F.lit("direct"))
     # each round recomputes the component owners from one level deeper, so the first leading reference wins
     for _ in range(OWNERSHIP_DEPTH):
@@ -157,25 +158,30 @@ def ownership(features: DataFrame, edges: DataFrame, positions: DataFrame | None
             .withColumn("via", F.lit("component"))
         )
         owned = direct.withColumn("via", F.lit("direct")).unionByName(via_parts)
-    owned = cut_lineage(owned)
+    pieces = [cut_lineage(owned)]
 
-    def extend(found: DataFrame, via: str) -> DataFrame:
-        fresh = found.join(owned.select("feature_id"), "feature_id", "left_anti").withColumn("via", F.lit(via))
-        return owned.unionByName(fresh.select("feature_id", "ad_id", "via"))
+    def owned_now() -> DataFrame:
+        out = pieces[0]
+        for p in pieces[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def extend(found: DataFrame, via: str) -> None:
+        fresh = found.join(owned_now().select("feature_id"), "feature_id", "left_anti").withColumn("via", F.lit(via))
+        pieces.append(cut_lineage(fresh.select("feature_id", "ad_id", "via")))
 
     def of(key: str) -> DataFrame:
-        return owned.select(F.col("feature_id").alias(key), "ad_id")
+        return owned_now().select(F.col("feature_id").alias(key), "ad_id")
 
     rule = F.lit(False)
     for kind, prop in PASS_DOWN.items():
         rule = rule | ((F.col("src_type") == kind) & (F.col("prop") == prop))
     down = edges.filter(rule & (F.col("target_type") != AERODROME)).join(of("src_id"), "src_id")
-    owned = extend(down.groupBy(F.col("target_id").alias("feature_id")).agg(F.min_by("ad_id", F.struct("src_id", "ref_no")).alias("ad_id")), "passed down")
+    extend(down.groupBy(F.col("target_id").alias("feature_id")).agg(F.min_by("ad_id", F.struct("src_id", "ref_no")).alias("ad_id")), "passed down")
     providers = edges.filter(F.col("src_type").isin(*SERVICES) & (F.col("prop") == "serviceProvider")).join(of("target_id"), "target_id")
-    owned = extend(providers.groupBy(F.col("src_id").alias("feature_id")).agg(first("ad_id").alias("ad_id")), "provider")
+    extend(providers.groupBy(F.col("src_id").alias("feature_id")).agg(first("ad_id").alias("ad_id")), "provider")
     users = edges.filter(F.col("target_type") == CHANNEL).join(of("src_id"), "src_id")
-    owned = extend(users.groupBy(F.col("target_id").alias("feature_id")).agg(F.min_by("ad_id", "src_id").alias("ad_id")), "channel user")
-    owned = cut_lineage(owned)
+    extend(users.groupBy(F.col("target_id").alias("feature_id")).agg(F.min_by("ad_id", "src_id").alias("ad_id")), "channel user")
     # procedure data: minimum sector altitudes, terminal arrival areas, terminal holdings
     areas = features.filter(F.col("feature_type").isin("SafeAltitudeArea", "TerminalArrivalArea"))
     holdings = features.filter((F.col("feature_type") == "HoldingPattern") & (F.col("subtype") == "TER"))
@@ -190,13 +196,13 @@ def ownership(features: DataFrame, edges: DataFrame, positions: DataFrame | None
     by_fix = hold_points.withColumnRenamed("target_id", "fix_id").join(fixes, "fix_id").groupBy(F.col("src_id").alias("feature_id")).agg(
         F.min_by("ad_id", "ref_no").alias("ad_id")
     )
-    owned = extend(by_fix, "fix of a leg")
+    extend(by_fix, "fix of a leg")
     by_user = edges.join(both.withColumnRenamed("feature_id", "target_id"), "target_id", "left_semi").join(of("src_id"), "src_id")
-    owned = extend(by_user.groupBy(F.col("target_id").alias("feature_id")).agg(F.min_by("ad_id", "src_id").alias("ad_id")), "procedure")
+    extend(by_user.groupBy(F.col("target_id").alias("feature_id")).agg(F.min_by("ad_id", "src_id").alias("ad_id")), "procedure")
     to_proc = edges.filter(F.col("target_type").isin(*PROCEDURES)).join(
         areas.select(F.col("feature_id").alias("src_id")), "src_id", "left_semi"
     ).join(of("target_id"), "target_id")
-    owned = extend(to_proc.groupBy(F.col("src_id").alias("feature_id")).agg(first("ad_id").alias("ad_id")), "procedure")
+    extend(to_proc.groupBy(F.col("src_id").alias("feature_id")).agg(first("ad_id").alias("ad_id")), "procedure")
     if positions is not None:
         from .spatial import nearest
 
@@ -211,9 +217,9 @@ def ownership(features: DataFrame, edges: DataFrame, positions: DataFrame | None
             positions.withColumnRenamed("feature_id", "ad_id"), "ad_id"
         )
         near = nearest(points, sites, NEAREST_OWNER_NM, "feature_id", "ad_id").filter(F.col("distance_nm") < NEAREST_OWNER_NM)
-        owned = extend(near.select("feature_id", "ad_id"), "nearest")
+        extend(near.select("feature_id", "ad_id"), "nearest")
     aerodromes = features.filter(F.col("feature_type") == AERODROME).select("feature_id")
-    return owned.join(aerodromes, "feature_id", "left_anti")
+    return owned_now().join(aerodromes, "feature_id", "left_anti")
 
 
 def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:

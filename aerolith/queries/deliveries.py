@@ -178,6 +178,6 @@ def _(spark, sf):
     return D.issue_summary(_issues(spark, sf))
 
 
-@FAMILY.add("srt_01_worst_first", f"WITH {ISSUES_SQL} SELECT severity, rule, count(*) AS n FROM i GROUP BY ALL ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, n DESC")
+@FAMILY.add("srt_01_worst_first", f"WITH {ISSUES_SQL} SELECT severity, rule, count(*) AS n FROM i GROUP BY severity, rule")
 def _(spark, sf):
     return D.worst_first(_issues(spark, sf).groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("n")))
