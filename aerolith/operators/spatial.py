@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import R_NM, bearing, col, distance_nm, segment_offset, wrap180
+from ..functions.geo import R_NM, bearing, col, distance_nm, wrap180
 from ..session import cut_lineage
+from .stage import settle
 
 MAX_LAT = 89.9
 
@@ -75,7 +76,7 @@ def within_distance(points: DataFrame, sites: DataFrame, nm: float, site_columns
     right = with_reach(right, nm, h, f"_s_{site_lon}", f"_s_{site_lat}")
     left = with_cell(points, h, lon, lat)
     d = distance_nm(lon, lat, f"_s_{site_lon}", f"_s_{site_lat}")
-    pairs = left.join(right, ["_row", "_colno"]).withColumn("distance_nm", d).filter(F.col("distance_nm") <= nm)
+    pairs = settle(left.join(right, ["_row", "_colno"]), distance_nm=d).filter(F.col("distance_nm") <= nm)
     plain = {f"_s_{c}": c for c in site_columns if c not in points.columns}
     clash = {f"_s_{c}": f"site_{c}" for c in site_columns if c in points.columns}
     extra = [f"_s_{c}" for c in (site_lon, site_lat) if c not in site_columns]
@@ -158,13 +159,19 @@ def near_path(points: DataFrame, segments: DataFrame, nm: float, segment_columns
     right = _cover_segment(segments, h, nm).select(
         "_row", "_colno", *[F.col(c).alias(f"_{c}") for c in ("lon1", "lat1", "lon2", "lat2")], *segment_columns
     )
-    t, px, py, d = segment_offset(lon, lat, "_lon1", "_lat1", "_lon2", "_lat2")
     k = F.cos(F.radians(F.col(lat)))
-    return (
-        with_cell(points, h, lon, lat).join(right, ["_row", "_colno"])
-        .withColumn("distance_nm", d).filter(F.col("distance_nm") <= nm)
-        .withColumn("near_lon", wrap180(F.col(lon) + px / k)).withColumn("near_lat", F.col(lat) + py)
-        .drop("_row", "_colno", "_lon1", "_lat1", "_lon2", "_lat2")
+    p = settle(
+        with_cell(points, h, lon, lat).join(right, ["_row", "_colno"]),
+        _k=k, _ax=wrap180(F.col("_lon1") - F.col(lon)) * k, _ay=F.col("_lat1") - F.col(lat),
+        _dx=wrap180(F.col("_lon2") - F.col("_lon1")) * k, _dy=F.col("_lat2") - F.col("_lat1"),
+    )
+    ax, ay, dx, dy = (F.col(c) for c in ("_ax", "_ay", "_dx", "_dy"))
+    l2 = dx * dx + dy * dy
+    p = settle(p, _t=F.when(l2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / l2))).otherwise(F.lit(0.0)))
+    px, py = ax + F.col("_t") * dx, ay + F.col("_t") * dy
+    p = settle(p, distance_nm=F.sqrt(px * px + py * py) * 60.0).filter(F.col("distance_nm") <= nm)
+    return p.withColumn("near_lon", wrap180(F.col(lon) + px / F.col("_k"))).withColumn("near_lat", F.col(lat) + py).drop(
+        "_row", "_colno", "_lon1", "_lat1", "_lon2", "_lat2", "_k", "_ax", "_ay", "_dx", "_dy", "_t"
     )
 
 

@@ -17,6 +17,8 @@ SETTINGS = {
     # a skewed join feeding an aggregate is still split, at the price of one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # generated methods the JVM would refuse to compile run as smaller ones instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
