@@ -213,14 +213,14 @@ def _(spark, sf):
     return R.route_legs(route_points(spark, sf), block=5000).select("route_id", "leg_no", F.round("len_m", 2).alias("len_m"), F.round("s0_m", 1).alias("s0_m"))
 
 
-@FAMILY.add("win_05_cumulative_distance", f"""WITH {ROUTE_SQL}, st AS (SELECT *, coalesce({sql_distance('plon', 'plat', 'lon', 'lat')}, 0) AS step FROM (SELECT *, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM pts WINDOW w AS (PARTITION BY route_id ORDER BY seq)))
+@FAMILY.add("win_05_cumulative_distance", f"""WITH {ROUTE_SQL}, st AS (SELECT *, CASE WHEN plon IS NULL THEN 0 ELSE {sql_distance('plon', 'plat', 'lon', 'lat')} END AS step FROM (SELECT *, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM pts WINDOW w AS (PARTITION BY route_id ORDER BY seq)))
 SELECT route_id, seq, round(sum(step) OVER w, 4) AS along_nm, round(sum(step) OVER w / 180 * 60, 4) AS after_min FROM st WINDOW w AS (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING)""")
 def _(spark, sf):
     c = R.cumulative_distance(route_points(spark, sf), ["route_id"], speed_kt=180.0, block=5000)
     return c.select("route_id", "seq", F.round("along_nm", 4).alias("along_nm"), F.round("after_min", 4).alias("after_min"))
 
 
-@FAMILY.add("job_19_position_at", f"""WITH {ROUTE_SQL}, st AS (SELECT *, coalesce({sql_distance('plon', 'plat', 'lon', 'lat')}, 0) AS step FROM (SELECT *, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM pts WINDOW w AS (PARTITION BY route_id ORDER BY seq))),
+@FAMILY.add("job_19_position_at", f"""WITH {ROUTE_SQL}, st AS (SELECT *, CASE WHEN plon IS NULL THEN 0 ELSE {sql_distance('plon', 'plat', 'lon', 'lat')} END AS step FROM (SELECT *, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM pts WINDOW w AS (PARTITION BY route_id ORDER BY seq))),
 d AS (SELECT *, sum(step) OVER (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS d FROM st),
 e AS (SELECT *, lag(d) OVER (PARTITION BY route_id ORDER BY seq) AS pd FROM d)
 SELECT route_id, round(plon + (lon - plon) * (450 - pd) / (d - pd), 4) AS lon, round(plat + (lat - plat) * (450 - pd) / (d - pd), 4) AS lat FROM e WHERE d >= 450 AND pd < 450""")
@@ -249,17 +249,17 @@ def _(spark, sf):
 
 def route_obstacles(spark, sf):
     lon, lat = position("p_partkey", 3, RSPREAD)
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("obstacle_id"), (lon + 20).alias("lon"), (lat + 48).alias("lat"), (F.col("p_size") * 30.0).alias("elev_m"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("obstacle_id"), (lon + 20.0007).alias("lon"), (lat + 48.0007).alias("lat"), (F.col("p_size") * 30.0).alias("elev_m"))
 
 
 VX, VY = position_sql("p_partkey", 3, RSPREAD)
 D13 = f"({sql_distance('g.lon', 'g.lat', 'o.lon', 'o.lat', 1.0)})"
 
 
-@FAMILY.add("job_16_route_assessment", f"""WITH {ROUTE_SQL}, obs AS (SELECT p_partkey AS oid, {VX} + 20 AS lon, {VY} + 48 AS lat, p_size * 30.0 AS elev FROM part),
+@FAMILY.add("job_16_route_assessment", f"""WITH {ROUTE_SQL}, obs AS (SELECT p_partkey AS oid, {VX} + 20.0007 AS lon, {VY} + 48.0007 AS lat, p_size * 30.0 AS elev FROM part),
 g AS (SELECT *, radians({sql_bearing('lon', 'lat', 'blon', 'blat')}) AS t12 FROM legs),
 r AS (SELECT g.route_id, g.seq, g.len, g.alt, g.balt, oid, elev, {D13} AS d13, radians({sql_bearing('g.lon', 'g.lat', 'o.lon', 'o.lat')}) - t12 AS turn
-  FROM g JOIN obs o ON o.lat BETWEEN least(g.lat, blat) - 0.3 AND greatest(g.lat, blat) + 0.3 AND o.lon BETWEEN least(g.lon, blon) - 0.3 AND greatest(g.lon, blon) + 0.3),
+  FROM g JOIN obs o ON o.lat BETWEEN least(g.lat, blat) - 0.3 AND greatest(g.lat, blat) + 1.0 AND o.lon BETWEEN least(g.lon, blon) - 0.3 AND greatest(g.lon, blon) + 0.3),
 x AS (SELECT *, asin(greatest(-1, least(1, sin(d13) * sin(turn)))) AS xt FROM r),
 y AS (SELECT *, acos(greatest(-1, least(1, cos(d13) / cos(xt)))) * CASE WHEN cos(turn) < 0 THEN -1 ELSE 1 END * {RE} AS at_m FROM x WHERE abs(xt) * {RE} <= 5 * 1852),
 h AS (SELECT route_id, seq, count(*) AS n, max(elev) AS top, arg_max(oid, elev * 1e7 + oid) AS oid FROM y WHERE at_m >= 0 AND at_m <= len GROUP BY ALL),
@@ -273,16 +273,18 @@ def _(spark, sf):
 
 @FAMILY.add("job_17_route_crossings")
 def _(spark, sf):
-    pts = route_points(spark, sf).withColumn("lon", F.col("lon") * 6 - 120).withColumn("lat", (F.col("lat") - 48) * 6)
+    lon, lat = position("o_orderkey", 0, 200)
+    pts = route_points(spark, sf).drop("lon", "lat").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), (lon + 20).alias("lon"), (lat + 48).alias("lat")), "seq")
     legs = R.route_legs(pts, block=5000)
-    edges = P.ring_edges(nation_rings(spark, sf).withColumnRenamed("nation", "area_id"), ["area_id"])
+    rings = nation_rings(spark, sf).select(F.col("nation").alias("area_id"), "seq", (F.col("lon") / 166 + 20).alias("lon"), (F.col("lat") / 150 + 48).alias("lat"))
+    edges = P.ring_edges(rings, ["area_id"])
     k = F.col("n_nationkey")
     areas = table(spark, sf, "nation").select(
         k.alias("area_id"), F.when(k % 3 == 0, "P").when(k % 3 == 1, "R").otherwise("D").alias("type"), (k * 50.0).alias("lo_m"), (k * 50.0 + 1500).alias("up_m"),
         F.when(k % 4 == 0, "maybe").when(k % 4 == 1, "off").otherwise("on").alias("state"),
     )
     points = legs.select("route_id", F.col("s0_m").alias("s_m"), F.col("a_alt_m").alias("alt_m"))
-    return R.route_crossings(legs, points, edges, areas, cell=2.0)
+    return R.route_crossings(legs, points, edges, areas, cell=0.02)
 
 
 @FAMILY.add("agg_15_leg_terrain")
