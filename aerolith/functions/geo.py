@@ -28,9 +28,20 @@ def wrap180(x: Column) -> Column:
     return F.pmod(x + 180.0, F.lit(360.0)) - 180.0
 
 
-def clamp(x: Column, low: float, high: float) -> Column:
-    """x kept within bounds; null stays null (least and greatest would skip it)."""
-    return F.when(x < low, F.lit(low)).when(x > high, F.lit(high)).otherwise(x)
+def _bounded(x: Column) -> Column:
+    """x kept within -1 .. 1. It skips nulls, so the callers look at their inputs (_known)."""
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
+
+
+def _known(value: Column, *inputs) -> Column:
+    """value where all inputs are given, else null."""
+    given = None
+    for i in inputs:
+        if isinstance(i, (int, float)):
+            continue
+        one = col(i).isNotNull()
+        given = one if given is None else given & one
+    return value if given is None else F.when(given, value)
 
 
 def _central_angle(lon1, lat1, lon2, lat2) -> Column:
@@ -38,7 +49,7 @@ def _central_angle(lon1, lat1, lon2, lat2) -> Column:
     s_lat = F.sin(F.radians(lat2 - lat1) / 2)
     s_lon = F.sin(F.radians(lon2 - lon1) / 2)
     h = s_lat * s_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * s_lon * s_lon
-    return 2 * F.asin(clamp(F.sqrt(h), 0.0, 1.0))
+    return _known(2 * F.asin(_bounded(F.sqrt(h))), lon1, lat1, lon2, lat2)
 
 
 def distance_nm(lon1, lat1, lon2, lat2) -> Column:
@@ -59,7 +70,7 @@ def bearing(lon1, lat1, lon2, lat2) -> Column:
 
 def dest_lat(lat, bearing_deg, distance, radius: float = R_NM) -> Column:
     p, b, d = F.radians(col(lat)), F.radians(col(bearing_deg)), col(distance) / radius
-    return F.degrees(F.asin(clamp(F.sin(p) * F.cos(d) + F.cos(p) * F.sin(d) * F.cos(b), -1.0, 1.0)))
+    return _known(F.degrees(F.asin(_bounded(F.sin(p) * F.cos(d) + F.cos(p) * F.sin(d) * F.cos(b)))), lat, bearing_deg, distance)
 
 
 def dest_lon(lon, lat, bearing_deg, distance, radius: float = R_NM) -> Column:
@@ -72,16 +83,17 @@ def cross_track(lon1, lat1, lon2, lat2, lon, lat) -> Column:
     """Signed distance in metres of a point from the great circle 1 -> 2 (right of it positive)."""
     d13 = _central_angle(lon1, lat1, lon, lat)
     turn = F.radians(bearing(lon1, lat1, lon, lat) - bearing(lon1, lat1, lon2, lat2))
-    return R_M * F.asin(clamp(F.sin(d13) * F.sin(turn), -1.0, 1.0))
+    return _known(R_M * F.asin(_bounded(F.sin(d13) * F.sin(turn))), lon1, lat1, lon2, lat2, lon, lat)
 
 
 def along_track(lon1, lat1, lon2, lat2, lon, lat) -> Column:
     """Signed distance in metres along 1 -> 2 of the foot of the perpendicular from the point."""
     d13 = _central_angle(lon1, lat1, lon, lat)
     turn = F.radians(bearing(lon1, lat1, lon, lat) - bearing(lon1, lat1, lon2, lat2))
-    xt = F.asin(clamp(F.sin(d13) * F.sin(turn), -1.0, 1.0))
-    reach = F.acos(clamp(F.cos(d13) / F.cos(xt), -1.0, 1.0))
-    return R_M * reach * F.when(F.cos(turn) < 0, -1.0).otherwise(1.0)
+    # cos(xt) from sin(xt) directly: xt is an arc sine
+    sin_xt = F.sin(d13) * F.sin(turn)
+    reach = F.acos(_bounded(F.cos(d13) / F.sqrt(1.0 - sin_xt * sin_xt)))
+    return _known(R_M * reach * F.when(F.cos(turn) < 0, -1.0).otherwise(1.0), lon1, lat1, lon2, lat2, lon, lat)
 
 
 def segment_offset(lon, lat, lon1, lat1, lon2, lat2) -> tuple[Column, Column, Column, Column]:
@@ -91,7 +103,7 @@ def segment_offset(lon, lat, lon1, lat1, lon2, lat2) -> tuple[Column, Column, Co
     ax, ay = wrap180(lon1 - lon) * k, lat1 - lat
     dx, dy = wrap180(lon2 - lon1) * k, lat2 - lat1
     l2 = dx * dx + dy * dy
-    t = F.when(l2 > 0, clamp(-(ax * dx + ay * dy) / l2, 0.0, 1.0)).otherwise(F.lit(0.0))
+    t = F.when(l2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / l2))).otherwise(F.lit(0.0))
     px, py = ax + t * dx, ay + t * dy
     return t, px, py, F.sqrt(px * px + py * py) * 60.0
 

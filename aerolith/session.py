@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # rows are few but multiply (cells, samples, steps): keep small shuffles spread over the cores
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a skewed join feeding an aggregate is still split, at the price of one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
