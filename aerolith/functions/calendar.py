@@ -18,7 +18,7 @@ PUBLICATION_DAYS = 42
 
 
 def _shifted(ts) -> tuple[Column, Column, Column]:
-    ms = F.unix_millis(col(ts))
+    ms = F.unix_millis(col(ts).cast("timestamp"))
     ahead = F.pmod(F.lit(CYCLE_REF_MS) - ms, F.lit(CYCLE_MS))
     local = (ahead > 0) & (ahead <= LOCAL_MIDNIGHT_MS)
     return F.when(local, ms + ahead).otherwise(ms), ahead, local
@@ -235,48 +235,41 @@ def clock_minutes(text) -> Column:
     return F.when(h != "", h.cast("int") * 60 + m.cast("int"))
 
 
-def window_edge(time, event, relative_minutes, interpretation, day, offset_minutes, lon, lat) -> Column:
-    """Minutes after local midnight of one edge of a schedule window: a clock time, a sun event, or the chosen of both."""
-    clock = clock_minutes(time).cast("double")
-    day = col(day)
-    midnight = F.unix_millis(day.cast("timestamp"))
-    local = lambda ts: (F.unix_millis(ts) - midnight) / 60000.0 + col(offset_minutes)
-    dark = polar(day, lon, lat)
-    sun = (
-        F.when(col(event) == "SR", F.coalesce(local(sunrise(day, lon, lat)), F.when(dark == "day", 0.0).otherwise(720.0)))
-        .when(col(event) == "SS", F.coalesce(local(sunset(day, lon, lat)), F.when(dark == "day", 1440.0).otherwise(720.0)))
-    ) + F.coalesce(col(relative_minutes), F.lit(0))
-    both = F.when(col(interpretation) == "LATEST", F.greatest(clock, sun)).otherwise(F.least(clock, sun))
-    return F.when(clock.isNull(), sun).when(sun.isNull(), clock).otherwise(both)
-
-
-def timesheet_covers(ts, sheet: dict[str, str], lon, lat, rule: str = "EU", holidays: Sequence[str] = ()) -> Column:
-    """Does a schedule row cover an instant? ``sheet`` names the columns of the row.
-
-    Keys: time_ref, dst, day, day_til, start_date, end_date, start_time, end_time, start_event, end_event, start_rel,
-    end_rel, start_interp, end_interp. Today's window and yesterday's, when it runs past midnight, are looked at.
+def cover_rows(df, ts, sheet: dict[str, str], lon, lat, rule: str = "EU", holidays: Sequence[str] = (), out: str = "_covers"):
+    """Two rows per schedule row, for today's window and for yesterday's that may run past midnight, with ``out``: it covers ts.
+
+    ``sheet`` names the columns time_ref, dst, day, day_til, start_date, end_date, start_time, end_time, start_event,
+    end_event, start_rel, end_rel, start_interp, end_interp. An end at or before the start is on the next day; a missing
+    start is 00:00, a missing end 24:00. Sun events are clock minutes of the local day; where the sun does not rise or
+    set, polar day counts as the whole day and polar night as noon.
     """
-    t = col(ts)
+    from ..operators.stage import settle
+
     c = {k: F.col(v) for k, v in sheet.items()}
     offset = utc_offset_minutes(c["time_ref"])
     if rule != "none":
-        offset = offset + F.when((c["dst"] == "YES") & in_dst(t, rule), 60).otherwise(0)
-    local = F.timestamp_millis(F.unix_millis(t) + offset * 60000)
-    today = local.cast("date")
-
-    def on(day: Column) -> Column:
-        since = (F.unix_millis(local) - F.unix_millis(day.cast("timestamp"))) / 60000.0
-        edge = lambda w: window_edge(
-            c[f"{w}_time"], c[f"{w}_event"], c[f"{w}_rel"], c[f"{w}_interp"], day, offset, lon, lat
-        )
-        a = F.coalesce(edge("start"), F.lit(0.0))
-        b = F.coalesce(edge("end"), F.lit(1440.0))
-        b = F.when(b <= a, b + 1440.0).otherwise(b)
-        return (
-            day_match(c["day"], c["day_til"], day, holidays)
-            & date_match(c["start_date"], c["end_date"], day, rule)
-            & (since >= a)
-            & (since < b)
-        )
-
-    return on(today) | on(F.date_sub(today, 1))
+        offset = offset + F.when((c["dst"] == "YES") & in_dst(ts, rule), 60).otherwise(0)
+    d = settle(df, _off=offset, _ms=F.unix_millis(col(ts)))
+    local = F.floor((F.col("_ms") + F.col("_off") * 60000) / DAY_MS)
+    d = d.withColumn("_epoch_day", F.explode(F.array(local, local - 1)))
+    d = settle(d, _day=F.date_add(F.lit("1970-01-01").cast("date"), F.col("_epoch_day").cast("int")), _since=(F.col("_ms") - F.col("_epoch_day") * DAY_MS) / 60000.0 + F.col("_off"))
+    sunny = c["start_event"].isin("SR", "SS") | c["end_event"].isin("SR", "SS")
+    minute = lambda t: (F.unix_millis(t) - F.col("_epoch_day") * DAY_MS) / 60000.0 + F.col("_off")
+    d = settle(
+        d, _match=day_match(c["day"], c["day_til"], F.col("_day"), holidays) & date_match(c["start_date"], c["end_date"], F.col("_day"), rule),
+        _rise=F.when(sunny, minute(sunrise("_day", lon, lat))), _set=F.when(sunny, minute(sunset("_day", lon, lat))), _dark=F.when(sunny, polar("_day", lon, lat)),
+    )
+
+    def edge(which: str) -> Column:
+        clock, event = clock_minutes(c[f"{which}_time"]).cast("double"), c[f"{which}_event"]
+        sun = F.when(event == "SR", F.coalesce("_rise", F.when(F.col("_dark") == "day", 0.0).otherwise(720.0))).when(
+            event == "SS", F.coalesce("_set", F.when(F.col("_dark") == "day", 1440.0).otherwise(720.0))
+        ) + F.coalesce(c[f"{which}_rel"], F.lit(0))
+        both = F.when(c[f"{which}_interp"] == "LATEST", F.greatest(clock, sun)).otherwise(F.least(clock, sun))
+        return both
+
+    d = settle(d, _from=F.coalesce(edge("start"), F.lit(0.0)), _to=F.coalesce(edge("end"), F.lit(1440.0)))
+    end = F.when(F.col("_to") <= F.col("_from"), F.col("_to") + 1440.0).otherwise(F.col("_to"))
+    return d.withColumn(out, F.col("_match") & (F.col("_since") >= F.col("_from")) & (F.col("_since") < end)).drop(
+        "_off", "_ms", "_epoch_day", "_day", "_since", "_match", "_rise", "_set", "_dark", "_from", "_to"
+    )

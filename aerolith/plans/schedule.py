@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import timesheet_covers
+from ..functions.calendar import cover_rows
 from ..functions.geo import col
 from ..operators.ordered import OrderedScan, Running
-from ..operators.stage import settle
 
 SHEET = {k: k for k in (
     "time_ref dst day day_til start_date end_date start_time end_time start_event end_event start_rel end_rel start_interp end_interp".split()
@@ -32,7 +31,7 @@ def state_at(entries: DataFrame, keys: Sequence[str], t: Column, rule: str = "EU
     timesheet (or one without times). An excluded row that covers the moment takes its entry out; off outranks on, on
     outranks maybe; outside all hours given the state is off.
     """
-    e = settle(entries, _covers=timesheet_covers(t, SHEET, "lon", "lat", rule, holidays), _class=status_class("status"))
+    e = cover_rows(entries, t, SHEET, "lon", "lat", rule, holidays).withColumn("_class", status_class("status"))
     nil = F.upper(F.coalesce("nil_reason", F.lit("")))
     out = (F.coalesce("excluded", F.lit("")) == "YES") & F.col("_covers")
     per_entry = e.groupBy(*keys, "entry_no").agg(
