@@ -105,11 +105,10 @@ def _(spark, sf):
 
 def briefings(spark, sf):
     k = F.col("o_orderkey")
-    d = F.date_format(F.col("o_orderdate"), "yyMMdd")
     text = F.format_string(
-        "(A%04d/%02d NOTAM%s\nQ) EAAD/Q%s/IV/BO/A/000/%03d/5522N02515E%03d\nA) EADD B) 26%s0600 C) PERM\nE) CRANE AT %02d%02d00N %03d%02d00E HGT %dFT AGL LGTD RWY %02d CLSD)\n",
+        "(A%04d/%02d NOTAM%s\nQ) EAAD/Q%s/IV/BO/A/000/%03d/5522N02515E%03d\nA) EADD B) 26%02d%02d0600 C) PERM\nE) CRANE AT %02d%02d00N %03d%02d00E HGT %dFT AGL LGTD RWY %02d CLSD)\n",
         (k % 10000).cast("int"), (k % 100).cast("int"), F.when(k % 10 == 0, "C").otherwise("N"), F.when(k % 2 == 0, "OBCE").otherwise("MRLC"), (k % 400).cast("int"), (1 + k % 99).cast("int"),
-        F.substring(d, 3, 4), (40 + k % 40).cast("int"), (k % 60).cast("int"), (k % 170).cast("int"), (k * 7 % 60).cast("int"), (100 + k % 900).cast("int"), (1 + k % 36).cast("int"),
+        F.month("o_orderdate"), F.least(F.dayofmonth("o_orderdate"), F.lit(28)), (40 + k % 40).cast("int"), (k % 60).cast("int"), (k % 170).cast("int"), (k * 7 % 60).cast("int"), (100 + k % 900).cast("int"), (1 + k % 36).cast("int"),
     )
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), (k % 8).alias("page"), k.alias("k"), text.alias("t"))
     return o.groupBy("doc", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), "\n").alias("text"))
@@ -124,13 +123,13 @@ NOTAM_SQL = """n AS (SELECT 'A' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4,
 
 
 @FAMILY.add("src_10_notam_fields", f"""WITH {NOTAM_SQL} SELECT doc, id, CASE WHEN k % 10 = 0 THEN 'C' ELSE 'N' END AS type, CASE WHEN k % 2 = 0 THEN 'QOBCE' ELSE 'QMRLC' END AS code, CASE WHEN k % 2 = 0 THEN 'obstacle' ELSE 'runway' END AS cat,
-  CAST(1 + k % 99 AS INTEGER) AS q_radius_nm, make_timestamp(2026, month(d), day(d), 6, 0, 0) AS valid_from, round((k % 400) * 30.48, 3) AS upper_m FROM n""")
+  CAST(1 + k % 99 AS INTEGER) AS q_radius_nm, make_timestamp(2026, month(d), least(day(d), 28), 6, 0, 0) AS valid_from, round((k % 400) * 30.48::DOUBLE, 3) AS upper_m FROM n""")
 def _(spark, sf):
     f = N.notam_fields(N.split_notams(briefings(spark, sf), keep=("doc", "page")))
     return f.select("doc", "id", "type", "code", "cat", "q_radius_nm", "valid_from", F.round("upper_m", 3).alias("upper_m"))
 
 
-@FAMILY.add("prj_17_notam_obstacles", f"""WITH {NOTAM_SQL} SELECT id, round(k % 170 + k * 7 % 60 / 60.0, 6) AS lon, round(40 + k % 40 + k % 60 / 60.0, 6) AS lat, round((100 + k % 900) * 0.3048, 4) AS hgt_m, 'YES' AS lit, 'CRANE' AS type FROM n WHERE k % 2 = 0""")
+@FAMILY.add("prj_17_notam_obstacles", f"""WITH {NOTAM_SQL} SELECT id, round(k % 170 + k * 7 % 60 / 60.0, 6) AS lon, round(40 + k % 40 + k % 60 / 60.0, 6) AS lat, round((100 + k % 900) * 0.3048::DOUBLE, 4) AS hgt_m, 'YES' AS lit, 'CRANE' AS type FROM n WHERE k % 2 = 0""")
 def _(spark, sf):
     o = N.notam_obstacles(N.notam_fields(N.split_notams(briefings(spark, sf), keep=("doc", "page"))))
     return o.select("id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("hgt_m", 4).alias("hgt_m"), "lit", "type")
@@ -141,7 +140,7 @@ def _(spark, sf):
     return N.notam_runway(N.notam_fields(N.split_notams(briefings(spark, sf), keep=("doc", "page")))).select("id", "rwy", "closed")
 
 
-@FAMILY.add("stm_03_notam_state", f"""WITH {NOTAM_SQL} SELECT id, CASE WHEN k % 10 = 0 THEN 'cancel' WHEN make_timestamp(2026, month(d), day(d), 6, 0, 0) > TIMESTAMP '2026-06-15 12:00:00' THEN 'future' ELSE 'on' END AS state FROM n""")
+@FAMILY.add("stm_03_notam_state", f"""WITH {NOTAM_SQL} SELECT id, CASE WHEN k % 10 = 0 THEN 'cancel' WHEN make_timestamp(2026, month(d), least(day(d), 28), 6, 0, 0) > TIMESTAMP '2026-06-15 12:00:00' THEN 'future' ELSE 'on' END AS state FROM n""")
 def _(spark, sf):
     f = N.notam_fields(N.split_notams(briefings(spark, sf), keep=("doc", "page")))
     return f.select("id", N.notam_state("2026-06-15 12:00:00").alias("state"))
