@@ -46,8 +46,8 @@ fr AS (SELECT *, (lon - lon0) * cos(radians(lat0)) * {MPD} AS dx, (lat - lat0) *
 st AS (SELECT *, dx * ux + dy * uy AS s, dx * uy - dy * ux AS x FROM fr)"""
 
 
-def takeoff_ends(spark, sf):
-    lon, lat = position("s_suppkey", 11, SPREAD)
+def takeoff_ends(spark, sf, spread=SPREAD):
+    lon, lat = position("s_suppkey", 11, spread)
     k = F.col("s_suppkey")
     return table(spark, sf, "supplier").select(
         k.alias("end_id"), (lon + 20.0).alias("der_lon"), (lat + 40.0).alias("der_lat"), (k % 40).cast("double").alias("der_elev_m"),
@@ -120,9 +120,9 @@ def _(spark, sf):
     return out.select("end_id", r("cut_m"), r("displacement"), r("tora_left"), r("lda_left"), "closed")
 
 
-def _runways(spark, sf):
+def _runways(spark, sf, spread=SPREAD):
     """One runway of 2400 m per supplier, its aerodrome at the middle."""
-    e = takeoff_ends(spark, sf)
+    e = takeoff_ends(spark, sf, spread)
     k, nm = F.col("end_id"), 1200.0 / 1852.0
     from ..functions.geo import dest_lat, dest_lon
 
@@ -149,18 +149,23 @@ def _(spark, sf):
     return W.surface_polygons(W.prepare_runways(r.drop("arp_lon", "arp_lat", "field_elev_m"), ads))
 
 
+WIDE = 60  # a larger region: an obstacle lies in the reach of a few aerodromes only
+
+
 def _etod(spark, sf):
-    r = _runways(spark, sf)
+    r = _runways(spark, sf, WIDE)
     r = r.select(
         "ad_id", "rwy_id", F.lit(1).alias("rwy_no"), "arp_lon", "arp_lat", "a_lon", "a_lat", "b_lon", "b_lat", "a_elev_m", "b_elev_m", F.lit(150.0).alias("strip_half_m"),
         F.lit(60.0).alias("ext_m"), F.lit(0.0).alias("cwy_a_m"), F.lit(200.0).alias("cwy_b_m"), (F.col("ad_id") % 2 == 0).alias("prec_a"), F.lit(False).alias("prec_b"),
     )
-    return W.etod_classify(obstacles(spark, sf), r)
+    return W.etod_classify(obstacles(spark, sf, WIDE), r)
 
 
 EA = sql_dest("lon0", "lat0", "(trk + 180)", str(1200 / 1852.0), 3440.065)
 EB = sql_dest("lon0", "lat0", "trk", str(1200 / 1852.0), 3440.065)
-ETOD_SQL = f"""{OBS_SQL}, {ENDS_SQL}, rw AS (SELECT *, ({EA[0]} - lon0) * cos(radians(lat0)) * {MPD} AS axm, ({EA[1]} - lat0) * {MPD} AS aym, ({EB[0]} - lon0) * cos(radians(lat0)) * {MPD} AS bxm, ({EB[1]} - lat0) * {MPD} AS bym FROM ends),
+WIDE_OBS = OBS_SQL.replace(OX, position_sql("p_partkey", 3, WIDE)[0]).replace(OY, position_sql("p_partkey", 3, WIDE)[1])
+WIDE_ENDS = ENDS_SQL.replace(EX, position_sql("s_suppkey", 11, WIDE)[0]).replace(EY, position_sql("s_suppkey", 11, WIDE)[1])
+ETOD_SQL = f"""{WIDE_OBS}, {WIDE_ENDS}, rw AS (SELECT *, ({EA[0]} - lon0) * cos(radians(lat0)) * {MPD} AS axm, ({EA[1]} - lat0) * {MPD} AS aym, ({EB[0]} - lon0) * cos(radians(lat0)) * {MPD} AS bxm, ({EB[1]} - lat0) * {MPD} AS bym FROM ends),
 rl AS (SELECT *, sqrt(power(bxm - axm, 2) + power(bym - aym, 2)) AS L FROM rw),
 q AS (SELECT end_id AS ad_id, obstacle_id, elev_m, hgt_m, elev0, L, ((lon - lon0) * cos(radians(lat0)) * {MPD} - axm) AS dx, ((lat - lat0) * {MPD} - aym) AS dy, (bxm - axm) / L AS ux, (bym - aym) / L AS uy,
   {sql_distance('lon0', 'lat0', 'lon', 'lat', RE)} AS arp FROM obs JOIN rl ON {sql_distance('lon0', 'lat0', 'lon', 'lat')} <= {55000 * 1.01 / 1852}),

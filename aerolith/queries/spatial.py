@@ -224,9 +224,9 @@ def part_points(spark, sf):
     return table(spark, sf, "part").select("p_partkey", lon.alias("lon"), lat.alias("lat"), F.col("p_retailprice").alias("elev_m"))
 
 
-@FAMILY.add("jon_10_near_path", f"WITH {LEGS_SQL} SELECT p_partkey, path, round(min(d), 5) AS distance_nm FROM hits WHERE d <= 1 GROUP BY ALL")
+@FAMILY.add("jon_10_near_path", f"WITH {LEGS_SQL} SELECT p_partkey, path, round(min(d), 5) AS distance_nm FROM hits WHERE d <= 0.5 GROUP BY ALL")
 def _(spark, sf):
-    hits = S.near_path(part_points(spark, sf), order_legs(spark, sf), 1.0, ["path"], cell_nm=8.0)
+    hits = S.near_path(part_points(spark, sf), order_legs(spark, sf), 0.5, ["path"], cell_nm=4.0)
     return hits.groupBy("p_partkey", "path").agg(F.round(F.min("distance_nm"), 5).alias("distance_nm"))
 
 
