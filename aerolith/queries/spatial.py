@@ -266,7 +266,9 @@ def terrain_points(spark, sf):
 
 
 AT_SQL = f"""{TERRAIN_SQL}, pts AS (SELECT c_custkey, c_acctbal, 10 + (c_custkey * 37 % 990) / 100.0 + 0.003 AS lon, 50 - (c_custkey * 53 % 190) / 100.0 - 0.003 AS lat FROM customer),
-fr AS (SELECT *, (lon - 10) / 0.1 AS x, (50 - lat) / 0.1 AS y, CAST(floor((lon - 10) / 0.1) AS BIGINT) AS c0, CAST(floor((50 - lat) / 0.1) AS BIGINT) AS r0 FROM pts),
+fr AS (SELECT *, (lon - 10) / 0.1 AS x, (50 - lat) / 0.1 AS y, CAST(floor((lon - 10) / 0.1) AS BIGINT) AS c0, CAST(floor((50 - lat) / 0.1) AS BIGINT) AS r0 FROM pts
+  WHERE lat BETWEEN 50 - ((SELECT max(r) FROM terrain) + 0.5) * 0.1 AND 50.05 AND lon BETWEEN 9.95 AND 19.95), -- inside the box of the grid
+
 posts AS (SELECT c_custkey, c_acctbal, c0 + dc AS c, r0 + dr AS r, (CASE dc WHEN 0 THEN 1 - (x - c0) ELSE x - c0 END) * (CASE dr WHEN 0 THEN 1 - (y - r0) ELSE y - r0 END) AS w
   FROM fr CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(dc, dr)),
 at_ AS (SELECT c_custkey, c_acctbal, sum(w * elev) / sum(w) AS elev FROM posts JOIN terrain t ON t.r = posts.r AND t.c = posts.c WHERE elev IS NOT NULL GROUP BY ALL HAVING sum(w) > 0.25)"""
