@@ -94,3 +94,25 @@ def related(points: DataFrame, aerodromes: DataFrame, owned: DataFrame, nm: floa
     return first.select("key", "ad_id", F.when(F.col("_r") == 1, "aerodrome data").otherwise("near").alias("tag"))
 
 
+
+
+def derive_parents(elements: DataFrame, kind: str, code: str) -> DataFrame:
+    """One row per aerodrome and code that mapping elements only name, with the largest width and length: ad_id, code, type, width_m, length_m, n.
+
+    ``elements``: ad_id, the code column, width_m, length_m.
+    """
+    named = elements.filter(F.coalesce(F.col(code), F.lit("")) != "")
+    return named.groupBy("ad_id", F.col(code).alias("code")).agg(
+        F.max("width_m").alias("width_m"), F.max("length_m").alias("length_m"), F.count(F.lit(1)).alias("n")
+    ).withColumn("type", F.lit(kind))
+
+
+def pair_stands(areas: DataFrame, locations: DataFrame) -> DataFrame:
+    """Stands given as an area and as a location are one stand, labelled at its location: ad_id, stand, area_id, location_id."""
+    return areas.select("ad_id", "stand", "area_id").join(locations.select("ad_id", "stand", "location_id"), ["ad_id", "stand"], "full_outer")
+
+
+def airspace_over(inside: DataFrame, served: DataFrame) -> DataFrame:
+    """Airspace an aerodrome lies in or serves, once each: ad_id, airspace_id, served."""
+    both = inside.select("ad_id", "airspace_id", F.lit(False).alias("served")).unionByName(served.select("ad_id", "airspace_id", F.lit(True).alias("served")))
+    return both.groupBy("ad_id", "airspace_id").agg(F.bool_or("served").alias("served"))
