@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import OrderedScan
+
 HEAD_BYTES = 8192
 
 
@@ -34,8 +36,9 @@ def group_deliveries(files: DataFrame, manifest: str = "manifest") -> DataFrame:
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("name", r"\.[^.]+$", ""), VARIANTS, ""), r"[\s_.-]+", " ")
     late = F.lower("name").rlike("delta|update|diff")
     keyed = files.withColumn("delivery", F.coalesce(manifest, F.trim(F.lower(bare)))).withColumn("_late", late.cast("int"))
-    n = keyed.groupBy("delivery").agg(F.array_sort(F.collect_list(F.struct("_late", "name", "path"))).alias("_all"))
-    return keyed.join(n, "delivery").withColumn("read_order", F.array_position("_all", F.struct("_late", "name", "path"))).drop("_all", "_late")
+    order = [F.col("_late"), F.col("name"), F.col("path")]
+    segment = F.concat(F.col("_late").cast("string"), F.substring("name", 1, 8))
+    return OrderedScan(["delivery"], order, segment).row_number(keyed, "read_order").drop("_late")
 
 
 def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
