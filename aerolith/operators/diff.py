@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import cycle_id, cycle_next, cycle_start, publication_date
+from ..functions.calendar import cycle_id, cycle_start, publication_date
 from ..functions.geo import col
 from .flatten import changed_paths
-from .ordered import OrderedScan, Running
+from .ordered import OrderedScan
 
 KEY_SAMPLE = 2000
 KEY_SHARE = 0.3
