@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,8 +14,6 @@ SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # rows are few but multiply (cells, samples, steps): keep small shuffles spread over the cores
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a skewed join feeding an aggregate is still split, at the price of one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
@@ -41,12 +40,18 @@ def build(app: str = "aerolith", master: str | None = None, shuffle_partitions:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests, one machine)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        context_dir = spark.sparkContext.getCheckpointDir()
-        root = context_dir or tempfile.mkdtemp(prefix="aerolith-checkpoint-")
-    return root
+    """The shared folder named in `spark.checkpoint.dir`.
+
+    Where none is set, a session inside one machine gets a folder of its own; on a cluster there is no folder that
+    every executor sees, so the job stops here instead of losing rows later.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="aerolith-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -55,6 +60,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Iterative operators call this once a round, so a lost executor recomputes one round, not all of them.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
