@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import bpe, decontamination, near_dups, quality, token_counts
+import corpus_pipeline
+from aerolith.llm import bpe, decontamination, near_dups, pii, quality, token_counts
 from aerolith.llm.base import table
 
 
@@ -29,6 +30,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *names, quality.failed("base/1").alias("base_failed"), "kept", "fail_bits")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.personal_data(table(spark, sf_dir, "documents"))
+    number = {f"n_{k}": F.size(F.filter("base", _kind_is(n))).cast("bigint") for n, k in enumerate(pii.KINDS[:4])}
+    return rows.select("doc_id", *[c.alias(n) for n, c in number.items()], F.sha2(pii.as_text("base"), 256).alias("base_sha256"), pii.as_text("spans").alias("spans"))
+
+
+def _kind_is(kind: int):
+    return lambda s: s["kind"] == kind
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("item_ids", ","), 256)
@@ -40,7 +51,9 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_minhash_near_dups": op6_minhash_near_dups,
     "op8_quality_rules": op8_quality_rules,
+    "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
