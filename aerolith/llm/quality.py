@@ -103,7 +103,11 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.size(lines).cast("bigint"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"),
     })
-    out = with_repeated_words(out, words, "n_repeat_words").drop(words, lines)
+    out = with_repeated_words(out, words, "n_repeat_words")
+    # a generator between measuring and judging: filters on the ledger cannot be moved below it, which would copy the
+    # measuring into every condition
+    measured = F.inline(F.array(F.struct(*MEASURES)))
+    out = out.select(*[c for c in df.columns if c not in [*MEASURES, "fail_bits"]], measured)
     bits = [F.when(F.coalesce(r.fails(), F.lit(False)), F.lit(1 << r.bit)).otherwise(0) for r in RULES]
     total = bits[0]
     for b in bits[1:]:
