@@ -6,10 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from aerolith.llm import bpe, decontamination, near_dups, pii, quality, token_counts
+from aerolith.llm import bpe, chat_format, decontamination, html_extraction, near_dups, pii, quality, sharding, token_counts, warc
 from aerolith.llm.base import table
 
 
+SHARDS = [f"shard-{k:03d}" for k in range(64)]
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(-1).cast("bigint"), F.lit(k).cast("bigint"), F.lit(r), F.lit("</s>[INST] ok [/INST]")) for k, r in enumerate(("user", "assistant"))]))).toDF("conv_id", "turn", "role", "text")
+    rows = chat_format.format_chats(chats.unionByName(planted))
+    turns = F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return rows.select(
+        "conv_id", F.size("parsed").cast("bigint").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss_text").cast("bigint").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"), "identical",
+    )
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    rows = warc.payload_facts(warc.read_archives(spark, path))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS).select("doc_id", F.col("slot").cast("bigint").alias("slot"), "shard")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.round_trip(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
@@ -47,9 +75,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_chat_format": op2_chat_format,
+    "op3_warc": op3_warc,
     "op4_bpe": op4_bpe,
     "op5_token_counts": op5_token_counts,
     "op6_minhash_near_dups": op6_minhash_near_dups,
+    "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
     "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
@@ -59,6 +91,24 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 SQL = {
+    "op2_chat_format": r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e as (select *, regexp_replace(regexp_replace(regexp_replace(text, '\\([elb])', '\\e\1', 'g'), '<(/?s>)', '\\l\1', 'g'), '\[(/?(INST|ANSWER|SYS|ROLE))', '\\b\1', 'g') shown,
+  case role when 'user' then 'INST' when 'assistant' then 'ANSWER' when 'system' then 'SYS' else 'ROLE ' || role end name from c)
+select conv_id, count(*)::bigint n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256,
+  sum(length(shown) + 2 * length(name) + 14)::bigint formatted_chars, true identical
+from e group by conv_id
+""",
+    "op3_warc": r"""
+with p as (select page_id, coalesce(html, '') h from pages),
+f as (select sha256(h) d, min(page_id) f from p where strlen(h) >= 100 group by 1)
+select page_id, strlen(h)::bigint payload_bytes, sha256(h) payload_digest, case when f is not null and page_id <> f then 'revisit' else 'response' end record_type,
+  case when page_id <> f then f end refers_to, true complete
+from p left join f on f.d = sha256(h) and strlen(h) >= 100
+""",
     "op6_minhash_near_dups": r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
