@@ -1,11 +1,11 @@
 """Byte-pair encoding and decoding with a pair occurrence index.
 
-A task takes the distinct chunks it has not met yet, lays the symbols of all their words in one list, and indexes every
-adjacent pair that has a rank by all its positions. Ranks in use are applied in ascending order: all positions of a
+A task takes the distinct words it has not met yet, lays their symbols in one list, and indexes every adjacent pair that
+has a rank by all its positions. Ranks in use are applied in ascending order: all positions of a
 rank are merged left to right, and only the pairs beside a merged symbol enter or leave the index. Merging can only
-make pairs of higher ranks, so each rank is visited once. The ids of a text are then gathered from its chunks.
+make pairs of higher ranks, so each rank is visited once. The ids of a text are then gathered from its words.
 
-A worker remembers at most REMEMBERED chunks; beyond that it starts anew, which costs time, never a result.
+A worker remembers at most REMEMBERED words; beyond that it starts anew, which costs time, never a result.
 
 Defined results: a null or blank text has no ids and decodes to an empty text; a null id stays null; every row is
 encoded by itself, so repeated rows and ties get equal ids; an empty table gives an empty result. Other columns are not
@@ -25,72 +25,75 @@ from pyspark.sql import functions as F
 from aerolith.llm import vocabulary
 from aerolith.llm.base import slices
 
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+STEP = 400_000  # words at a time
 
 _memory: dict[str, "Encoder"] = {}
 
 
-def merge_all(words: list[list[int]], merges: dict[tuple[int, int], tuple[int, int]]) -> list[list[int]]:
-    """Merge the symbols of all words at once by the pair occurrence index."""
+def merge_all(words: list[list[int]], ranks: dict[int, int], made: list[int]) -> tuple[list[int], list[int]]:
+    """Merge the symbols of all words at once by the pair occurrence index: (symbols left, number of them per word)."""
     symbols: list[int] = []
     for w in words:
         symbols += w
         symbols.append(-1)  # a border no pair crosses
     n = len(symbols)
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     index: dict[int, list[int]] = {}
-    made: dict[int, tuple[int, int, int]] = {}
-    get = merges.get
+    rank_of = ranks.get
     for at in range(n - 1):
-        found = get((symbols[at], symbols[at + 1]))
-        if found:
-            rank = found[0]
+        rank = rank_of(symbols[at] << 20 | symbols[at + 1])
+        if rank is not None:
             if rank in index:
                 index[rank].append(at)
             else:
                 index[rank] = [at]
-                made[rank] = (symbols[at], symbols[at + 1], found[1])
     active = list(index)
     heapq.heapify(active)
     while active:
         rank = heapq.heappop(active)
-        left, right, new = made.pop(rank)
         places = index.pop(rank)
-        places.sort()
+        if len(places) > 1:
+            places.sort()
+        new = made[rank]
         for at in places:
             nxt = after[at]
             # an earlier merge may have taken either symbol
-            if symbols[at] != left or nxt >= n or symbols[nxt] != right:
+            if nxt >= n or rank_of(symbols[at] << 20 | symbols[nxt]) != rank:
                 continue
             symbols[at], symbols[nxt] = new, -2
-            beyond = after[nxt]
-            after[at] = beyond
+            after[at] = beyond = after[nxt]
             if beyond < n:
                 before[beyond] = at
+                found = rank_of(new << 20 | symbols[beyond])
+                if found is not None:
+                    if found in index:
+                        index[found].append(at)
+                    else:
+                        index[found] = [at]
+                        heapq.heappush(active, found)
             prior = before[at]
-            for a, b in ((prior, at), (at, beyond)):
-                if a >= 0 and b < n:
-                    pair = (symbols[a], symbols[b])
-                    found = get(pair)
-                    if found:
-                        if found[0] in index:
-                            index[found[0]].append(a)
-                        else:
-                            index[found[0]] = [a]
-                            made[found[0]] = (*pair, found[1])
-                            heapq.heappush(active, found[0])
-    out: list[list[int]] = [[]]
+            if prior >= 0:
+                found = rank_of(symbols[prior] << 20 | new)
+                if found is not None:
+                    if found in index:
+                        index[found].append(prior)
+                    else:
+                        index[found] = [prior]
+                        heapq.heappush(active, found)
+    left, sizes, size = [], [], 0
     for s in symbols:
         if s >= 0:
-            out[-1].append(s)
+            left.append(s)
+            size += 1
         elif s == -1:
-            out.append([])
-    return out[:-1]
+            sizes.append(size)
+            size = 0
+    return left, sizes
 
 
 class Encoder:
-    """Ids of chunks met so far, in one growing list."""
+    """Ids of the words met so far, in one growing list."""
 
     def __init__(self, name: str) -> None:
         self.vocabulary = vocabulary.load(name)
@@ -99,54 +102,46 @@ class Encoder:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.int32)
-        self.starts = np.zeros(REMEMBERED + 1, np.int64)
+        self.ends = np.zeros(1 << 16, np.int64)  # place k + 1 is where the ids of word k end
         self.used = 0
 
-    def learn(self, chunks: list[str]) -> None:
-        words, owners = [], []
-        for c in chunks:
-            own = self.vocabulary.symbols(c)
-            words += own
-            owners.append(len(own))
-        merged = iter(merge_all(words, self.vocabulary.merges))
-        for c, n in zip(chunks, owners, strict=True):
-            ids = [i for _ in range(n) for i in next(merged)]
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), np.int32)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.known[c] = len(self.known)
-            self.starts[len(self.known)] = self.used
+    def learn(self, words: list[str]) -> None:
+        left, sizes = merge_all([self.vocabulary.symbols(w) for w in words], self.vocabulary.ranks, self.vocabulary.made)
+        k = len(self.known)
+        while self.used + len(left) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while k + len(words) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.empty_like(self.ends)])
+        self.ids[self.used : self.used + len(left)] = left
+        self.ends[k + 1 : k + 1 + len(words)] = self.used + np.cumsum(sizes)
+        self.used += len(left)
+        self.known.update(zip(words, range(k, k + len(words)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets of the texts)."""
-        chunked = [self.vocabulary.chunks(t) for t in texts]
-        every = [c for own in chunked for c in own]
-        new = list(set(every).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.forget()
-            new = list(set(every))
-            if len(new) > REMEMBERED:  # one very long text: in parts
-                half = [self._parts(own) for own in chunked]
-                flat = np.concatenate([np.empty(0, np.int32), *half])
-                return flat, np.cumsum([0, *map(len, half)])
-        self.learn(new)
-        at = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
-        begin, size = self.starts[at], self.starts[at + 1] - self.starts[at]
+        words, counts = [], [0]
+        for text in texts:
+            words += self.vocabulary.words(text)
+            counts.append(len(words))
+        parts = [self._part(words[k : k + STEP]) for k in range(0, len(words), STEP)]
+        flat = np.concatenate([np.empty(0, np.int32), *[p for p, _ in parts]])
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([np.empty(0, np.int64), *[s for _, s in parts]]))]).astype(np.int64)
+        return flat, ends[counts]
+
+    def _part(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of them per word)."""
+        known = self.known
+        new = list(set(words).difference(known))
+        if new:
+            if len(known) + len(new) > REMEMBERED:
+                self.forget()
+                known, new = self.known, list(set(words))
+            self.learn(new)
+        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        begin = self.ends[at]
+        size = self.ends[at + 1] - begin
         ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.ids[np.arange(total) + np.repeat(begin - (ends - size), size)] if total else np.empty(0, np.int32)
-        counts = np.cumsum([0, *map(len, chunked)])
-        return flat, np.concatenate([[0], ends])[counts]
-
-    def _parts(self, chunks: list[str]) -> np.ndarray:
-        out = [np.empty(0, np.int32)]
-        for k in range(0, len(chunks), REMEMBERED // 2):
-            part = chunks[k : k + REMEMBERED // 2]
-            self.forget()
-            self.learn(list(set(part)))
-            out += [self.ids[self.starts[i] : self.starts[i + 1]].copy() for i in map(self.known.__getitem__, part)]
-        return np.concatenate(out)
+        return self.ids[np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)], size
 
 
 def encoder(name: str) -> Encoder:

@@ -2,7 +2,7 @@
 
 Each distinct word is a linked list of symbols and a heap of its adjacent pairs by (rank, position). The lowest pair is
 popped, merged if it still stands, and its two neighbour pairs are pushed; every merge lowers the count by one. No id
-leaves a task, only a number per text. Counts of words are remembered per worker, at most REMEMBERED chunks of them.
+leaves a task, only a number per text. Counts of words are remembered per worker, at most REMEMBERED of them.
 
 Defined results: a null or blank text has 0 tokens and, if null, 0 bytes; a null id stays null; rows are counted one by
 one, so repeated rows and ties are equal; an empty table gives an empty result. Other columns are not read.
@@ -21,59 +21,59 @@ from pyspark.sql import functions as F
 from aerolith.llm import vocabulary
 from aerolith.llm.base import slices
 
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+STEP = 400_000  # words of a text at a time
 
 _memory: dict[str, "Counter"] = {}
 
 
-def count_merged(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> int:
+def count_merged(symbols: list[int], ranks: dict[int, int], made: list[int]) -> int:
     """Number of symbols left when no adjacent pair has a rank."""
     n = len(symbols)
     if n < 2:
         return n
-    symbols, get = list(symbols), merges.get
+    symbols, rank_of = list(symbols), ranks.get
     after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-    heap = [(found[0], at, symbols[at], symbols[at + 1], found[1]) for at in range(n - 1) if (found := get((symbols[at], symbols[at + 1])))]
+    heap = [(rank, at) for at in range(n - 1) if (rank := rank_of(symbols[at] << 20 | symbols[at + 1])) is not None]
     heapq.heapify(heap)
     left = n
     while heap:
-        _, at, a, b, new = heapq.heappop(heap)
+        rank, at = heapq.heappop(heap)
         nxt = after[at]
-        if symbols[at] != a or nxt < 0 or symbols[nxt] != b:
+        if nxt < 0 or symbols[at] < 0 or rank_of(symbols[at] << 20 | symbols[nxt]) != rank:
             continue  # one of the two has been merged meanwhile
+        new = made[rank]
         symbols[at], symbols[nxt] = new, -1
         after[at] = beyond = after[nxt]
         left -= 1
         if beyond >= 0:
             before[beyond] = at
-            if found := get((new, symbols[beyond])):
-                heapq.heappush(heap, (found[0], at, new, symbols[beyond], found[1]))
+            if (found := rank_of(new << 20 | symbols[beyond])) is not None:
+                heapq.heappush(heap, (found, at))
         prior = before[at]
-        if prior >= 0 and (found := get((symbols[prior], new))):
-            heapq.heappush(heap, (found[0], prior, symbols[prior], new, found[1]))
+        if prior >= 0 and (found := rank_of(symbols[prior] << 20 | new)) is not None:
+            heapq.heappush(heap, (found, prior))
     return left
 
 
 class Counter:
     def __init__(self, name: str) -> None:
         self.vocabulary = vocabulary.load(name)
-        self.chunks: dict[str, int] = {}
+        self.known: dict[str, int] = {}
 
     def of(self, text: str) -> int:
-        chunks = self.vocabulary.chunks(text)
-        known = self.chunks
-        new = set(chunks).difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            if len(new) > REMEMBERED:
-                return sum(self._one(c) for c in chunks)
-            new = set(chunks)
-        for c in new:
-            known[c] = self._one(c)
-        return sum(map(known.__getitem__, chunks))
-
-    def _one(self, chunk: str) -> int:
-        return sum(count_merged(w, self.vocabulary.merges) for w in self.vocabulary.symbols(chunk))
+        words, known = self.vocabulary.words(text), self.known
+        total = 0
+        for k in range(0, len(words), STEP):
+            part = words[k : k + STEP]
+            new = set(part).difference(known)
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                new = set(part)
+            for w in new:
+                known[w] = count_merged(self.vocabulary.symbols(w), self.vocabulary.ranks, self.vocabulary.made)
+            total += sum(map(known.__getitem__, part))
+        return total
 
 
 def _counted(name: str):

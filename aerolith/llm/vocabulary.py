@@ -1,12 +1,12 @@
 """The word-level byte-pair vocabulary: its file, normal form, pieces of text and initial symbols.
 
-A text is cut at white space into chunks; no piece of the vocabulary's splitting rule crosses white space, so a chunk's
-symbols depend on the chunk alone and are worked out once for each distinct chunk a worker meets.
+A word's symbols depend on the word alone, so they are worked out once for each distinct word a worker meets.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -18,10 +18,10 @@ DEFAULT = "word_bpe_49k.json"
 # The split pattern of the vocabulary file; a file with another one is refused.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-# Unicode white space; str.split() also takes the four separators U+001C to U+001F, which are ordinary characters here.
+# Unicode white space.
 _WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SPACE = regex.compile(f"[{_WHITE}]+")
-_ODD = regex.compile("[\x1c-\x1f]")
+# Beyond these characters the tables below may matter.
+_RARE = re.compile(r"[^\x00-\u02ff\u2010-\u2027\u20ac]")
 _PIECE = regex.compile(PIECES.replace(r"\s", _WHITE))
 
 # Letters and numbers that Unicode 16 added to the 15.1 of Python's own tables. The library classes
@@ -43,7 +43,7 @@ def _late(char: str) -> bool:
 
 
 def pieces(text: str) -> list[str]:
-    if text.isascii() or not any(map(_late, text)):
+    if not any(map(_late, text)):
         return _PIECE.findall(text)
     shadow = "".join("\ue000" if _late(c) else c for c in text)
     return [text[m.start() : m.end()] for m in _PIECE.finditer(shadow)]
@@ -68,39 +68,36 @@ class Vocabulary:
         letters = byte_letters()
         self.first = [ids[c] for c in letters]
         self.last = [ids[c + "</w>"] for c in letters]
-        # (left id, right id) -> (rank, merged id)
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(merges)}
+        # left id x 2 ^ 20 + right id -> rank, and the merged id of each rank
+        self.ranks = {ids[a] << 20 | ids[b]: rank for rank, (a, b) in enumerate(merges)}
+        self.made = [ids[a + b] for a, b in merges]
         self.strings = {i: s for s, i in ids.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings |= {i: s for s, i in self.special.items()}
         self._specials = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")")
 
-    def chunks(self, text: str) -> list[str]:
-        """Chunks between white space in order; a special string of the vocabulary is a chunk of its own."""
+    def words(self, text: str) -> list[str]:
+        """Words of a text in order; a special string of the vocabulary is a word of its own."""
         if "<|" in text:
             parts = self._specials.split(text)
             if len(parts) > 1:
-                return [c for k, p in enumerate(parts) for c in ([p] if k % 2 else self._spaced(p))]
-        return self._spaced(text)
+                return [w for k, p in enumerate(parts) for w in ([p] if k % 2 else self._plain(p))]
+        return self._plain(text)
 
     @staticmethod
-    def _spaced(text: str) -> list[str]:
-        return [c for c in _SPACE.split(text) if c] if _ODD.search(text) else text.split()
-
-    def symbols(self, chunk: str) -> list[list[int]]:
-        """Initial symbols of each word of a chunk."""
-        if chunk in self.special:
-            return [[self.special[chunk]]]
-        plain = unicodedata.normalize("NFC", chunk)
+    def _plain(text: str) -> list[str]:
+        if text.isascii():
+            return _PIECE.findall(text.lower())
         # lower case goes by single characters: no final form of sigma
-        plain = plain.replace("Σ", "σ").lower()
-        if not plain.isascii():
-            plain = plain.translate(_LOWER)
-        words = []
-        for piece in pieces(plain):
-            raw = piece.encode()
-            words.append([*(self.first[b] for b in raw[:-1]), self.last[raw[-1]]])
-        return words
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return pieces(text.translate(_LOWER)) if _RARE.search(text) else _PIECE.findall(text)
+
+    def symbols(self, word: str) -> list[int]:
+        """Initial symbols of a word."""
+        if word in self.special:
+            return [self.special[word]]
+        raw = word.encode()
+        return [*map(self.first.__getitem__, raw[:-1]), self.last[raw[-1]]]
 
 
 @lru_cache(maxsize=2)
