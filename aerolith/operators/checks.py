@@ -334,15 +334,16 @@ def readiness(inputs: DataFrame, ad: str = "ad_id") -> DataFrame:
 
 # ---------------------------------------------------------------- search, sort
 
-def search(features: DataFrame, words: str, columns: Sequence[str], key: str, important: Column | None = None, hits: int = 400, shown: int = 60) -> DataFrame:
-    """All-words search: prefix hits and important rows first, ``shown`` of at most ``hits``."""
+def search(features: DataFrame, words: str, columns: Sequence[str], key: str, important: Column | None = None, shown: int | None = None) -> DataFrame:
+    """All-words search: prefix hits and important rows first; all hits, or the first ``shown`` where a caller asks for it."""
     hay = F.lower(F.concat_ws(" ", *columns))
     q = [w for w in words.lower().split() if w]
     match = F.lit(True)
     for w in q:
         match = match & hay.contains(w)
     score = F.when(F.lower(F.col(columns[0])).startswith(q[0]), 0).otherwise(2) + (F.when(important, 0).otherwise(1) if important is not None else F.lit(0))
-    return features.filter(match).withColumn("score", score).orderBy("score", key).limit(min(hits, shown))
+    found = features.filter(match).withColumn("score", score).orderBy("score", key)
+    return found if shown is None else found.limit(shown)
 
 
 def top_k(rows: DataFrame, order: Sequence[Column], k: int, keys: Sequence[str] = ()) -> DataFrame:

@@ -12,14 +12,12 @@ from ..functions.geo import col
 from .flatten import changed_paths
 from .ordered import OrderedScan
 
-KEY_SAMPLE = 2000
 KEY_SHARE = 0.3
 
 
-def identifier_match_share(a: DataFrame, b: DataFrame, key: str = "feature_id", order: str = "position") -> DataFrame:
-    """Share of the first ids of ``a`` that ``b`` also has (one row); above 0.3 the deliveries are matched by id."""
-    sample = a.select(key, order).orderBy(order).limit(KEY_SAMPLE)
-    hit = sample.join(b.select(key).distinct().withColumn("_hit", F.lit(1)), key, "left")
+def identifier_match_share(a: DataFrame, b: DataFrame, key: str = "feature_id") -> DataFrame:
+    """Share of the ids of ``a`` that ``b`` also has (one row); above 0.3 the deliveries are matched by id."""
+    hit = a.select(key).join(b.select(key).distinct().withColumn("_hit", F.lit(1)), key, "left")
     return hit.agg((F.count("_hit") / F.count(F.lit(1))).alias("share"))
 
 
@@ -102,8 +100,8 @@ def part_of(section) -> Column:
     return F.when(s.startswith("GEN"), "GEN").when(s.startswith("ENR"), "ENR").when(s.startswith("AD"), "AD").otherwise("Other")
 
 
-def cycle_counts(changes: DataFrame, at: str = "from", section: str = "section", temporary: str = "temporary", fill: int = 60) -> DataFrame:
-    """Changes per 28-day cycle, part and kind; cycles without changes in between are filled (up to ``fill``)."""
+def cycle_counts(changes: DataFrame, at: str = "from", section: str = "section", temporary: str = "temporary") -> DataFrame:
+    """Changes per 28-day cycle, part and kind; cycles without changes in between are filled."""
     dated = changes.filter(F.col(at).isNotNull())
     p = part_of(section)
     counted = dated.groupBy(cycle_start(at).alias("start")).agg(
@@ -112,8 +110,7 @@ def cycle_counts(changes: DataFrame, at: str = "from", section: str = "section",
         F.count_if(F.col(temporary)).alias("n_temporary"), F.count_if(~F.col(temporary)).alias("n_permanent"),
     )
     bounds = counted.agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
-    days = F.datediff("hi", "lo") / 28
-    calendar = bounds.filter(days < fill).select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 28 DAYS"))).alias("start"))
+    calendar = bounds.filter("lo is not null").select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 28 DAYS"))).alias("start"))
     starts = calendar.unionByName(counted.select("start")).distinct()
     numbers = [c for c in counted.columns if c.startswith("n")]
     return starts.join(counted, "start", "left").select(

@@ -65,7 +65,7 @@ def resolve_refs(refs: DataFrame, features: DataFrame) -> DataFrame:
     )
     out = (
         refs.join(by_id, ["dataset_id", "ref"], "left")
-        .withColumn("_local", F.when(F.col("ref").cast("string").startswith("#"), F.substring(F.col("ref").cast("string"), 2, 1000)))
+        .withColumn("_local", F.when(F.col("ref").cast("string").startswith("#"), F.expr("substring(cast(ref as string), 2)")))
         .join(by_gml, ["dataset_id", "_local"], "left")
         .withColumn("target_id", F.coalesce("_t1", "_t2"))
         .withColumn("target_type", F.coalesce("_y1", "_y2"))
@@ -110,13 +110,12 @@ def peer_lookup(lost: DataFrame, peers: DataFrame, key: str = "ref") -> DataFram
     return lost.join(first, key)
 
 
-def cross_dataset_refs(lost: DataFrame, features: DataFrame, sample: int = 400, least: int = 3, share: float = 0.2) -> DataFrame:
+def cross_dataset_refs(lost: DataFrame, features: DataFrame, least: int = 3, share: float = 0.2) -> DataFrame:
     """Data sets that name features of another one.
 
-    Of up to ``sample`` unresolved ids of a data set at least ``least``, and the given share, are found in the other.
+    Of the unresolved ids of a data set at least ``least``, and the given share, are found in the other.
     """
-    ids = lost.select("dataset_id", "ref").distinct()
-    looked_up = top_k_per_key(ids, ["dataset_id"], [F.xxhash64("ref"), F.col("ref")], sample)
+    looked_up = lost.select("dataset_id", "ref").distinct()
     n = looked_up.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_ids"))
     hits = (
         looked_up.join(features.select(F.col("dataset_id").alias("other_id"), F.col("feature_id").alias("ref")).distinct(), "ref")

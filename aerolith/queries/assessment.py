@@ -174,8 +174,10 @@ d AS (SELECT *, CASE WHEN t < -60 THEN -60 - t WHEN t > L + 200 THEN t - L - 200
 d2 AS (SELECT *, sqrt(dt * dt + power(greatest(0, c - 150), 2)) AS d2a, elev0 + 6 * greatest(0, least(L, t)) / L AS el FROM d),
 ar AS (SELECT *, CASE WHEN d2a = 0 THEN '2a' WHEN dt > 0 AND dt <= 10000 AND c <= 150 + 0.15 * dt THEN '2b' WHEN d2a <= 10000 THEN '2c' WHEN arp <= 45000 THEN '2d' ELSE '1' END AS area FROM d2),
 sf AS (SELECT *, CASE area WHEN '2a' THEN el + 3 WHEN '2b' THEN CASE WHEN t < 0 THEN elev0 ELSE elev0 + 6 END + 0.012 * dt WHEN '2c' THEN el + 0.012 * d2a END AS surf FROM ar),
-etod AS (SELECT *, CASE WHEN surf IS NOT NULL THEN elev_m - surf > 0 ELSE hgt_m >= 100 END AS required,
-  CASE WHEN d2a = 0 AND c <= 90 AND t >= 0 AND t <= L THEN '3' WHEN ad_id % 2 = 0 AND t < 0 AND t >= -900 AND c <= 60 THEN '4' ELSE area END AS strictest FROM sf)"""
+reached AS (SELECT *, CASE WHEN surf IS NOT NULL THEN elev_m - surf > 0 ELSE hgt_m >= 100 END AS required,
+  CASE WHEN d2a = 0 AND c <= 90 AND t >= 0 AND t <= L THEN '3' WHEN ad_id % 2 = 0 AND t < 0 AND t >= -900 AND c <= 60 THEN '4' ELSE area END AS strictest FROM sf),
+etod AS (SELECT obstacle_id, ad_id, area, surf, required, strictest FROM reached
+  UNION ALL SELECT obstacle_id, NULL, '1', NULL, hgt_m >= 100, '1' FROM obs WHERE obstacle_id NOT IN (SELECT obstacle_id FROM reached))"""
 
 
 @FAMILY.add("job_15_etod_classify", f"WITH {ETOD_SQL} SELECT obstacle_id, ad_id, area, round(surf, 3) AS surface_m, required, strictest FROM etod")

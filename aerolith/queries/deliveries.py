@@ -47,10 +47,10 @@ def _(spark, sf):
 
 
 @FAMILY.add("jon_14_key_choice", f"""WITH {DELIVERIES_SQL} SELECT round(avg(CASE WHEN b.key IS NULL THEN 0.0 ELSE 1.0 END), 6) AS share
-FROM (SELECT key FROM delivery_a ORDER BY key LIMIT 2000) a LEFT JOIN delivery_b b ON a.key = b.key""")
+FROM delivery_a a LEFT JOIN delivery_b b ON a.key = b.key""")
 def _(spark, sf):
     a, b = deliveries(spark, sf)
-    shaped = lambda d: d.select(F.col("key").alias("feature_id"), F.col("key").alias("position"))
+    shaped = lambda d: d.select(F.col("key").alias("feature_id"))
     return D.identifier_match_share(shaped(a), shaped(b)).select(F.round("share", 6).alias("share"))
 
 
@@ -134,7 +134,7 @@ d AS (SELECT cal.no, DATE '2024-01-25' + CAST(cal.no * 28 AS INTEGER) AS start,
 SELECT {CYCLE_LABEL} AS cycle, start, coalesce(n, 0) AS n, coalesce(n_gen, 0) AS n_gen, coalesce(n_enr, 0) AS n_enr, coalesce(n_ad, 0) AS n_ad, coalesce(n_other, 0) AS n_other,
   coalesce(n_temporary, 0) AS n_temporary, coalesce(n_permanent, 0) AS n_permanent FROM d""")
 def _(spark, sf):
-    return D.cycle_counts(_changes(spark, sf), fill=120)
+    return D.cycle_counts(_changes(spark, sf))
 
 
 @FAMILY.add("agg_07_section_counts", f"""WITH {CHANGES_SQL}

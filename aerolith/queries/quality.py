@@ -153,7 +153,7 @@ def _(spark, sf):
 
 
 @FAMILY.add("prj_09_search", """SELECT p_partkey, p_name FROM (SELECT *, CASE WHEN starts_with(lower(p_name), 'blue') THEN 0 ELSE 2 END + CASE WHEN p_size > 25 THEN 0 ELSE 1 END AS score FROM part
-  WHERE lower(p_name || ' ' || p_brand) LIKE '%blue%' AND lower(p_name || ' ' || p_brand) LIKE '%brand#1%') ORDER BY score, p_partkey LIMIT 60""")
+  WHERE lower(p_name || ' ' || p_brand) LIKE '%blue%' AND lower(p_name || ' ' || p_brand) LIKE '%brand#1%') ORDER BY score, p_partkey""")
 def _(spark, sf):
     return K.search(table(spark, sf, "part"), "blue brand#1", ["p_name", "p_brand"], "p_partkey", F.col("p_size") > 25).select("p_partkey", "p_name")
 

@@ -84,7 +84,7 @@ def _(spark, sf):
     lost = table(spark, sf, "lineitem").select(F.concat(F.lit("lines"), F.col("l_linenumber") % 3).alias("dataset_id"), F.col("l_partkey").alias("ref"))
     feats = table(spark, sf, "part").select(F.concat(F.lit("brand"), F.col("p_size") % 4).alias("dataset_id"), F.col("p_partkey").alias("feature_id"))
     # every id is looked up: the sample is the reference's own short cut, not needed for a join
-    return R.cross_dataset_refs(lost, feats, sample=2**31 - 1)
+    return R.cross_dataset_refs(lost, feats)
 
 
 @FAMILY.add("jon_05_owner_aerodrome", """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'N' || c_nationkey END AS ad FROM customer),
