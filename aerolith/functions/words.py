@@ -15,7 +15,7 @@ UNIT_WORDS = {"FT": "FT", "FEET": "FT", "M": "M", "METRE": "M", "METRES": "M", "
 
 def lookup(table: dict, key: Column) -> Column:
     """Value of a fixed table, null for other keys."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    return F.try_element_at(F.create_map(*[x if isinstance(x, Column) else F.lit(x) for pair in table.items() for x in pair]), key)
 
 
 def words(text) -> Column:

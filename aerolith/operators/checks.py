@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.coords import format_dms
 from ..functions.geo import col
 from ..functions.ident import crc32q, natural_sort_key
+from ..functions.words import lookup, says, words
 from .ordered import top_k_per_key
 
 # ---------------------------------------------------------------- rules
@@ -124,27 +125,57 @@ def obstacle_stats(rows: DataFrame) -> DataFrame:
     return g.select(name.alias("grouping"), F.coalesce("type", "height", "distance").alias("name"), "n")
 
 
-# Whole words of a type or name and the kind they mean.
-KIND_WORDS = [
-    ("wind", r"WIND|WINDMILL|TURBINE|WTG"), ("crane", r"CRANE"), ("mast", r"ANTENNA|MAST|AERIAL|TELECOM"), ("chimney", r"STACK|CHIMNEY"), ("line", r"TRANSMISSION|CATENARY|CABLE|POWERLINE"),
-    ("tower", r"TOWER|TWR|PYLON"), ("building", r"BUILDING|BLDG|HANGAR|TERMINAL|HOUSE"), ("tree", r"TREE|VEGETATION|FOREST"), ("pole", r"POLE|LAMP|FLAG"), ("tank", r"TANK|SILO"),
-    ("terrain", r"NATURAL|HIGHPOINT|HILL|TERRAIN"), ("bridge", r"BRIDGE"),
-]
-GENERAL_KINDS = ["tower", "building", "other"]
+# Kinds of the coded types of vertical structures.
+TYPE_KIND = {
+    "AG_EQUIP": "other", "ANTENNA": "antenna", "ARCH": "bridge", "BRIDGE": "bridge", "BUILDING": "building", "CABLE_CAR": "pylon", "CATENARY": "pylon", "CONTROL_TOWER": "ctower",
+    "COOLING_TOWER": "cooling", "CRANE": "crane", "DAM": "wall", "DOME": "dome", "ELECTRICAL_EXIT_LIGHT": "lamp", "ELECTRICAL_SYSTEM": "pole", "ELEVATOR": "tank", "FENCE": "wall", "FUEL_SYSTEM": "tank",
+    "GATE": "wall", "GENERAL_UTILITY": "utility", "GRAIN_ELEVATOR": "tank", "INDUSTRIAL_SYSTEM": "utility", "LIGHTHOUSE": "lighthouse", "MONUMENT": "monument", "NATURAL_HIGHPOINT": "peak",
+    "NAVAID": "antenna", "NUCLEAR_REACTOR": "cooling", "POLE": "pole", "POWER_PLANT": "utility", "REFINERY": "utility", "RIG": "rig", "SIGN": "sign", "SPIRE": "spire", "STACK": "stack",
+    "STADIUM": "stadium", "TANK": "tank", "TETHERED_BALLOON": "balloon", "TOWER": "tower", "TRAMWAY": "pylon", "TRANSMISSION_LINE": "pylon", "TREE": "tree", "URBAN": "building",
+    "VEGETATION": "tree", "WALL": "wall", "WATER_SYSTEM": "utility", "WATER_TOWER": "watertower", "WINDMILL": "windmill", "WINDMILL_FARMS": "windmill",
+}
+# Words and phrases of plain text by kind; a caller with another vocabulary hands in its own.
+KIND_PHRASES = {
+    "als": "APPROACH LIGHT, APPROACH LIGHTING, PAPI, VASIS, LIGHT BAR", "antenna": "ANTENNA, AERIAL, MAST, TELECOM, NAVAID, DME, NDB, ANEMOMETER", "balloon": "BALLOON, AEROSTAT, KITE",
+    "bridge": "BRIDGE, FLYOVER, VIADUCT, OVERPASS", "building": "BUILDING, BLDG, TERMINAL, HOTEL, HOUSE, HOSPITAL, SCHOOL, WAREHOUSE, OFFICE", "cooling": "COOLING TOWER",
+    "crane": "CRANE, TOWER CRANE, HOIST", "ctower": "CONTROL TOWER, ATC TOWER, ATC TWR, ATC", "dome": "DOME, RADOME, MOSQUE, OBSERVATORY", "gp": "GLIDE PATH, GLIDEPATH, GLIDE SLOPE, GP, GP ANTENNA",
+    "hangar": "HANGAR", "lamp": "LAMP, LIGHT POLE, LAMP POST, FLOODLIGHT, STREET LIGHT, LIGHT MAST, HIGH MAST", "lighthouse": "LIGHTHOUSE, LIGHT HOUSE",
+    "loc": "LOCALIZER, LOCALISER, LLZ, LLZ ANTENNA, LOCALIZER ANTENNA", "monument": "MONUMENT, STATUE, OBELISK, MEMORIAL, CLOCK TOWER", "peak": "HILL, PEAK, MOUNTAIN, TERRAIN, HIGHPOINT, RIDGE, DUNE",
+    "pole": "POLE, FLAG, FLAGPOLE, UTILITY POLE", "pylon": "PYLON, POWER LINE, POWERLINE, TRANSMISSION LINE, TRANSMISSION TOWER, CABLE, CATENARY, WIRE", "radar": "RADAR, RADAR TOWER, RADAR ANTENNA, SSR, PSR, SMR",
+    "rig": "RIG, DERRICK, PLATFORM", "sign": "SIGN, BILLBOARD, HOARDING, SIGNBOARD", "spire": "SPIRE, MINARET, STEEPLE, BELL TOWER, CHURCH TOWER", "stack": "STACK, CHIMNEY, FLARE, FLARE STACK",
+    "stadium": "STADIUM, ARENA, GRANDSTAND", "tank": "TANK, SILO, STORAGE TANK, RESERVOIR, GASHOLDER", "tower": "TOWER, TWR, RADIO TOWER, TELECOM TOWER, LATTICE TOWER", "tree": "TREE, PALM, FOREST, VEGETATION, HEDGE, BUSH",
+    "utility": "REFINERY, FACTORY, PLANT, POWER PLANT, POWER STATION, SUBSTATION", "vor": "VOR, DVOR, VORTAC", "wall": "WALL, FENCE, GATE, DAM, EMBANKMENT, BLAST FENCE",
+    "watertower": "WATER TOWER, ELEVATED TANK", "windmill": "WINDMILL, WIND TURBINE, WIND FARM, WTG", "windsock": "WINDSOCK, WIND SOCK, WIND CONE, WDI",
+}
+# The kinds a name may put in place of a general one.
+REFINED_BY = {
+    "antenna": ("gp", "lamp", "loc", "radar", "vor", "windsock"), "building": ("ctower", "dome", "hangar", "stadium", "utility"), "pole": ("als", "lamp", "sign", "windsock"),
+    "tower": ("cooling", "ctower", "gp", "lamp", "lighthouse", "monument", "pylon", "radar", "watertower"),
+}
 
 
-def obstacle_kind(type_, name) -> Column:
-    """Kind by whole words of the type; the name only refines a general kind."""
+def kind_in_text(text, phrases: dict[str, str] | None = None) -> Column:
+    """Kind of the longest phrase of a text, of equally long ones the first; null when none is known."""
+    table = {p: k for k, listed in (phrases or KIND_PHRASES).items() for p in listed.split(", ")}
+    w = F.filter(F.split(F.regexp_replace(F.upper(F.coalesce(col(text), F.lit(""))), r"[^A-Z0-9]+", " "), " "), lambda x: x != "")
+    w = F.transform(w, lambda x: F.when(F.length(x) > 4, F.regexp_replace(x, "(?<!S)S$", "")).otherwise(x))
+    table |= {" ".join(x[:-1] if len(x) > 4 and x.endswith("S") and not x.endswith("SS") else x for x in p.split()): k for p, k in table.items()}
+    longest = max(len(p.split()) for p in table)
+    places = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)))
+    runs = lambda n: F.transform(places, lambda i: F.when(i + (n - 1) <= F.size(w), lookup(table, F.array_join(F.slice(w, i, n), " "))))
+    return F.get(F.array_compact(F.concat(*[runs(n) for n in range(longest, 0, -1)])), F.lit(0))
 
-    def first(text: Column) -> Column:
-        words = F.concat(F.lit(" "), F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), r"[^A-Z0-9]+", " "), F.lit(" "))
-        out = F.lit("other")
-        for kind, pattern in reversed(KIND_WORDS):
-            out = F.when(words.rlike(rf" ({pattern})S? "), kind).otherwise(out)
-        return out
 
-    by_type, by_name = first(col(type_)), first(col(name))
-    return F.when(by_type.isin(GENERAL_KINDS) & (by_name != "other"), by_name).otherwise(by_type)
+def obstacle_kind(type_, name, phrases: dict[str, str] | None = None) -> Column:
+    """Kind by the coded type, else by the words of the type; the name decides where neither does and refines a general kind.
+
+    Null or empty type and name give 'other'.
+    """
+    code = F.regexp_replace(F.upper(F.trim(F.coalesce(col(type_), F.lit("")))), "^OTHER:", "")
+    by_type = F.coalesce(lookup(TYPE_KIND, F.regexp_replace(code, r"[^A-Z0-9]+", "_")), kind_in_text(code, phrases), F.lit("other"))
+    by_name = kind_in_text(name, phrases)
+    finer = F.array_contains(lookup({k: F.array(*[F.lit(x) for x in v]) for k, v in REFINED_BY.items()}, by_type), by_name)
+    return F.when(by_type == "other", F.coalesce(by_name, F.lit("other"))).when(finer, by_name).otherwise(by_type)
 
 
 # Accuracy required by obstacle area (first character), horizontal / vertical in metres.
@@ -162,27 +193,36 @@ def obstacle_area(rows: DataFrame, polygons: DataFrame, key: str = "obstacle_id"
     return rows.join(best, key, "left").withColumn("area", F.coalesce("area", "_own.area", "declared", "_other.area")).drop("_own", "_other")
 
 
-def obstacle_compliance(rows: DataFrame, now, duplicates_at: int = 5) -> DataFrame:
+# What is asked of an obstacle row: check, severity, condition, columns it reads.
+COMPLIANCE = (
+    ("Annex 14 surfaces", "error", "given", "pen_m"),
+    ("Elevation", "error", "missing", "elev_m"), ("Height", "warning", "missing", "hgt_m"), ("Horizontal accuracy", "warning", "missing", "h_acc_m"), ("Vertical accuracy", "warning", "missing", "v_acc_m"),
+    ("Horizontal accuracy", "error", "coarser than the area asks", "h_acc_m 0"), ("Vertical accuracy", "error", "coarser than the area asks", "v_acc_m 1"),
+    ("Identifier", "error", "no text", "ident name"), ("Lighting", "warning", "no text", "lighted"), ("Marking", "info", "no text", "marked"), ("Vertical datum", "info", "no text", "v_datum"),
+    ("Plausibility", "warning", "above", "hgt_m 1000"), ("Plausibility", "warning", "foot outside", "elev_m hgt_m -60 6000"), ("Position", "error", "any missing", "lon lat"),
+    ("Type", "warning", "unspecific", "type"), ("Validity", "info", "over", "valid_to"),
+)
+
+
+def obstacle_compliance(rows: DataFrame, now, decimals: int = 5) -> DataFrame:
     """Findings for obstacle rows: obstacle_id, severity, check.
 
-    Columns used: obstacle_id, name, type, lon, lat, elev_m, hgt_m, lighted, marked, v_datum, h_acc_m, v_acc_m, area,
-    valid_to, pen_m (penetration or null), path_severity (flight path finding or null).
+    Columns used: those of COMPLIANCE and area, path_severity (flight path finding or null).
     """
-    c = F.col
-    need = lambda i: F.try_element_at(F.create_map(*[x for k, v in AREA_REQUIRED.items() for x in (F.lit(k), F.lit(v[i]))]), F.substring(c("area"), 1, 1))
-    empty = lambda x: F.coalesce(c(x), F.lit("")) == ""
-    ground = c("elev_m") - c("hgt_m")
-    tests = [
-        (c("lon").isNull() | c("lat").isNull(), "error", "Position"), (empty("ident") & empty("name"), "error", "Identifier"), (empty("type") | (c("type") == "OTHER"), "warning", "Type"),
-        (c("elev_m").isNull(), "error", "Elevation"), (c("hgt_m").isNull(), "warning", "Height"), (empty("lighted"), "warning", "Lighting"), (empty("marked"), "info", "Marking"),
-        (empty("v_datum"), "info", "Vertical datum"), (c("h_acc_m").isNull(), "warning", "Horizontal accuracy"), (c("h_acc_m") > need(0) + 1e-6, "error", "Horizontal accuracy"),
-        (c("v_acc_m").isNull(), "warning", "Vertical accuracy"), (c("v_acc_m") > need(1) + 1e-6, "error", "Vertical accuracy"), ((ground < -60) | (ground > 6000), "warning", "Plausibility"),
-        (c("hgt_m") > 1000, "warning", "Plausibility"), (c("valid_to") < F.lit(now).cast("timestamp"), "info", "Validity"), (c("pen_m").isNotNull(), "error", "Annex 14 surfaces"),
-    ]
-    flags = [F.when(t, F.struct(F.lit(s).alias("severity"), F.lit(k).alias("check"))) for t, s, k in tests]
-    path = F.when(c("path_severity").isNotNull(), F.struct(F.when(c("path_severity") == "caution", "info").otherwise(c("path_severity")).alias("severity"), F.lit("Flight paths").alias("check")))
-    found = rows.select("obstacle_id", F.explode(F.array_compact(F.array(*flags, path))).alias("f")).select("obstacle_id", "f.severity", "f.check")
-    return found.unionByName(same_position(rows, duplicates_at))
+    blank = lambda x: F.coalesce(F.col(x), F.lit("")) == ""
+    asked = F.col("area").substr(1, 1)
+    conditions = {
+        "missing": lambda x: F.col(x).isNull(), "given": lambda x: F.col(x).isNotNull(), "any missing": lambda *xs: F.array_contains(F.array(*[F.col(x).isNull() for x in xs]), True),
+        "no text": lambda *xs: F.concat_ws("", *xs) == "", "unspecific": lambda x: blank(x) | (F.col(x) == "OTHER"), "above": lambda x, top: F.col(x) > float(top),
+        "foot outside": lambda x, y, lo, hi: ~(F.col(x) - F.col(y)).between(float(lo), float(hi)), "over": lambda x: F.col(x) < F.lit(now).cast("timestamp"),
+        "coarser than the area asks": lambda x, place: F.col(x) > lookup({k: v[int(place)] for k, v in AREA_REQUIRED.items()}, asked) + 1e-6,
+    }
+    finding = lambda severity, check: F.struct(severity.alias("severity"), F.lit(check).alias("check"))
+    found = [F.when(conditions[condition](*columns.split()), finding(F.lit(severity), check)) for check, severity, condition, columns in COMPLIANCE]
+    weight = F.when(F.col("path_severity") == "caution", "info").otherwise(F.col("path_severity"))
+    found.append(F.when(F.col("path_severity").isNotNull(), finding(weight, "Flight paths")))
+    listed = rows.select("obstacle_id", F.explode(F.array_compact(F.array(*found))).alias("f")).select("obstacle_id", "f.severity", "f.check")
+    return listed.unionByName(same_position(rows, decimals))
 
 
 def same_position(rows: DataFrame, decimals: int = 5) -> DataFrame:
@@ -262,13 +302,16 @@ def integrity_items(items: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- accuracy and fitness
 
+# Words of a source text and the class they mean, by weight of the class.
+SOURCE_WORDS = {
+    "S": ("ANNEX", "INFERRED", "SCHEMATIC", "STANDARD"), "T": ("DIGITISED", "DIGITIZED", "TRACED"), "C": ("CHART", "CHARTS"), "O": ("OPENSTREETMAP", "OSM"), "A": ("AIP",),
+}
+
+
 def source_class(source) -> Column:
-    """Class of a source text: S inferred, T traced, C chart, O volunteered map, A published data, D as delivered."""
-    s = F.coalesce(col(source), F.lit(""))
-    return (
-        F.when(s.rlike(r"(?i)^SCHEMATIC|^Inferred|standard layout|Annex 14 minimum"), "S").when(s.rlike(r"(?i)^Digitised by the user"), "T")
-        .when(s.rlike(r"(?i)^From the State'?s charts?"), "C").when(s.rlike(r"(?i)OpenStreetMap"), "O").when(s.rlike(r"(?i)^Generated from AIP data"), "A").otherwise("D")
-    )
+    """Class of a source text: S inferred, T traced, C chart, O volunteered map, A published data, D as delivered (also null)."""
+    said = words(source)
+    return F.coalesce(*[F.when(says(said, terms), kind) for kind, terms in SOURCE_WORDS.items()], F.lit("D"))
 
 
 def with_requirement(features: DataFrame, dim: DataFrame, own: DataFrame | None = None, type_: str = "type") -> DataFrame:

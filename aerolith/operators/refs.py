@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +50,6 @@ PASS_DOWN = {
     "StandardInstrumentDeparture": "flightTransition", "StandardInstrumentArrival": "flightTransition",
     "InstrumentApproachProcedure": "flightTransition",
 }
-OWNERSHIP_DEPTH = 5
 NEAREST_OWNER_NM = 25.0
 
 
@@ -125,6 +125,46 @@ def cross_dataset_refs(lost: DataFrame, features: DataFrame, least: int = 3, sha
     return hits.join(n, "dataset_id").filter((F.col("n_found") >= least) & (F.col("n_found") >= share * F.col("n_ids")))
 
 
+def component_owners(direct: DataFrame, steps: DataFrame) -> DataFrame:
+    """Owner of the features that reach an owned one over their references: feature_id, ad_id, at any depth.
+
+    ``direct``: feature_id, ad_id; ``steps``: src_id, ref_no, target_id of features without a direct owner. The first
+    reference of a feature that leads to an owner counts. A backward search by frontiers finds what leads to one; then
+    each feature follows its one reference by doubling of pointers. Features whose first references run in a loop
+    follow the shortest way out instead.
+    """
+    leads = cut_lineage(direct.select("feature_id", F.lit(0).alias("level")))
+    frontier = leads
+    for level in count(1):
+        reached = steps.join(frontier.select(F.col("feature_id").alias("target_id")), "target_id", "left_semi").select(F.col("src_id").alias("feature_id")).distinct()
+        frontier = cut_lineage(reached.join(leads, "feature_id", "left_anti").withColumn("level", F.lit(level)))
+        if frontier.isEmpty():
+            break
+        leads = leads.unionByName(frontier)
+    place = F.struct("ref_no", "target_id")
+    hops = cut_lineage(
+        steps.join(leads.withColumnRenamed("feature_id", "target_id"), "target_id").groupBy(F.col("src_id").alias("feature_id"))
+        .agg(F.min_by("target_id", place).alias("first"), F.min_by("target_id", F.struct("level", place)).alias("near"))
+    )
+    owners = direct.select(F.col("feature_id").alias("_ptr"), "ad_id")
+    rounds = hops.count().bit_length() + 1
+
+    def follow(way: str) -> DataFrame:
+        now = cut_lineage(hops.select("feature_id", F.col(way).alias("_ptr")).join(owners, "_ptr", "left"))
+        for _ in range(rounds):
+            if now.filter(F.col("ad_id").isNull()).isEmpty():
+                break
+            ahead = now.select(F.col("feature_id").alias("_ptr"), F.col("_ptr").alias("_ptr2"), F.col("ad_id").alias("_ad2"))
+            now = cut_lineage(
+                now.join(ahead, "_ptr", "left").select("feature_id", F.coalesce("_ptr2", "_ptr").alias("_ptr"), F.coalesce("ad_id", "_ad2").alias("ad_id"))
+            )
+        return now.filter(F.col("ad_id").isNotNull()).select("feature_id", "ad_id")
+
+    found = follow("first")
+    looped = hops.join(found, "feature_id", "left_anti")
+    return found if looped.isEmpty() else found.unionByName(follow("near").join(looped, "feature_id", "left_semi"))
+
+
 def ownership(features: DataFrame, edges: DataFrame, positions: DataFrame | None = None) -> DataFrame:
     """Owning aerodrome of each feature: feature_id, ad_id, via.
 
@@ -148,16 +188,8 @@ def ownership(features: DataFrame, edges: DataFrame, positions: DataFrame | None
         .select("src_id", "ref_no", "target_id")
     )
     direct, steps = cut_lineage(direct), cut_lineage(steps)
-    owned = direct.withColumn("via", F.lit("direct"))
-    # each round recomputes the component owners from one level deeper, so the first leading reference wins
-    for _ in range(OWNERSHIP_DEPTH):
-        known = owned.select(F.col("feature_id").alias("target_id"), "ad_id")
-        via_parts = (
-            steps.join(known, "target_id").groupBy(F.col("src_id").alias("feature_id")).agg(first("ad_id").alias("ad_id"))
-            .withColumn("via", F.lit("component"))
-        )
-        owned = direct.withColumn("via", F.lit("direct")).unionByName(via_parts)
-    pieces = [cut_lineage(owned)]
+    parts = component_owners(direct, steps).withColumn("via", F.lit("component"))
+    pieces = [cut_lineage(direct.withColumn("via", F.lit("direct")).unionByName(parts))]
 
     def owned_now() -> DataFrame:
         out = pieces[0]
@@ -221,18 +253,18 @@ def ownership(features: DataFrame, edges: DataFrame, positions: DataFrame | None
     return owned_now().join(aerodromes, "feature_id", "left_anti")
 
 
-def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Seeds and everything they reference, with the referrer that brought it in: feature_id, referrer, depth.
 
     ``seeds``: feature_id; ``edges``: src_id, target_id. Each round writes its frontier, so a round is the most that is
-    ever computed twice.
+    ever computed twice. It ends when a round reaches nothing new, however deep that is.
     """
     ftype = seeds.schema["feature_id"].dataType
     seen = cut_lineage(
         seeds.select("feature_id").distinct().withColumns({"referrer": F.lit(None).cast(ftype), "depth": F.lit(0)})
     )
     frontier = seen
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):
         reached = (
             edges.join(frontier.select(F.col("feature_id").alias("src_id")), "src_id", "left_semi")
             .groupBy(F.col("target_id").alias("feature_id")).agg(F.min("src_id").alias("referrer"))
@@ -255,7 +287,7 @@ def missing_targets(members: DataFrame, refs: DataFrame, features: DataFrame) ->
     )
 
 
-def chain_segments(segments: DataFrame, keys: Sequence[str], start: str, end: str, order: Sequence[str], max_rounds: int = 64) -> DataFrame:
+def chain_segments(segments: DataFrame, keys: Sequence[str], start: str, end: str, order: Sequence[str]) -> DataFrame:
     """Order segments head to tail: adds ``chain_no`` (from 0) and ``head`` (order value of the chain's first segment).
 
     A segment follows the one that ends where it starts; of several starting at one point only the first in ``order``
@@ -270,7 +302,8 @@ def chain_segments(segments: DataFrame, keys: Sequence[str], start: str, end: st
     pred = ends.join(starts, [*keys, "_node"]).groupBy(*keys, "_next").agg(F.min("_me").alias("_ptr"))
     ranks = segments.select(*keys, place.alias("_me")).join(pred.withColumnRenamed("_next", "_me"), [*keys, "_me"], "left")
     ranks = cut_lineage(ranks.withColumn("_rank", F.when(F.col("_ptr").isNotNull(), 1).otherwise(0).cast("long")).withColumn("_head", F.coalesce("_ptr", "_me")))
-    for _ in range(max_rounds):
+    # a chain of n segments needs log2(n) rounds; what still points on after that lies on a loop
+    for _ in range(segments.count().bit_length() + 1):
         if ranks.filter(F.col("_ptr").isNotNull()).isEmpty():
             break
         hop = ranks.select(*keys, F.col("_me").alias("_ptr"), F.col("_ptr").alias("_ptr2"), F.col("_rank").alias("_rank2"), F.col("_head").alias("_head2"))
