@@ -24,37 +24,39 @@ def read_features_5(spark: SparkSession, path: str, dataset_id: str, row_tag: st
         .option("columnNameOfCorruptRecord", "_corrupt").load(path).withColumn("_file", F.input_file_name())
     )
     kinds = [f.name for f in raw.schema.fields if f.dataType.typeName() == "struct"]
-    s = None
-    for kind in kinds:
-        fields = {f.name for f in raw.schema[kind].dataType.fields}
-        gml = (F.col(f"{kind}._id") if "_id" in fields else F.lit(None)).cast("string")
-        one = raw.filter(F.col(kind).isNotNull()).select(F.lit(kind).alias("feature_type"), "_file", gml.alias("gml_id"), F.to_json(F.col(kind)).alias("_json"))
-        ident = F.coalesce(F.get_json_object("_json", "$.identifier._VALUE"), F.get_json_object("_json", "$.identifier"))
-        holder = F.get_json_object("_json", "$.timeSlice")
-        many = F.when(holder.startswith("["), F.from_json(holder, "array<string>")).otherwise(F.array(holder))
-        one = one.select("feature_type", "gml_id", "_file", ident.alias("feature_id"), F.posexplode(many).alias("slice_no", "_s"))
-        one = one.withColumn("_b", F.coalesce(F.get_json_object("_s", f"$.{kind}TimeSlice"), F.col("_s"))).drop("_s")
-        s = one if s is None else s.unionByName(one)
-    if s is None:
+    if not kinds:
         raise ValueError(f"no members in {path}")
-    g = lambda p: F.get_json_object("_b", p)
+
+    def member(kind: str):
+        has_id = "_id" in raw.schema[kind].dataType.fieldNames()
+        gml = F.col(kind)["_id"] if has_id else F.lit(None)
+        return F.when(F.col(kind).isNotNull(), F.struct(F.lit(kind).alias("feature_type"), gml.cast("string").alias("gml_id"), F.to_json(F.col(kind)).alias("json")))
+
+    # one pass whatever the number of types: each member is the one filled column of its row
+    members = [member(kind) for kind in kinds]
+    if "_corrupt" in raw.columns:
+        bad = F.struct(F.lit(ERROR).alias("feature_type"), F.lit(None).cast("string").alias("gml_id"), F.col("_corrupt").alias("json"))
+        members.append(F.when(F.col("_corrupt").isNotNull(), bad))
+    m = raw.select("_file", F.explode(F.array_compact(F.array(*members))).alias("_m")).select("_file", "_m.*")
+    failed = F.col("feature_type") == ERROR
+    j = lambda p, c="json": F.when(~failed, F.get_json_object(c, p))
+    holder = j("$.timeSlice")
+    many = F.when(holder.startswith("["), F.from_json(holder, "array<string>")).otherwise(F.array(holder))
+    s = m.select("feature_type", "gml_id", "_file", "json", F.coalesce(j("$.identifier._VALUE"), j("$.identifier")).alias("feature_id"), F.posexplode(many).alias("slice_no", "_s"))
+    body = F.coalesce(F.expr("get_json_object(_s, concat('$.', feature_type, 'TimeSlice'))"), F.col("_s"))
+    s = s.withColumn("_b", F.when(failed, F.col("json")).otherwise(body))
+    g = lambda p: j(p, "_b")
     ts = lambda *p: F.try_to_timestamp(F.coalesce(*[g(x) for x in p]))
-    out = s.select(
-        F.lit(dataset_id).alias("dataset_id"), "feature_type", F.coalesce("feature_id", F.concat(F.lit("#"), "gml_id")).alias("feature_id"), "gml_id", F.col("_file").alias("file"), "slice_no",
-        g("$.interpretation").alias("interp"), F.coalesce(g("$.sequenceNumber").try_cast("int"), F.lit(0)).alias("seq"), F.coalesce(g("$.correctionNumber").try_cast("int"), F.lit(0)).alias("corr"),
+    number = lambda p: F.when(~failed, F.coalesce(g(p).try_cast("int"), F.lit(0)))
+    return s.select(
+        F.lit(dataset_id).alias("dataset_id"), "feature_type", F.coalesce("feature_id", F.concat(F.lit("#"), "gml_id")).alias("feature_id"), "gml_id", F.col("_file").alias("file"),
+        F.when(~failed, F.col("slice_no")).alias("slice_no"), g("$.interpretation").alias("interp"), number("$.sequenceNumber").alias("seq"), number("$.correctionNumber").alias("corr"),
         ts("$.validTime.TimePeriod.beginPosition", "$.validTime.TimeInstant.timePosition").alias("valid_begin"), ts("$.validTime.TimePeriod.endPosition").alias("valid_end"),
         ts("$.featureLifetime.TimePeriod.beginPosition").alias("life_begin"), ts("$.featureLifetime.TimePeriod.endPosition").alias("life_end"), F.col("_b").alias("props"),
     )
-    if "_corrupt" in raw.columns:
-        empty = {f.name: F.lit(None).cast(f.dataType) for f in out.schema.fields}
-        bad = raw.filter(F.col("_corrupt").isNotNull()).select(*[
-            (F.lit(dataset_id) if n == "dataset_id" else F.lit("#error") if n == "feature_type" else F.col("_file") if n == "file" else F.col("_corrupt") if n == "props" else c).alias(n)
-            for n, c in empty.items()
-        ])
-        out = out.unionByName(bad)
-    return out
 
 
+ERROR = "#error"
 HOUSEKEEPING = ["interpretation", "sequenceNumber", "correctionNumber", "validTime", "featureLifetime", "_id"]
 
 
