@@ -83,7 +83,7 @@ def _(spark, sf):
 def _(spark, sf):
     k = F.col("p_partkey")
     line = F.format_string(
-        "01-%06d O US AL CHUNCHULA        30 %02d 45.50N 088 %02d 39.25W TOWER              1 %05d %05d R %d E N 1986ASO02002OE C 2026135",
+        "01-%06d O US CO RIDGEWAY         30 %02d 45.50N 088 %02d 39.25W POLE               1 %05d %05d N %d D M 2019ANM00417OE A 2027061",
         k.cast("int"), (k % 60).cast("int"), (k % 50).cast("int"), F.col("p_size").cast("int"), (F.col("p_size") + 100).cast("int"), (k % 3 + 1).cast("int"),
     )
     d = O.dof_rows(table(spark, sf, "part").select(line.alias("value"))).filter("ok")
