@@ -1,12 +1,15 @@
-"""PRJ-04/06/10/11/27, JON-19/21/36, SNK-08, FUN-16/19/20, PRJ-18 on orders, lines, customers, parts, events."""
+"""PRJ-04/06/10/11/27, JON-19/21/36, SNK-08, FUN-16/19/20, PRJ-18, WIN-12, JON-27, JOB-22/23 on orders, lines, customers, parts, events."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import model as M
+from ..operators import polygons as P
+from ..plans import effects as E
 from ..sources import notam as N
 from . import Family
+from .spatial import AREA_SQL, AT_SQL, CELL, _box_edges, part_grids, part_terrain, supplier_areas, terrain_points
 from .tables import SLICES_SQL, event_slices, table
 
 FAMILY = Family()
@@ -193,3 +196,49 @@ def _(spark, sf):
         F.lit(None).cast("double").alias("q_lon"), F.lit(None).cast("double").alias("q_lat"), F.lit(None).cast("int").alias("q_radius_nm"),
     )
     return N.notam_areas(f).select(F.col("id").cast("long").alias("key"), "desig", "activation", F.size("ring").alias("n"))
+
+
+@FAMILY.add("win_12_along_profile", """WITH l AS (SELECT o_custkey AS proc_id, o_orderkey AS seq, CASE WHEN o_orderkey % 7 = 3 THEN 'FAF' END AS role, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey % 11 AS DOUBLE) END AS len FROM orders),
+m AS (SELECT proc_id, min(seq) FILTER (role = 'FAF') AS faf, min(seq) AS a, max(seq) AS z FROM l GROUP BY 1), b AS (SELECT proc_id, max(seq) AS i FROM l JOIN m USING (proc_id) WHERE seq < faf GROUP BY 1)
+SELECT proc_id, seq, coalesce(sum(coalesce(len, 0)) OVER (PARTITION BY proc_id ORDER BY seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS to_threshold_nm,
+  coalesce(role, CASE WHEN seq = i THEN 'IF' WHEN seq = z THEN 'MAPT' WHEN seq = a THEN 'IAF' END) AS role FROM l JOIN m USING (proc_id) LEFT JOIN b USING (proc_id)""")
+def _(spark, sf):
+    k, none = F.col("o_orderkey"), F.lit(None).cast("double")
+    legs = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("proc_id"), k.alias("seq"), k.cast("string").alias("fix"), F.when(k % 7 == 3, "FAF").alias("role"), F.when(k % 5 != 0, (k % 11).cast("double")).alias("length_nm"), none.alias("lower_ft"), none.alias("upper_ft"),
+    )
+    return E.along_profile(legs).select("proc_id", "seq", "to_threshold_nm", "role")
+
+
+@FAMILY.add("job_22_airspace_table", f"""WITH {AREA_SQL}, n AS (SELECT id, CAST(CAST(dw / 0.5 AS INTEGER) * CAST(dh / 0.5 AS INTEGER) AS BIGINT) AS n_cells FROM areas WHERE id % 3 <> 0)
+SELECT areas.id AS airspace_id, areas.type, coalesce(n_cells, 0) AS n_cells, CASE WHEN areas.id % 4 <> 0 THEN CAST(lo AS DOUBLE) END AS lo_ft, CASE WHEN areas.id % 4 <> 0 THEN CAST(up AS DOUBLE) END AS up_ft FROM areas LEFT JOIN n USING (id)""")
+def _(spark, sf):
+    # airspace of every third id has no shape, of every fourth no limits
+    areas = supplier_areas(spark, sf)
+    spans = P.row_spans(_box_edges(areas), ["airspace_id", "piece_no"], CELL)
+    cells = P.spans_to_cells(spans, ["airspace_id"], CELL).withColumnRenamed("airspace_id", "volume_id")
+    k, none = F.col("airspace_id"), F.lit(None).cast("long").alias("contributor_id")
+    comp = areas.filter(k % 3 != 0).select("airspace_id", F.lit(1).alias("step"), F.lit("BASE").alias("op"), k.alias("volume_id"), none)
+    limits = areas.filter(k % 4 != 0).select("airspace_id", F.lit("BASE").alias("op"), F.col("lo_ft").cast("double"), F.col("up_ft").cast("double"), none, F.lit(None).cast("string").alias("dependency"))
+    return E.airspace_table(areas.select("airspace_id", "type"), cells, comp, limits).select("airspace_id", "type", "n_cells", "lo_ft", "up_ft")
+
+
+@FAMILY.add("job_23_notam_effects", f"""WITH {AT_SQL}, n AS (SELECT c.c_custkey AS k, e.elev AS g, CASE WHEN c.c_custkey % 2 = 0 THEN 30.0::DOUBLE END AS h, CASE WHEN c.c_custkey % 3 = 0 THEN 900.0::DOUBLE END AS el FROM customer c LEFT JOIN at_ e USING (c_custkey))
+SELECT 'N' || k || '#0' AS obstacle_id, 'notam' AS origin, round(coalesce(el, g + h), 4) AS elev_m, round(coalesce(h, CASE WHEN el IS NOT NULL AND g IS NOT NULL THEN greatest(0.0, el - g) END), 4) AS hgt_m FROM n
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'published', CAST(p_size AS DOUBLE), 5.0::DOUBLE FROM part""")
+def _(spark, sf):
+    cells, k = part_terrain(spark, sf), F.col("c_custkey")
+    n = terrain_points(spark, sf).select(F.concat(F.lit("N"), k).alias("id"), F.lit(0).alias("n"), "lon", "lat", F.when(k % 3 == 0, 900.0).alias("elev_m"), F.when(k % 2 == 0, 30.0).alias("hgt_m"))
+    o = table(spark, sf, "part").select(F.col("p_partkey").alias("obstacle_id"), F.lit(1.0).alias("lon"), F.lit(2.0).alias("lat"), F.col("p_size").cast("double").alias("elev_m"), F.lit(5.0).alias("hgt_m"))
+    out = E.notam_effects(n, o, cells, part_grids(cells))
+    return out.select("obstacle_id", "origin", F.round("elev_m", 4).alias("elev_m"), F.round("hgt_m", 4).alias("hgt_m"))
+
+
+@FAMILY.add("jon_27_event_effects", """WITH t AS (SELECT l_suppkey AS event_id, l_orderkey AS feature_id, l_returnflag AS prop, max(l_linestatus) AS value FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1, 2, 3),
+b AS (SELECT l_orderkey AS feature_id, l_returnflag AS prop, max(l_linestatus) AS old FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2),
+c AS (SELECT * FROM t LEFT JOIN b USING (feature_id, prop) WHERE old IS NULL OR old <> value)
+SELECT event_id, feature_id, count(*) AS n_changed, string_agg(prop || ': ' || coalesce(old, 'not given') || ' → ' || value, chr(10) ORDER BY prop) AS lines FROM c GROUP BY 1, 2""")
+def _(spark, sf):
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("event_id"), F.col("l_orderkey").alias("feature_id"), F.col("l_returnflag").alias("prop"), F.col("l_linestatus").alias("value"), "l_linenumber")
+    events = table(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("event_id"))
+    return E.event_effects(events, li.drop("l_linenumber"), li.filter("l_linenumber = 1").select("feature_id", "prop", "value"))
