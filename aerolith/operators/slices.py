@@ -291,7 +291,8 @@ def base_for_temporary(slices: DataFrame, c: SliceColumns = SliceColumns(), othe
 def in_file_changes(slices: DataFrame, c: SliceColumns = SliceColumns(), dataset: Sequence[str] = ("dataset_id",)) -> DataFrame:
     """Everything a delivery says about change, one row per change event.
 
-    Columns: keys, position, kind, from, to, n_fields, same (a full slice that repeats the state before it).
+    Columns: keys, position, kind, from, to, n_fields, same (a full slice that repeats the state before it) and
+    initial_load: a single full slice that begins on a day of an initial load, so is no amendment.
     """
     keys, pos = list(c.keys), list(c.position)
     perm = _with_resets(slices, c)
@@ -301,7 +302,7 @@ def in_file_changes(slices: DataFrame, c: SliceColumns = SliceColumns(), dataset
     zero = F.coalesce(F.col("n_fields"), F.lit(0)).cast("long")
     no_ts, no = F.lit(None).cast("timestamp"), F.lit(0).cast("long")
     out_cols = lambda k, frm, to, n, same: [
-        *keys, *pos, k.alias("kind"), frm.alias("from"), to.alias("to"), n.alias("n_fields"), same.alias("same"),
+        *keys, *pos, k.alias("kind"), frm.alias("from"), to.alias("to"), n.alias("n_fields"), same.alias("same"), F.lit(False).alias("initial_load"),
     ]
     # 1. permanent slices after the first
     kind = (
@@ -320,15 +321,16 @@ def in_file_changes(slices: DataFrame, c: SliceColumns = SliceColumns(), dataset
     temporary = slices.filter(c.is_temp()).join(temp_fields, [*keys, *pos], "left").select(
         *out_cols(F.lit("Temporary change (TEMPDELTA)"), F.col(c.begin), F.col(c.end), zero, F.lit(False))
     )
-    # 3. single full slices: new or amended features, unless loaded on an initial-load day
+    # 3. single full slices: new or amended features; those of an initial-load day carry the flag
     single = (
         slices.join(facts.filter(F.col("_n") == 1), keys, "left_semi")
         .filter((F.col(c.interp) == "BASELINE") & F.col(c.life_end).isNull() & F.col(c.begin).isNotNull())
         .withColumn("day", F.to_date(c.begin))
-        .join(load_days(slices, c, dataset).select(*dataset, "day"), [*dataset, "day"], "left_anti")
+        .join(load_days(slices, c, dataset).select(*dataset, "day").distinct().withColumn("_load", F.lit(True)), [*dataset, "day"], "left")
     )
     new = F.when(F.coalesce(F.col(c.life_begin) == F.col(c.begin), F.lit(False)), "New feature").otherwise("Amended (new baseline)")
-    singles = single.select(*out_cols(new, F.col(c.begin), no_ts, no, F.lit(False)))
+    singles = single.select(*out_cols(new, F.col(c.begin), no_ts, no, F.lit(False)), "_load")
+    singles = singles.withColumn("initial_load", F.coalesce("_load", F.lit(False))).drop("_load")
     # 4. end of life on the last permanent slice
     dead = perm.join(last_order, keys).filter((F.col("nth") == F.col("_last")) & F.col(c.life_end).isNotNull()).select(
         *out_cols(F.lit("Feature withdrawn (end of life)"), F.col(c.life_end), no_ts, no, F.lit(False))
@@ -340,7 +342,7 @@ def in_file_changes(slices: DataFrame, c: SliceColumns = SliceColumns(), dataset
         .join(facts.filter(F.col("_le").isNull()), keys, "left_semi")
         .join(withdrawn(slices, None, c).filter("gone"), keys, "left_semi")
         .select(*keys, *[F.col("_x")[p].alias(p) for p in pos], F.lit("Feature withdrawn (validity ended)").alias("kind"),
-                F.col("_x._e").alias("from"), no_ts.alias("to"), no.alias("n_fields"), F.lit(False).alias("same"))
+                F.col("_x._e").alias("from"), no_ts.alias("to"), no.alias("n_fields"), F.lit(False).alias("same"), F.lit(False).alias("initial_load"))
     )
     return permanent.unionByName(temporary).unionByName(singles).unionByName(dead).unionByName(ended)
 

@@ -119,7 +119,6 @@ SELECT feature_id, slice_no, 'Feature withdrawn (end of life)', life_end, 0, fal
 UNION ALL
 SELECT feature_id, slice_no, CASE WHEN false THEN 'New feature' ELSE 'Amended (new baseline)' END, valid_begin, 0, false
 FROM slices WHERE interp = 'BASELINE' AND life_end IS NULL AND feature_id IN (SELECT feature_id FROM slices GROUP BY 1 HAVING count(*) = 1)
-  AND 31 > (SELECT count(*) FROM slices WHERE feature_id IN (SELECT feature_id FROM slices GROUP BY 1 HAVING count(*) = 1))
 """)
 def _(spark, sf):
     changes = S.in_file_changes(event_slices(spark, sf))
