@@ -123,7 +123,8 @@ LEVELS = 4 * math.prod(n for n, _ in FEATURES.values())
 def proposed(text: Column) -> Column:
     """Candidates of high recall; they may overlap each other and the base spans."""
     at = r"(?:\G|(?<![^\s@,;<>\"]))[^\s@,;<>\"]++@[^\s@,;<>\"]++"
-    run = r"(?:\G|(?<![0-9+()\x20.-]))[+(]?[0-9][0-9()\x20.-]{5,}+"
+    # a match takes the whole run, so the next one can only begin after it; what stands before a run does not matter
+    run = r"[+(]?[0-9][0-9()\x20.-]{5,}+"
     return F.concat(
         _when(F.contains(text, F.lit("@")), spans(text, at)),
         _when(text.rlike(r"[0-9][\x20().-]?[0-9]"), F.filter(spans(text, run), lambda s: F.length(_digits(s["text"])) >= 7)),
