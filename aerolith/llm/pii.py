@@ -2,12 +2,14 @@
 
 1. Base spans follow fixed forms (address, dotted number, card with check digit, international phone). They always stay.
 2. Generators of high recall propose overlapping candidates: anything around an at sign, any run of digits with
-   separators. Each gets small whole-number features of format and context; its label for training is whether it meets
-   a base span, so the trees learn from the data what personal data looks like and where it stands.
+   separators. Each gets small whole-number features of format and context. Its label for training is whether it meets
+   a base span or bears evidence of its own (`evident`): a word such as `tel` or `passport` right before it, or the check
+   digit of a card in groups. So forms that the base rules do not know count as personal data where texts name them.
 3. The features are levels, so the training set is the table of counts per (features, label, half): Spark sums it over
-   all documents and at most LEVELS rows, the product of the levels, can ever reach the driver. Trees of depth two are
-   boosted on these counts (logistic loss), and the threshold is calibrated on the other half of the texts: the lowest
-   score above which the share of true candidates is PRECISION.
+   all documents and at most LEVELS rows, the product of the levels, can ever reach the driver. True candidates count
+   once more with what decided their label masked (`masked`: the plus sign, the word before), so the same form without it
+   can be told from other numbers by the rest. Trees of depth two are boosted on these counts (logistic loss), and the
+   threshold is calibrated on the other half of the texts: the lowest score above which the share of true ones is PRECISION.
 4. The trees become one column expression; candidates at or above the threshold that touch no base span are added.
 
 Only column expressions run on the executors. One row holds one text; the only shuffle is that of the counts.
@@ -104,6 +106,36 @@ def _level(x: Column, *bounds: int) -> Column:
 
 
 _CUES = "tel|phone|call|fon|mobil|mail|card|karte|carte|tarjeta|ip|addr|contact|kontakt"
+# Whole words that name what follows, with at most a few signs or letters between.
+_NAMED = r"(?<![\p{L}\p{N}])(?:tel|telephone|phone|cell|mobile?|fax|call|fon|telefon|handy|t[eé]l[eé]fono?|t[eé]l[eé]phone|m[oó]vil|whatsapp|ssn|nss|passport|passeport|pasaporte|reisepass|personalausweis|dni|nie)"
+_NAMED_NUMBER = _NAMED + r"(?![\p{L}\p{N}])[^0-9\n]{0,12}$"
+_NAMED_ADDRESS = r"(?<![\p{L}\p{N}])(?:e-?mail|mail|mailto|correo|courriel|contact|kontakt)(?![\p{L}\p{N}])[^0-9\n]{0,12}$"
+
+def _named(c: Column) -> Column:
+    """A word right before the candidate says that it is a number, or an address, of a person."""
+    before = F.lower(c["before"])
+    return F.when(_address(c), before.rlike(_NAMED_ADDRESS)).otherwise(before.rlike(_NAMED_NUMBER))
+
+
+def _address(c: Column) -> Column:
+    return F.contains(c["text"], F.lit("@"))
+
+
+def _plain(c: Column) -> Column:
+    """A date, alone or with more digits behind it, or a decimal fraction: never personal data by itself."""
+    date = c["text"].rlike(r"^(?:[12][0-9]{3}[.-][01]?[0-9][.-][0-3]?[0-9]|[0-3]?[0-9][.-][0-3]?[0-9][.-][12][0-9]{3})(?![0-9])")
+    return date | c["text"].rlike(r"^[0-9]+\.[0-9]+$")
+
+
+def evident(c: Column) -> Column:
+    """Evidence that does not rest on the base forms: a naming word and a plausible form, or a card's check digit."""
+    digits = F.length(_digits(c["text"]))
+    apart = ~c["before"].rlike(r"[\p{L}\p{N}_]$") & ~c["after"].rlike(r"^[\p{L}\p{N}_]")
+    number = _named(c) & digits.between(7, 15) & ~_plain(c)
+    card = digits.between(13, 19) & luhn(_digits(c["text"])) & c["text"].rlike(r"^[0-9]{4}[\x20.-][0-9]{4,6}[\x20.-][0-9]{4,5}(?:[\x20.-][0-9]{1,7})?$")
+    address = _named(c) & c["text"].rlike(rf"^[{_LABEL}._%+]+@[{_LABEL}.]+$")
+    return F.when(_address(c), address).otherwise(apart & (number | card))
+
 
 # name -> (number of levels, level of a candidate)
 FEATURES: dict[str, tuple[int, Callable[[Column], Column]]] = {
@@ -114,7 +146,7 @@ FEATURES: dict[str, tuple[int, Callable[[Column], Column]]] = {
     "plus": (2, lambda c: c["text"].startswith("+").cast("int")),
     "before": (4, lambda c: F.when(c["before"] == "", 0).when(c["before"].rlike(r"\s$"), 1).when(c["before"].rlike(r"[\p{L}\p{N}]$"), 2).otherwise(3)),
     "after": (4, lambda c: F.when(c["after"] == "", 0).when(c["after"].rlike(r"^\s"), 1).when(c["after"].rlike(r"^[\p{L}\p{N}]"), 2).otherwise(3)),
-    "cue": (2, lambda c: F.lower(c["before"]).rlike(_CUES).cast("int")),
+    "cue": (3, lambda c: F.when(_named(c), 2).otherwise(F.lower(c["before"]).rlike(_CUES).cast("int"))),
     "check": (2, lambda c: luhn(_digits(c["text"])).cast("int")),
 }
 LEVELS = 4 * math.prod(n for n, _ in FEATURES.values())
@@ -142,14 +174,14 @@ def _of_kind(kind: int) -> Callable[[Column], Column]:
 
 
 def found(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, base (kind, start, end in order), cands (start, end, features, label)."""
+    """Per row: doc_id, base (kind, start, end in order), cands (start, end, features, label, free: not covered, not plain)."""
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kinds = [F.transform(s, _of_kind(k)) for k, s in enumerate(base_spans(F.col("text")))]
     rows = rows.select("doc_id", F.sort_array(F.concat(*kinds)).alias("base"), F.transform(proposed(F.col("text")), _trimmed).alias("raw"))
 
     def described(c: Column) -> Column:
         meets = F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), *[f(c).cast("int").alias(n) for n, (_, f) in FEATURES.items()], meets.cast("int").alias("label"))
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), *[f(c).cast("int").alias(n) for n, (_, f) in FEATURES.items()], (meets | evident(c)).cast("int").alias("label"), (~meets & ~_plain(c)).alias("free"))
 
     return rows.select("doc_id", "base", F.transform("raw", described).alias("cands"))
 
@@ -162,6 +194,13 @@ def counts(rows: DataFrame) -> list[tuple[tuple[int, ...], int, int, int]]:
     return sorted((tuple(r[n] for n in names), r["label"], r["half"], r["n"]) for r in table.collect())
 
 
+def masked(table: list[tuple[tuple[int, ...], int, int, int]]) -> list[tuple[tuple[int, ...], int, int, int]]:
+    """The counts, and those of true candidates again without a plus sign and a word before where they have any."""
+    hidden = [k for k, n in enumerate(FEATURES) if n in ("plus", "cue")]
+    bare = [(tuple(0 if k in hidden else x for k, x in enumerate(features)), label, half, n) for features, label, half, n in table if label and any(features[k] for k in hidden)]
+    return [*table, *bare]
+
+
 Tree = tuple[int, int, tuple[tuple[int, int, float, float], ...]]
 
 
@@ -235,15 +274,15 @@ def _score(c: Column, start: float, trees: list[Tree]) -> Column:
 def personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, base and spans, both arrays of (start, kind, end) in order; kind is a place in KINDS."""
     rows = cut_lineage(found(df, doc_id, text))
-    table = counts(rows)
+    table = masked(counts(rows))
     start, trees = boost([t for t in table if t[2] == 0])
     bound = calibrate([t for t in table if t[2] == 1], start, trees)
     none = F.array().cast("array<struct<start: int, kind: int, end: int>>")
     if bound is None or not trees:
         extra = none
     else:
-        # a candidate that a base span meets is covered already
-        chosen = F.filter("cands", lambda c: (c["label"] == 0) & (_score(c, start, trees) >= F.lit(bound - 1e-6)))
+        # a candidate that a base span meets is covered already, a date is none
+        chosen = F.filter("cands", lambda c: c["free"] & (_score(c, start, trees) >= F.lit(bound - 1e-6)))
         extra = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), F.when(c["shape"] == 1, 0).otherwise(4).alias("kind"), c["end"].alias("end")))
     return rows.select("doc_id", "base", F.sort_array(F.array_union("base", extra)).alias("spans"))
 

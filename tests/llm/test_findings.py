@@ -15,3 +15,19 @@ def test_numbers_after_a_blank_are_proposed(spark):
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
     rows = df.select("doc_id", F.transform(pii.proposed(F.col("text")), pii._trimmed)["text"].alias("found")).collect()
     assert {r.doc_id: r.found for r in rows} == dict(enumerate(cases.values()))
+
+
+def test_named_numbers_beyond_the_base_forms_are_added(spark):
+    """Forms the base rules do not know, planted among base spans, and other numbers of like form that must stay."""
+    kinds = [
+        ("please call {} now", "555 {:03d} 4567", True), ("Tel: {} or", "(555) {:03d}-4567", True), ("ssn {}.", "{:03d}-45-6789", True), ("mail {} or", "root{}@localhost", True),
+        ("reach us at {} now", "+1 (988) 555-2{:03d}", True),
+        ("hash ab{}ef,", "1234567{:03d}", False), ("about {} items", "12345{:03d}", False), ("the years {} saw", "1984 1985 {:03d}", False), ("call on {} at", "2024-01-15 {:03d}", False),
+    ]
+    planted = [(text.format(number.format(k)), number.format(k), wanted) for k in range(60) for text, number, wanted in kinds]
+    planted.append(("reach us at 1 (988) 555-2000 now", "1 (988) 555-2000", True))  # like base spans but for the sign
+    df = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(planted)], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in pii.personal_data(df).collect()}
+    found = {k: {planted[k][0][s.start : s.end] for s in r.spans} for k, r in rows.items()}
+    assert found == {k: ({n} if wanted else set()) for k, (_, n, wanted) in enumerate(planted)}
+    assert sum(len(r.base) for r in rows.values()) == 60
