@@ -45,11 +45,14 @@ _HINTS = {
     "promotion", "form", "search", "login", "signup", "subscribe", "newsletter", "comment", "comments", "reply", "replies", "respond", "disqus", "breadcrumb", "breadcrumbs", "share",
     "sharing", "social", "related", "recommended", "toolbar", "pagination", "pager", "copyright",
 }
+# Attributes up to the end of a tag; a quoted value may hold `>`.
+_ATTRS = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>|<[/a-zA-Z][^<>]*+>",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:svg|math)(?=[\s/]){_ATTRS}(?<=/)>|<(?P<raw>{_RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})>|<[!?][^>]*+>|<[/a-zA-Z][^<>]*+>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# One whole attribute: its name and its value.
+_ATTR = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _WORD = re.compile(r"[a-z]+")
 _NUMBER = re.compile(r"\d+")
 
@@ -66,7 +69,9 @@ def _marks(tag: str, attrs: str) -> tuple[str, bool]:
     """(generalised class, whether the element is no article text)."""
     if not attrs:
         return "", tag in _DROPPED
-    found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     names = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     hinted = tag not in ("html", "body", "main", "article") and not _HINTS.isdisjoint(_WORD.findall(names))

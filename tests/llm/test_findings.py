@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from aerolith.llm import pii
+from aerolith.llm import html_extraction, pii
 
 
 def test_numbers_after_a_blank_are_proposed(spark):
@@ -31,3 +32,16 @@ def test_named_numbers_beyond_the_base_forms_are_added(spark):
     found = {k: {planted[k][0][s.start : s.end] for s in r.spans} for k, r in rows.items()}
     assert found == {k: ({n} if wanted else set()) for k, (_, n, wanted) in enumerate(planted)}
     assert sum(len(r.base) for r in rows.values()) == 60
+
+
+@pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'data-hidden="false"', "title='hidden gems'", 'data-class="nav"', "x=hidden", "class='post' title='a > b'"])
+def test_only_names_of_attributes_hide(attrs):
+    assert html_extraction.main_text(f"<body><div {attrs}><p>One, two, three.</p></div></body>", []) == "One, two, three."
+    for word in ("hidden", "HIDDEN=''", "aria-hidden=true", "class=nav"):
+        assert html_extraction.main_text(f"<body><div {attrs} {word}><p>One.</p></div><p>Two.</p></body>" if "class=" not in attrs else f"<body><div {word}><p>One.</p></div><p>Two.</p></body>", []) == "Two."
+
+
+@pytest.mark.parametrize("tag", ['<svg width="1" d=\'a>b\'/>', "<svg/>", "<math />", "<svg-icon>", "<svg-icon></svg-icon>", "<title-bar>x</title-bar>", "<style-guide/>", "<svg><path/><text>no</text></svg>", "<svg viewBox='0'>no</svg>", "<title>no</title>"])
+def test_only_raw_elements_swallow_what_follows(tag):
+    text = html_extraction.main_text(f"<body><div><p>One {tag}</p><p>two.</p></div></body>", [])
+    assert text.replace("One x", "One") == "One two."
