@@ -4,8 +4,10 @@
    blocks and commas count more, text in links against it); the best container names a generalised path of tags and
    classes, in which numbers are replaced by `#`.
 2. Spark counts the votes per host and path; a path with at least SHARE of the votes of its host wins.
-3. Each page is walked again and gives the text of all containers on its host's winning path that scores best on this page,
-   or of its own best container where no winning path occurs.
+3. Each page is walked again. Of its host's winning paths the narrowest one that holds MOST of the score of the page's own
+   best container gives the text of all its containers; where none does, the winning path that scores best here. The own
+   best container gives the text where no winning path occurs, or only with less than PART of its score. The body as
+   a whole can only win on pages whose text stands right under it.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments never score and never give text.
 
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from aerolith.llm.base import slices
 
 SHARE, SALTS = 0.1, 16
+MOST, PART = 0.8, 0.25
 
 # Elements that never hold article text, whatever their classes.
 _DROPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "textarea", "dialog", "menu", "head", "title", "iframe", "object", "canvas", "label", "fieldset"}
@@ -134,11 +137,15 @@ def walk(page: str) -> list[tuple[Element, str]]:
     return blocks
 
 
+def _worth(text: str) -> float:
+    return 1 + text.count(",") + min(len(text) / 100, 3)
+
+
 def scored(blocks: list[tuple[Element, str]]) -> dict[str, float]:
     """Score of each path that holds text."""
     seen: dict[int, Element] = {}
     for box, text in blocks:
-        worth = 1 + text.count(",") + min(len(text) / 100, 3)
+        worth = _worth(text)
         box.score += worth
         seen[id(box)] = box
         if box.parent:
@@ -170,17 +177,29 @@ def _inside(path: str, wanted: str) -> bool:
     return path == wanted or path.startswith(wanted + ">") or not wanted
 
 
+def _chosen(blocks: list[tuple[Element, str]], winners: list[str]) -> str:
+    """The path whose containers hold the main text of this page."""
+    own, worth = best_path(blocks), Counter()
+    for box, text in blocks:
+        worth[box.path] += _worth(text) * (1 - box.links / box.size)
+
+    def held(*paths: str) -> float:
+        return sum(x for p, x in worth.items() if all(_inside(p, wanted) for wanted in paths))
+
+    whole = held(own)
+    met = [w for w in winners if any(_inside(p, w) for p in worth) and (w or not own or worth[""] >= PART * whole)]
+    holding = [w for w in met if held(w, own) >= MOST * whole]
+    if holding:
+        return min(holding, key=lambda w: (held(w), -len(w), w))
+    best = max(met, key=lambda w: (held(w), len(w), w), default=own)
+    return best if held(best) >= PART * whole else own
+
+
 def main_text(page: str, winners: list[str]) -> str:
     blocks = walk(page)
     if not blocks:
         return ""
-    sizes = Counter()
-    for box, text in blocks:
-        for w in winners:
-            if _inside(box.path, w):
-                sizes[w] += len(text)
-    # the narrowest of the winning paths that hold most of this page's winning text
-    chosen = max(sizes, key=lambda w: (sizes[w], len(w), w)) if sizes else best_path(blocks)
+    chosen = _chosen(blocks, winners)
     return " ".join(text for box, text in blocks if _inside(box.path, chosen))
 
 

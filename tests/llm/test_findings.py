@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +47,19 @@ def test_only_names_of_attributes_hide(attrs):
 def test_only_raw_elements_swallow_what_follows(tag):
     text = html_extraction.main_text(f"<body><div><p>One {tag}</p><p>two.</p></div></body>", [])
     assert text.replace("One x", "One") == "One two."
+
+
+def test_pages_of_a_minority_template_keep_their_article(spark):
+    """Templates below SHARE of their host, beside a small block on a winning path; a winning body holds nothing but its own pages."""
+    article = "<p>" + "</p><p>".join(f"Line {k}, of the story, with some words, and more of them." for k in range(8)) + "</p>"
+    words = " ".join(re.findall(r"<p>(.*?)</p>", article))
+    common = [f"<body><div class='content'>{article}</div><div class='extra'><p>More.</p></div></body>"] * 40
+    bare = [f"<body>{article}</body>"] * 8
+    rare = [f"<body><div class='content'><p>Small block.</p></div><div class='story'>{article}</div></body>"] * 3
+    df = spark.createDataFrame([(k, "http://h.example/x", p) for k, p in enumerate(common + bare + rare)], "page_id bigint, url string, html string")
+    assert {r.text for r in html_extraction.extract(df).collect()} == {words}
+    winners = html_extraction.winning_paths(df.withColumn("host", html_extraction.host_of(F.col("url")))).collect()
+    assert [r.winners for r in winners] == [["", ">div.content"]]
+    # the path of the host stays where it holds a good part of the page's best container
+    assert html_extraction.main_text("<body><div class='content'><p>One, two, three, four.</p></div><div class='story'><p>Five, six, seven, eight, nine.</p></div></body>", [">div.content"]) == "One, two, three, four."
+    assert html_extraction.main_text(common[0], ["", ">div.content"]) == words
