@@ -21,22 +21,39 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.apply_policy(quality.ledger(docs.select(*COLUMNS))).where("kept").select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of id and text, never null: ids may be null or repeated with other texts.
+
+    64 bits; two of n different rows share a key with a chance below n * n / 2 ** 65.
+    """
+    return docs.select(*COLUMNS).withColumn("row_key", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text")))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; of rows with one id and text, one."""
-    kept = near_dups.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest id of each group of near duplicates; a null id is a group of its own; of rows with
+    one id and text, one."""
+    rows = keyed(docs)
+    named = rows.where("doc_id is not null")
+    groups = near_dups.near_duplicates(named, doc_id="row_key").select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    members = groups.join(named.select("row_key", "doc_id").distinct(), "row_key")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("first")).select("first.row_key")
+    kept = named.join(first.hint("shuffle_hash"), "row_key", "left_semi").unionByName(rows.where("doc_id is null"))
+    return kept.dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    hit = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.select(*COLUMNS).join(hit.hint("shuffle_hash"), "doc_id", "left_anti")
+    rows = keyed(docs)
+    hit = decontamination.decontaminate(rows, table(spark, sf_dir, "benchmark"), doc_id="row_key").where("contaminated").select(F.col("doc_id").alias("row_key"))
+    return rows.join(hit.hint("shuffle_hash"), "row_key", "left_anti").select(*COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, personal data replaced by its kind; n_chars is that of the new text."""
-    spans = pii.personal_data(docs).where(F.size("spans") > 0).select("doc_id", "spans")
-    rows = docs.select(*COLUMNS).join(spans.hint("shuffle_hash"), "doc_id", "left")
+    rows = keyed(docs)
+    # repeated rows have equal spans
+    spans = pii.personal_data(rows, doc_id="row_key").where(F.size("spans") > 0).select(F.col("doc_id").alias("row_key"), "spans").dropDuplicates(["row_key"])
+    rows = rows.join(spans.hint("shuffle_hash"), "row_key", "left")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(pii.redacted(F.col("text"), F.col("spans")))
     return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from aerolith.llm import html_extraction, pii
 
 
@@ -63,3 +64,21 @@ def test_pages_of_a_minority_template_keep_their_article(spark):
     # the path of the host stays where it holds a good part of the page's best container
     assert html_extraction.main_text("<body><div class='content'><p>One, two, three, four.</p></div><div class='story'><p>Five, six, seven, eight, nine.</p></div></body>", [">div.content"]) == "One, two, three, four."
     assert html_extraction.main_text(common[0], ["", ">div.content"]) == words
+
+
+def test_stages_keep_rows_of_null_and_repeated_ids(spark, tmp_path):
+    words = [f"word{k}" for k in range(200)]
+    a, b, c = (" ".join(words[k : k + 60]) for k in (0, 60, 120))
+    rows = [(None, a), (None, b), (None, b), (3, c), (5, a), (5, a), (5, c + " end"), (7, a), (8, "mail me at a.b@c.de"), (9, b)]
+    df = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    spark.createDataFrame([(1, " ".join(words[70:90]))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def after(stage, given):
+        return sorted(((r.doc_id, r.text) for r in stage(spark, given, str(tmp_path)).collect()), key=repr)
+
+    # (5, c end) is a near copy of (3, c) and goes, the other text of the same id stays; a null id is never a copy
+    assert after(corpus_pipeline.one_of_each_group, df) == sorted([(None, a), (None, b), (3, c), (5, a), (8, rows[8][1]), (9, b)], key=repr)
+    assert after(corpus_pipeline.without_benchmark, df) == sorted([r for r in rows if r[1] != b], key=repr)
+    private = df.unionByName(df.where("doc_id = 8").withColumn("doc_id", F.lit(None).cast("bigint"))).unionByName(df.where("doc_id = 8"))
+    planted = [*rows, (None, rows[8][1]), rows[8]]
+    assert after(corpus_pipeline.without_personal_data, private) == sorted([(i, t.replace("a.b@c.de", "[EMAIL]")) for i, t in planted], key=repr)
