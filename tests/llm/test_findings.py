@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from aerolith.llm import html_extraction, pii
@@ -82,3 +85,12 @@ def test_stages_keep_rows_of_null_and_repeated_ids(spark, tmp_path):
     private = df.unionByName(df.where("doc_id = 8").withColumn("doc_id", F.lit(None).cast("bigint"))).unionByName(df.where("doc_id = 8"))
     planted = [*rows, (None, rows[8][1]), rows[8]]
     assert after(corpus_pipeline.without_personal_data, private) == sorted([(i, t.replace("a.b@c.de", "[EMAIL]")) for i, t in planted], key=repr)
+
+
+def test_last_stage_decodes_what_it_encodes(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    df = spark.createDataFrame([(1, "One, two  three é 😀"), (2, ""), (None, None)], "doc_id bigint, text string")
+    for r in corpus_pipeline.tokens(spark, df, "").collect():
+        text = {1: "One, two  three é 😀"}.get(r.doc_id, "")
+        assert r.ids == library.encode(text, add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(r.ids, skip_special_tokens=False).encode()).hexdigest()
