@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from aerolith.llm import bpe, chat_format, decontamination, html_extraction, near_dups, pii, quality, sharding, token_counts, warc
+from aerolith.llm import bpe, chat_format, decontamination, html_extraction, near_dups, pii, quality, sharding, substring_dedup, token_counts, warc
 from aerolith.llm.base import table
 
 
@@ -74,6 +74,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_chat_format": op2_chat_format,
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
+    "op12_substring_dedup": op12_substring_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -152,5 +158,15 @@ x as (select doc_id, count(distinct q) n_hit from (select doc_id, unnest(range(p
 y as (select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) ids from (select distinct doc_id, item_id::varchar item_id from h) group by 1)
 select d.doc_id, len(d.w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join x on x.doc_id = d.doc_id left join y on y.doc_id = d.doc_id
+""",
+    "op12_substring_dedup": rf"""
+with d as (select doc_id, {_WORDS} w from documents),
+g as (select doc_id, p, md5(array_to_string(w[p : p + 49], ' ')) g from (select doc_id, w, unnest(range(1, len(w) - 48)) p from d where len(w) >= 50)),
+f as (select g, min(doc_id) f from g group by 1),
+r as (select distinct doc_id, q from (select doc_id, unnest(range(p, p + 50)) q from g join f using (g) where f < doc_id)),
+k as (
+  select e.doc_id, count(r.q) n, string_agg(e.x, ' ' order by e.q) filter (r.q is null) kept
+  from (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) q from d) e left join r on r.doc_id = e.doc_id and r.q = e.q group by 1)
+select d.doc_id, len(d.w)::bigint n_words, coalesce(k.n, 0)::bigint n_removed, sha256(coalesce(k.kept, '')) kept_sha256 from d left join k on k.doc_id = d.doc_id
 """,
 }
