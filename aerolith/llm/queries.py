@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from aerolith.llm import bpe, chat_format, decontamination, html_extraction, near_dups, pii, quality, sharding, substring_dedup, token_counts, warc
+from aerolith.llm import bpe, chat_format, decontamination, html_extraction, near_dups, pii, prefix_trie, quality, sharding, substring_dedup, token_counts, warc
 from aerolith.llm.base import table
 
 
@@ -74,6 +74,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -90,6 +94,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_substring_dedup": op12_substring_dedup,
     "pipeline": corpus_pipeline.run,
 }
@@ -158,6 +163,29 @@ x as (select doc_id, count(distinct q) n_hit from (select doc_id, unnest(range(p
 y as (select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) ids from (select distinct doc_id, item_id::varchar item_id from h) group by 1)
 select d.doc_id, len(d.w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join x on x.doc_id = d.doc_id left join y on y.doc_id = d.doc_id
+""",
+    "op11_prefix_trie": r"""
+with t as (
+  select conv_id c, coalesce(role, '') role, coalesce(text, '') text, row_number() over (partition by conv_id order by turn nulls first, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) k
+  from conversations where conv_id is not null),
+i as (
+  select c, n, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)),
+    lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda b, z: case when b % 2 = 1 then xor(b // 2, 3988292384) else b // 2 end)), 4294967295) % 9 h
+  from (select c, count(*) n from t group by c)),
+r as (
+  select i.c, k d, role, text from i join t on t.c = i.c - i.c % 5 and t.k <= i.h
+  union all select i.c, t.k - i.h + least(i.h, coalesce(j.n, 0)), role, text from i join t on t.c = i.c and t.k > i.h left join i j on j.c = i.c - i.c % 5),
+m as (
+  select c, d, strlen(text) b, string_agg(md5(length(role) || ':' || role || text), '') over (partition by c order by d) p from r
+  union all select c, 0, 0, '' from i),
+v as (select p, d, min(c) c, count(*) n, any_value(b) b from m group by p, d),
+k as (select left(p, 32 * (d - 1)) p, count(*) n from v where d > 0 group by 1),
+u as (select v.*, coalesce(k.n, 0) n_children from v left join k using (p)),
+s as (select left(p, 32 * a) p, sum(case when n_children = 0 then 1 else 0 end) leaves, sum((n - 1) * b) saved from (select *, unnest(range(0, d + 1)) a from u) group by 1),
+l as (select p, c from (select c, p, d, max(d) over (partition by c) m from m) where d = m),
+e as (select p, string_agg(c::varchar, ',' order by c) ids from l group by p)
+select u.c conv_id, u.d::bigint depth, w.c parent_conv_id, u.n::bigint n_convs, u.n_children::bigint n_children, s.leaves::bigint n_leaves, s.saved::bigint saved_tokens, sha256(coalesce(e.ids, '')) ends_sha256
+from u join s on s.p = u.p left join v w on u.d > 0 and w.p = left(u.p, 32 * (u.d - 1)) left join e on e.p = u.p
 """,
     "op12_substring_dedup": rf"""
 with d as (select doc_id, {_WORDS} w from documents),
