@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from aerolith.llm import bpe, chat_format, decontamination, html_extraction, near_dups, pii, prefix_trie, quality, sharding, substring_dedup, token_counts, warc
+from aerolith.llm import ball_search, bpe, chat_format, decontamination, html_extraction, near_dups, pii, prefix_trie, quality, sharding, substring_dedup, token_counts, warc
 from aerolith.llm.base import table
 
 
@@ -83,6 +83,10 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op13_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_chat_format": op2_chat_format,
@@ -96,6 +100,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_ball_search": op13_ball_search,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -196,5 +201,19 @@ k as (
   select e.doc_id, count(r.q) n, string_agg(e.x, ' ' order by e.q) filter (r.q is null) kept
   from (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) q from d) e left join r on r.doc_id = e.doc_id and r.q = e.q group by 1)
 select d.doc_id, len(d.w)::bigint n_words, coalesce(k.n, 0)::bigint n_removed, sha256(coalesce(k.kept, '')) kept_sha256 from d left join k on k.doc_id = d.doc_id
+""",
+    "op13_ball_search": r"""
+with low as (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' u, 'abcdefghijklmnopqrstuvwxyz' l),
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') w from documents, low),
+i as (select item_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') w from benchmark, low),
+c as (select count(*)::bigint n, sum(len(w))::bigint l from d where len(w) > 0),
+m as (select doc_id, 100 - 25 + ((25 * len(w)::bigint * n) // l) m from d, c where len(w) > 0),
+f as (select doc_id, t, count(*)::bigint tf from (select doc_id, unnest(w) t from d) group by 1, 2),
+w as (select t, floor(1000 * ln((2 * n + 2)::double / (2 * df + 1)))::bigint w from (select t, count(*) df from f group by 1), c),
+q as (select item_id, t, count(*)::bigint k from (select item_id, unnest(w) t from i) group by 1, 2),
+s as (
+  select item_id, doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint score
+  from q join f using (t) join w using (t) join m using (doc_id) group by 1, 2)
+select item_id, rank::int rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) rank from s where score > 0) where rank <= 20
 """,
 }
