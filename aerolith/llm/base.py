@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """128 bits of an id, which may be null or repeated, and its text; null and empty texts count as equal."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("bigint").cast("string"), F.lit("~")), F.lit("|"), F.coalesce(F.col(text).cast("string"), F.lit("")))))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows again in batches whose text stays under `limit` bytes; a longer text comes alone."""
     for batch in batches:
@@ -43,6 +48,11 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [b"" if t is None else t for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def weight(words: Collection[str]) -> int:
+    """Bytes that remembering the words takes, about: an entry each, and up to eight bytes a character."""
+    return sum(map(len, words)) * 8 + 180 * len(words)
+
+
 def hashes_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 

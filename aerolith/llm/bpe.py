@@ -5,7 +5,8 @@ has a rank by all its positions. Ranks in use are applied in ascending order: al
 rank are merged left to right, and only the pairs beside a merged symbol enter or leave the index. Merging can only
 make pairs of higher ranks, so each rank is visited once. The ids of a text are then gathered from its words.
 
-A worker remembers at most REMEMBERED words; beyond that it starts anew, which costs time, never a result.
+A task remembers words worth at most REMEMBERED bytes; beyond that it starts anew, which costs time, never a result.
+What it remembers goes with the task. A single unbroken word is merged whole, at some 150 bytes for each of its own.
 
 Defined results: a null or blank text has no ids and decodes to an empty text; a null id stays null; every row is
 encoded by itself, so repeated rows and ties get equal ids; an empty table gives an empty result. Other columns are not
@@ -23,12 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.llm import vocabulary
-from aerolith.llm.base import slices
+from aerolith.llm.base import slices, weight
 
-REMEMBERED = 600_000
-STEP = 400_000  # words at a time
-
-_memory: dict[str, "Encoder"] = {}
+REMEMBERED = 32 << 20
+STEP = 50_000  # words at a time
 
 
 def merge_all(words: list[list[int]], ranks: dict[int, int], made: list[int]) -> tuple[list[int], list[int]]:
@@ -103,7 +102,7 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.int32)
         self.ends = np.zeros(1 << 16, np.int64)  # place k + 1 is where the ids of word k end
-        self.used = 0
+        self.used = self.weight = 0
 
     def learn(self, words: list[str]) -> None:
         left, sizes = merge_all([self.vocabulary.symbols(w) for w in words], self.vocabulary.ranks, self.vocabulary.made)
@@ -133,9 +132,10 @@ class Encoder:
         known = self.known
         new = list(set(words).difference(known))
         if new:
-            if len(known) + len(new) > REMEMBERED:
+            if self.weight + weight(new) > REMEMBERED:
                 self.forget()
                 known, new = self.known, list(set(words))
+            self.weight += weight(new)
             self.learn(new)
         at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         begin = self.ends[at]
@@ -144,13 +144,6 @@ class Encoder:
         return self.ids[np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)], size
 
 
-def encoder(name: str) -> Encoder:
-    """The worker's encoder; it outlives a task, so later tasks start with what it has met."""
-    if name not in _memory:
-        _memory[name] = Encoder(name)
-    return _memory[name]
-
-
 def decode_ids(ids: list[int], strings: dict[int, str]) -> str:
     """The strings of the ids joined by spaces: the file names no decoder. Special ids keep their strings."""
     return " ".join(map(strings.__getitem__, ids))
@@ -158,8 +151,8 @@ def decode_ids(ids: list[int], strings: dict[int, str]) -> str:
 
 def _round_trip(name: str, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(name)
-        for batch in slices(batches, "text"):
+        enc = Encoder(name)
+        for batch in slices(batches, "text", 1 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             flat, offsets = enc.encode(texts)
             columns = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))]

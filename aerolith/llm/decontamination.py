@@ -24,15 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.base import hashes_of, runs, slices, texts_of
+from aerolith.llm.base import hashes_of, row_key, runs, slices, texts_of
 from aerolith.session import cut_lineage
 
 WINDOW, SHINGLE = 10, 3
 FILTER_BITS = 23
+HITS = 20_000  # places of prefix shingles that leave a task at once
 
 # Letters lower-cased, digits and all bytes beyond ASCII kept, everything else a space.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -96,11 +96,10 @@ def _marks(words: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
 def _counted(bits: bytes, widths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Filter(bits)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             found = [np.empty(0, np.uint64)]
-            words = [words_of(t) for t in texts_of(batch)]
-            for own in words:
-                for width, marks in _marks(own):
+            for text in texts_of(batch):
+                for width, marks in _marks(words_of(text)):
                     if width in widths:
                         found.append(marks[known.hits(marks)])
             marks, counts = np.unique(np.concatenate(found), return_counts=True)
@@ -109,33 +108,35 @@ def _counted(bits: bytes, widths: list[int]):
     return run
 
 
-_HIT = pa.list_(pa.struct([("mark", pa.int64()), ("at", pa.int32()), ("lead", pa.int32()), ("around", pa.string())]))
+_PLACED = "doc_id bigint, key binary, n_words bigint, mark bigint, at int, lead int, around string"
 
 
 def _placed(bits: bytes, widths: list[int]):
+    """A row with the key and the size of each document, and a row for each of its prefix shingles (`mark` not null)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Filter(bits)
-        for batch in slices(batches, "text"):
-            keys, sizes, hits = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                words = words_of(text)
-                own = []
-                for width, marks in _marks(words):
+        names = [c.split(" ")[0] for c in _PLACED.split(", ")]
+        for batch in slices(batches, "text", 1 << 19):
+            keys, words = batch.column("key").to_pylist(), [words_of(t) for t in texts_of(batch)]
+            n, none = batch.num_rows, [pa.nulls(batch.num_rows, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([len(w) for w in words], pa.int64()), *none], names)
+            for k in range(n):
+                for width, marks in _marks(words[k]):
                     if width in widths:
-                        for at in known.hits(marks).tolist():
-                            lead = min(at, WINDOW - 1)
-                            around = b" ".join(words[at - lead : at + WINDOW]).decode()
-                            own.append({"mark": int(marks[at].astype(np.int64)), "at": at, "lead": lead, "around": around})
-                keys.append(xxhash.xxh3_128_digest(b"%r|" % (doc,) + text))
-                sizes.append(len(words))
-                hits.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hits, _HIT)], ["doc_id", "key", "n_words", "hits"])
+                        found = known.hits(marks)
+                        for cut in range(0, len(found), HITS):
+                            at = found[cut : cut + HITS]
+                            lead = np.minimum(at, WINDOW - 1)
+                            around = [b" ".join(words[k][a - b : a + WINDOW]) for a, b in zip(at.tolist(), lead.tolist(), strict=True)]
+                            columns = [pa.nulls(len(at), pa.int64()), pa.array([keys[k]] * len(at), pa.binary()), pa.array(np.full(len(at), len(words[k]))), pa.array(marks[at].view(np.int64))]
+                            yield pa.RecordBatch.from_arrays([*columns, pa.array(at.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(around, pa.binary()).cast(pa.string())], names)
 
     return run
 
 
 def contained_windows(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, key, n_words, hits; occurrences: key, at, n, window) of item windows in whole documents."""
+    """(documents: doc_id, key, n_words; occurrences: key, at, n, window) of item windows in whole documents."""
     plain = windows.select("window", "n", "marks").distinct()
     each = plain.select("window", "n", F.posexplode("marks").alias("off", "mark"))
     widths = [r.w for r in plain.select(F.least("n", F.lit(SHINGLE)).alias("w")).distinct().collect()]
@@ -144,8 +145,8 @@ def contained_windows(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, D
         F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), F.col("mark"), F.col("off"))).alias("first")
     )
     prefixes = cut_lineage(rated.where("first.seen > 0").select("window", "n", "first.mark", "first.off"))
-    found = cut_lineage(docs.mapInArrow(_placed(bitmap(prefixes), widths), "doc_id bigint, key binary, n_words bigint, hits array<struct<mark: bigint, at: int, lead: int, around: string>>"))
-    places = found.where(F.size("hits") > 0).select("key", "n_words", F.inline("hits"))
+    placed = cut_lineage(docs.mapInArrow(_placed(bitmap(prefixes), widths), _PLACED))
+    found, places = placed.where("mark is null").select("doc_id", "key", "n_words"), placed.where("mark is not null").drop("doc_id")
     joined = places.join(prefixes, "mark").withColumn("start", F.col("at") - F.col("off"))
     inside = joined.where((F.col("start") >= 0) & (F.col("off") <= F.col("lead")) & (F.col("start") + F.col("n") <= F.col("n_words")))
     words = F.slice(F.split("around", " "), F.col("lead") - F.col("off") + 1, F.col("n"))
@@ -153,18 +154,18 @@ def contained_windows(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, D
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_words, n_hit (words inside an occurring window), item_ids (sorted as strings), contaminated."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    """Per row: doc_id, n_words, n_hit (words inside an occurring window), item_ids (sorted as strings), contaminated, key
+    (of id and text)."""
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), row_key(doc_id, text).alias("key"))
     windows = cut_lineage(item_windows(items, item_id, text))
     found, occurring = contained_windows(rows, windows)
-    listed = occurring.join(windows.select("window", "item_id").distinct(), "window")
-    per = listed.groupBy("key").agg(
-        F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("stop")))).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("item_ids")
-    )
+    listed = occurring.select("key", "window").distinct().join(windows.select("window", "item_id").distinct(), "window")
+    items_of = listed.groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    spans = occurring.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("stop")))).alias("spans"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach"))
     fold = lambda a, s: F.struct((a["n"] + F.greatest(s["stop"] - F.greatest(s["at"], a["reach"]), F.lit(0))).alias("n"), F.greatest(a["reach"], s["stop"]).alias("reach"))
-    per = per.select("key", F.aggregate("spans", start, fold, lambda a: a["n"]).cast("bigint").alias("n_hit"), "item_ids")
-    out = found.select("doc_id", "key", "n_words").join(per, "key", "left")
+    per = spans.select("key", F.aggregate("spans", start, fold, lambda a: a["n"]).cast("bigint").alias("n_hit"))
+    out = found.join(per, "key", "left").join(items_of, "key", "left")
     return out.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), "key"
     )

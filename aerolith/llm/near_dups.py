@@ -1,6 +1,6 @@
 """Near-duplicate classes by b-bit MinHash.
 
-1. `signatures`: the distinct shingles of each whole text give BANDS x ROWS minima. The low B_BITS of the minima are
+1. `signatures`: the distinct shingles of each whole text give bands x ROWS minima. The low B_BITS of the minima are
    packed into a signature of 64 bytes; each band of minima becomes one 64-bit key. Texts of equal shingle sets are one
    class from here on, so exact copies cost one row each.
 2. `estimated_links`: classes meet in the buckets of equal band keys. Inside a bucket the similarity is estimated from
@@ -12,8 +12,9 @@
 4. `connected` turns stars into classes by alternating large and small stars.
 
 Buckets and clusters larger than BLOCK rows are cut into blocks and dealt out as pairs of blocks, so that no task holds
-a whole group and no pair inside it is left out. Chances to miss a link at the threshold itself: all bands, below 3e-7;
-the estimate (more than 4.5 standard deviations), below 1e-5, and only where nothing else connects the two.
+a whole group and no pair inside it is left out. The number of bands and the margin of the estimate follow the threshold
+(`bands_of`, `margin_of`). Chances to miss a link at the threshold itself: all bands, below 3e-7; the estimate (4.5
+standard deviations), below 1e-5, and only where nothing else connects the two.
 
 Defined results: a text without words (null, empty) has an empty set and is linked with nothing; a text of fewer words
 than a shingle has one shingle, the whole sequence; a null id cannot be referred to, its row stays a class of its own
@@ -23,6 +24,7 @@ and the text are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +37,9 @@ from aerolith.llm.base import LOWER_ASCII, hashes_of, mixed, runs, slices, texts
 from aerolith.session import cut_lineage
 
 SHINGLE = 5
-BANDS, ROWS, B_BITS, KEPT = 26, 5, 4, 128
+ROWS, B_BITS, KEPT = 5, 4, 128
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
-PERCENT, MARGIN = 85, 0.15
+PERCENT, MISSED, DEVIATIONS = 85, 3e-7, 4.5
 
 SIGNATURE_SCHEMA = "doc_id bigint, n_shingles bigint, set_hash binary, bands array<bigint>, sig binary"
 
@@ -49,19 +51,30 @@ def shingle_set(words: list[bytes], width: int = SHINGLE) -> np.ndarray:
     return np.unique(runs(hashes_of(words), min(width, len(words))))
 
 
-def _families() -> tuple[np.ndarray, np.ndarray]:
-    steps = mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def bands_of(percent: int) -> int:
+    """Bands that all miss a pair at the threshold with a chance below MISSED; at least enough minima for a signature."""
+    return max(math.ceil(KEPT / ROWS), math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** ROWS))) if percent < 100 else 1)
+
+
+def margin_of(percent: int) -> float:
+    """How far below the threshold an estimate may lie: DEVIATIONS of a share of KEPT groups, corrected for chance."""
+    share = percent / 100
+    return DEVIATIONS * max(0.01, math.sqrt(share * (1 - share) / KEPT)) / (1 - 1 / (1 << B_BITS))
+
+
+def _families(bands: int) -> tuple[np.ndarray, np.ndarray]:
+    steps = mixed(np.arange(1, 2 * bands * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return (steps[::2] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (steps[1::2] >> np.uint64(32)).astype(np.uint32)
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
+def minima(sets: list[np.ndarray], bands: int) -> np.ndarray:
     """Minimum of each hash function over each (not empty) set: sets x functions."""
-    factor, offset = _families()
+    factor, offset = _families(bands)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     values = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(sets), BANDS * ROWS), np.uint32)
+    out = np.empty((len(sets), bands * ROWS), np.uint32)
     work = np.empty_like(values)
-    for k in range(BANDS * ROWS):
+    for k in range(bands * ROWS):
         np.multiply(values, factor[k], out=work)
         np.add(work, offset[k], out=work)
         out[:, k] = np.minimum.reduceat(work, starts)
@@ -75,8 +88,9 @@ def packed(low: np.ndarray) -> np.ndarray:
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
-    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(low), 1))
-    rows = low.astype(np.uint64).reshape(len(low), BANDS, ROWS)
+    bands = low.shape[1] // ROWS
+    keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(low), 1))
+    rows = low.astype(np.uint64).reshape(len(low), bands, ROWS)
     for r in range(ROWS):
         keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, r])
     return keys.view(np.int64)
@@ -93,29 +107,32 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal / KEPT - chance) / (1 - chance)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 1 << 20):
-        sets = [shingle_set(t.translate(LOWER_ASCII).split()) for t in texts_of(batch)]
-        some = [s for s in sets if len(s)]
-        keys, sigs = None, None
-        if some:
-            low = minima(some)
-            keys, sigs = iter(band_keys(low)), iter(packed(low))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(s) if len(s) else None for s in sets], pa.binary()),
-                pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                pa.array([next(sigs).tobytes() if len(s) else None for s in sets], pa.binary()),
-            ],
-            ["doc_id", "n_shingles", "set_hash", "bands", "sig"],
-        )
-
-
-def signatures(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _signed(bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            sets = [shingle_set(t.translate(LOWER_ASCII).split()) for t in texts_of(batch)]
+            some = [s for s in sets if len(s)]
+            keys, sigs = None, None
+            if some:
+                low = minima(some, bands)
+                keys, sigs = iter(band_keys(low)), iter(packed(low))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([xxhash.xxh3_128_digest(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                    pa.array([next(sigs).tobytes() if len(s) else None for s in sets], pa.binary()),
+                ],
+                ["doc_id", "n_shingles", "set_hash", "bands", "sig"],
+            )
+
+    return run
+
+
+def signatures(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row: id, size and hash of its shingle set, band keys, packed signature."""
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_signed, SIGNATURE_SCHEMA)
+    return rows.mapInArrow(_signed(bands_of(percent)), SIGNATURE_SCHEMA)
 
 
 class Union:
@@ -168,7 +185,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
 
 
 def _passing(sig: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    close = estimate(sig[left], sig[right]) >= percent / 100 - MARGIN
+    close = estimate(sig[left], sig[right]) >= percent / 100 - margin_of(percent)
     a, b = sizes[left], sizes[right]
     return close & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
 
@@ -313,7 +330,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     Two rows are linked when 100 x common shingles >= percent x all shingles of both.
     """
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = cut_lineage(signatures(rows))
+    signed = cut_lineage(signatures(rows, percent=percent))
     classes = cut_lineage(
         signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash", "n_shingles", "bands", "sig").agg(F.min("doc_id").alias("rep"))
     )

@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.base import let
+from aerolith.llm.base import let, row_key
 from aerolith.session import cut_lineage
 
 KINDS = ["email", "ip", "card", "phone", "number"]  # the last is only added by the trees
@@ -174,16 +174,17 @@ def _of_kind(kind: int) -> Callable[[Column], Column]:
 
 
 def found(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, base (kind, start, end in order), cands (start, end, features, label, free: not covered, not plain)."""
-    rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    """Per row: doc_id, key (of id and text), base (kind, start, end in order), cands (start, end, features, label, free: not
+    covered, not plain)."""
+    rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_key(doc_id, text).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kinds = [F.transform(s, _of_kind(k)) for k, s in enumerate(base_spans(F.col("text")))]
-    rows = rows.select("doc_id", F.sort_array(F.concat(*kinds)).alias("base"), F.transform(proposed(F.col("text")), _trimmed).alias("raw"))
+    rows = rows.select("doc_id", "key", F.sort_array(F.concat(*kinds)).alias("base"), F.transform(proposed(F.col("text")), _trimmed).alias("raw"))
 
     def described(c: Column) -> Column:
         meets = F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
         return F.struct(c["start"].alias("start"), c["end"].alias("end"), *[f(c).cast("int").alias(n) for n, (_, f) in FEATURES.items()], (meets | evident(c)).cast("int").alias("label"), (~meets & ~_plain(c)).alias("free"))
 
-    return rows.select("doc_id", "base", F.transform("raw", described).alias("cands"))
+    return rows.select("doc_id", "key", "base", F.transform("raw", described).alias("cands"))
 
 
 def counts(rows: DataFrame) -> list[tuple[tuple[int, ...], int, int, int]]:
@@ -272,7 +273,8 @@ def _score(c: Column, start: float, trees: list[Tree]) -> Column:
 
 
 def personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, base and spans, both arrays of (start, kind, end) in order; kind is a place in KINDS."""
+    """Per row: doc_id, base and spans, both arrays of (start, kind, end) in order, key (of id and text); kind is a place in
+    KINDS."""
     rows = cut_lineage(found(df, doc_id, text))
     table = masked(counts(rows))
     start, trees = boost([t for t in table if t[2] == 0])
@@ -284,7 +286,7 @@ def personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         # a candidate that a base span meets is covered already, a date is none
         chosen = F.filter("cands", lambda c: c["free"] & (_score(c, start, trees) >= F.lit(bound - 1e-6)))
         extra = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), F.when(c["shape"] == 1, 0).otherwise(4).alias("kind"), c["end"].alias("end")))
-    return rows.select("doc_id", "base", F.sort_array(F.array_union("base", extra)).alias("spans"))
+    return rows.select("doc_id", "base", F.sort_array(F.array_union("base", extra)).alias("spans"), "key")
 
 
 def as_text(found_spans: str) -> Column:

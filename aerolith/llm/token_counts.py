@@ -2,7 +2,7 @@
 
 Each distinct word is a linked list of symbols and a heap of its adjacent pairs by (rank, position). The lowest pair is
 popped, merged if it still stands, and its two neighbour pairs are pushed; every merge lowers the count by one. No id
-leaves a task, only a number per text. Counts of words are remembered per worker, at most REMEMBERED of them.
+leaves a task, only a number per text. A task remembers the counts of words worth at most REMEMBERED bytes.
 
 Defined results: a null or blank text has 0 tokens and, if null, 0 bytes; a null id stays null; rows are counted one by
 one, so repeated rows and ties are equal; an empty table gives an empty result. Other columns are not read.
@@ -19,12 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.llm import vocabulary
-from aerolith.llm.base import slices
+from aerolith.llm.base import slices, weight
 
-REMEMBERED = 600_000
-STEP = 400_000  # words of a text at a time
-
-_memory: dict[str, "Counter"] = {}
+REMEMBERED = 32 << 20
+STEP = 50_000  # words of a text at a time
 
 
 def count_merged(symbols: list[int], ranks: dict[int, int], made: list[int]) -> int:
@@ -60,6 +58,7 @@ class Counter:
     def __init__(self, name: str) -> None:
         self.vocabulary = vocabulary.load(name)
         self.known: dict[str, int] = {}
+        self.weight = 0
 
     def of(self, text: str) -> int:
         words, known = self.vocabulary.words(text), self.known
@@ -67,9 +66,10 @@ class Counter:
         for k in range(0, len(words), STEP):
             part = words[k : k + STEP]
             new = set(part).difference(known)
-            if len(known) + len(new) > REMEMBERED:
+            if self.weight + weight(new) > REMEMBERED:
                 known.clear()
-                new = set(part)
+                self.weight, new = 0, set(part)
+            self.weight += weight(new)
             for w in new:
                 known[w] = count_merged(self.vocabulary.symbols(w), self.vocabulary.ranks, self.vocabulary.made)
             total += sum(map(known.__getitem__, part))
@@ -78,8 +78,8 @@ class Counter:
 
 def _counted(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _memory.setdefault(name, Counter(name))
-        for batch in slices(batches, "text"):
+        counter = Counter(name)
+        for batch in slices(batches, "text", 1 << 20):
             counts = np.fromiter((counter.of(t) if t else 0 for t in batch.column("text").to_pylist()), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])
 

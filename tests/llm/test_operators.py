@@ -96,8 +96,8 @@ def test_estimate_follows_similarity():
         other = [w if rng.random() < share ** 0.2 else b"x%d" % rng.randrange(10**9) for w in words]
         a, b = near_dups.shingle_set(words), near_dups.shingle_set(other)
         both = len(set(a.tolist()) & set(b.tolist()))
-        sig = near_dups.packed(near_dups.minima([a, b])).view("uint64")
-        assert abs(float(near_dups.estimate(sig[0], sig[1])) - both / (len(a) + len(b) - both)) < near_dups.MARGIN
+        sig = near_dups.packed(near_dups.minima([a, b], 26)).view("uint64")
+        assert abs(float(near_dups.estimate(sig[0], sig[1])) - both / (len(a) + len(b) - both)) < near_dups.margin_of(85)
 
 
 def test_decontamination(spark, docs, texts):
@@ -175,7 +175,8 @@ def test_tokens_of_any_characters(monkeypatch):
     library, rng = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), random.Random(9)
     pools = [range(0, 0x250), range(0x250, 0xD7FF), range(0x10000, 0x1F9FF), [39, 32, 83, 116]]
     odd = ["".join(chr(rng.choice(rng.choice(pools))) for _ in range(rng.randrange(50))) for _ in range(500)]
-    monkeypatch.setattr(bpe, "REMEMBERED", 200)
+    monkeypatch.setattr(bpe, "REMEMBERED", 40_000)
+    monkeypatch.setattr(token_counts, "REMEMBERED", 40_000)
     monkeypatch.setattr(bpe, "STEP", 90)
     flat, at = bpe.Encoder("word_bpe_49k.json").encode(odd)
     counter = token_counts.Counter("word_bpe_49k.json")
@@ -273,4 +274,4 @@ def test_empty_benchmark(spark, docs, texts):
 
 
 def test_every_operator_has_a_query():
-    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES if n != "pipeline"} == {str(n) for n in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES if n != "pipeline"} == {str(n) for n in range(1, 14)}

@@ -20,7 +20,7 @@ def test_stages(spark, sf):
         kept.append({r.doc_id for r in rows.collect()})
         if name == "near_duplicates":
             ids = sorted(before)
-            assert kept[-1] == {ids[t] for t in components([before[i] for i in ids])[1]}
+            assert kept[-1] == {ids[t] for t in components([before[i] for i in ids], 80)[1]}
         if name == "personal_data":
             assert kept[-1] == set(before)
             assert not [r for r in rows.collect() if re.search(r"[a-z]@[a-z0-9-]+\.[a-z]", r.text)]
