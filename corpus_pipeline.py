@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.llm import bpe, decontamination, near_dups, pii, quality
-from aerolith.llm.base import table
+from aerolith.llm.base import row_key, table
 from aerolith.session import cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+PERCENT = 80  # similarity of near duplicates on shingles of five words
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,38 +23,39 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a key of id and text, never null: ids may be null or repeated with other texts.
-
-    64 bits; two of n different rows share a key with a chance below n * n / 2 ** 65.
-    """
-    return docs.select(*COLUMNS).withColumn("row_key", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text")))
+    """The rows with a key of id and text in 128 bits, never null: ids may be null or repeated with other texts."""
+    return docs.select(*COLUMNS).withColumn("row_key", row_key())
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; a null id is a group of its own; of rows with
-    one id and text, one."""
-    rows = keyed(docs)
+    """The document with the smallest id of each group of near duplicates (0.8); a null id is a group of its own; of rows
+    with one id and text, one.
+
+    The classes need whole numbers, 64 bits of the key. Rows that share these but not the key are never compared: they
+    stay.
+    """
+    rows = keyed(docs).withColumn("row_id", F.conv(F.substring(F.hex("row_key"), 1, 15), 16, 10).cast("bigint"))
     named = rows.where("doc_id is not null")
-    groups = near_dups.near_duplicates(named, doc_id="row_key").select(F.col("doc_id").alias("row_key"), "component_id").distinct()
-    members = groups.join(named.select("row_key", "doc_id").distinct(), "row_key")
-    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("first")).select("first.row_key")
-    kept = named.join(first.hint("shuffle_hash"), "row_key", "left_semi").unionByName(rows.where("doc_id is null"))
+    ids = named.groupBy("row_id").agg(F.min("doc_id").alias("doc_id"), (F.min("row_key") != F.max("row_key")).alias("clash"))
+    groups = near_dups.near_duplicates(named, doc_id="row_id", percent=PERCENT).select(F.col("doc_id").alias("row_id"), "component_id").distinct()
+    members = cut_lineage(ids.join(groups, "row_id"))
+    first = members.where("not clash").groupBy("component_id").agg(F.min(F.struct("doc_id", "row_id")).alias("first")).select("first.row_id")
+    stay = first.union(members.where("clash").select("row_id"))
+    kept = named.join(stay.hint("shuffle_hash"), "row_id", "left_semi").unionByName(rows.where("doc_id is null"))
     return kept.dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    rows = keyed(docs)
-    hit = decontamination.decontaminate(rows, table(spark, sf_dir, "benchmark"), doc_id="row_key").where("contaminated").select(F.col("doc_id").alias("row_key"))
-    return rows.join(hit.hint("shuffle_hash"), "row_key", "left_anti").select(*COLUMNS)
+    hit = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("key").alias("row_key"))
+    return keyed(docs).join(hit.hint("shuffle_hash"), "row_key", "left_anti").select(*COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, personal data replaced by its kind; n_chars is that of the new text."""
-    rows = keyed(docs)
     # repeated rows have equal spans
-    spans = pii.personal_data(rows, doc_id="row_key").where(F.size("spans") > 0).select(F.col("doc_id").alias("row_key"), "spans").dropDuplicates(["row_key"])
-    rows = rows.join(spans.hint("shuffle_hash"), "row_key", "left")
+    spans = pii.personal_data(docs).where(F.size("spans") > 0).select(F.col("key").alias("row_key"), "spans").dropDuplicates(["row_key"])
+    rows = keyed(docs).join(spans.hint("shuffle_hash"), "row_key", "left")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(pii.redacted(F.col("text"), F.col("spans")))
     return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
