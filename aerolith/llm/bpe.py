@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from aerolith.llm import vocabulary
 from aerolith.llm.base import slices, weight
 
-REMEMBERED = 32 << 20
+REMEMBERED = 64 << 20
 STEP = 50_000  # words at a time
 
 
