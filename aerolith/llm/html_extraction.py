@@ -10,6 +10,9 @@
    a whole can only win on pages whose text stands right under it.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments never score and never give text.
+A class, an id or a form tag only marks an element as one of these while it does not hold the page: an element around the
+main element, around the article with the most text, or around MOST of the text that no such mark covers differently is a
+wrapper, whatever it is called (`freed`). Marks of reader comments give way to the main element and the title alone.
 
 Votes are summed per task before they are shuffled. Pages meet the few winners of their host by (host, salt), so a host
 with a third of all pages is dealt out over SALTS parts.
@@ -35,19 +38,22 @@ SHARE, SALTS = 0.1, 16
 MOST, PART = 0.8, 0.25
 
 # Elements that never hold article text, whatever their classes.
-_DROPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "textarea", "dialog", "menu", "head", "title", "iframe", "object", "canvas", "label", "fieldset"}
+_DROPPED = {"nav", "header", "footer", "aside", "button", "select", "textarea", "dialog", "menu", "head", "title", "iframe", "object", "canvas", "label", "fieldset"}
 # Elements whose content is not markup.
 _RAW = "script|style|noscript|template|svg|math|iframe|textarea|title"
-_CONTAINERS = _DROPPED | {"html", "body", "div", "section", "article", "main", "ul", "ol", "dl", "table", "td", "blockquote", "figure", "details", "center"}
+_CONTAINERS = _DROPPED | {"html", "form", "body", "div", "section", "article", "main", "ul", "ol", "dl", "table", "td", "blockquote", "figure", "details", "center"}
 _LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "th", "pre", "br", "hr", "figcaption", "summary", "address", "caption", "option", "tbody", "thead"}
 _EMPTY = {"br", "hr"}
 # Words of a class, id or role that mark what is not the article.
 _HINTS = {
     "nav", "navbar", "navigation", "menu", "header", "masthead", "banner", "topbar", "footer", "contentinfo", "sidebar", "aside", "complementary", "rail", "widget", "widgets",
     "notice", "notices", "cookie", "cookies", "consent", "gdpr", "alert", "popup", "modal", "overlay", "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo",
-    "promotion", "form", "search", "login", "signup", "subscribe", "newsletter", "comment", "comments", "reply", "replies", "respond", "disqus", "breadcrumb", "breadcrumbs", "share",
-    "sharing", "social", "related", "recommended", "toolbar", "pagination", "pager", "copyright",
+    "promotion", "form", "search", "login", "signup", "subscribe", "newsletter", "breadcrumb", "breadcrumbs", "share", "sharing",
+    "social", "related", "recommended", "toolbar", "pagination", "pager", "copyright",
 }
+_COMMENTS = {"comment", "comments", "reply", "replies", "respond", "disqus"}
+# Words that say a class tells of something elsewhere (`no-comments`, `has-sidebar`).
+_ELSEWHERE = {"no", "not", "has", "have", "with", "without", "open", "closed"}
 # Attributes up to the end of a tag; a quoted value may hold `>`.
 _ATTRS = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _TOKEN = re.compile(
@@ -61,31 +67,42 @@ _NUMBER = re.compile(r"\d+")
 
 
 class Element:
-    __slots__ = ("boiler", "links", "parent", "path", "score", "size", "tag")
+    __slots__ = ("boiler", "held", "links", "mark", "parent", "path", "score", "size", "tag", "titled")
 
-    def __init__(self, tag: str, path: str, parent: "Element | None", boiler: bool) -> None:
-        self.tag, self.path, self.parent, self.boiler = tag, path, parent, boiler
-        self.score, self.size, self.links = 0.0, 0, 0
+    def __init__(self, tag: str, path: str, parent: "Element | None", boiler: bool, mark: str = "") -> None:
+        self.tag, self.path, self.parent, self.boiler, self.mark = tag, path, parent, boiler, mark
+        self.score, self.size, self.links, self.held, self.titled = 0.0, 0, 0, 0.0, False
 
+    def around(self) -> "Iterator[Element]":
+        """The element and those it lies in."""
+        e: Element | None = self
+        while e is not None:
+            yield e
+            e = e.parent
 
-def _marks(tag: str, attrs: str) -> tuple[str, bool]:
-    """(generalised class, whether the element is no article text)."""
+
+def _marks(tag: str, attrs: str) -> tuple[str, bool, str]:
+    """(generalised class, whether the element is no article text by its kind, what its names say it is)."""
     if not attrs:
-        return "", tag in _DROPPED
+        return "", tag in _DROPPED, "hint" if tag == "form" else ""
     found: dict[str, str] = {}
     for m in _ATTR.finditer(attrs):
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-    names = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-    hinted = tag not in ("html", "body", "main", "article") and not _HINTS.isdisjoint(_WORD.findall(names))
-    return ".".join(sorted(_NUMBER.sub("#", found.get("class", "").lower()).split())), tag in _DROPPED or hinted or hidden
+    mark = "hint" if tag == "form" else ""
+    if tag not in ("html", "body", "main", "article"):
+        for name in " ".join(found.get(k, "") for k in ("class", "id", "role")).lower().split():
+            words = _WORD.findall(name)
+            if _ELSEWHERE.isdisjoint(words):
+                mark = "comment" if mark == "comment" or not _COMMENTS.isdisjoint(words) else mark if _HINTS.isdisjoint(words) else "hint"
+    return ".".join(sorted(_NUMBER.sub("#", found.get("class", "").lower()).split())), tag in _DROPPED or hidden, mark
 
 
 def walk(page: str) -> list[tuple[Element, str]]:
     """Blocks of the page in order, outside of what is no article text: (container, text)."""
     root = Element("", "", None, False)
     stack, blocks, parts = [root], [], []
-    in_link, dropped, link_chars = False, False, 0
+    in_link, dropped, title, link_chars = False, False, False, 0
     at = 0
 
     def flush() -> None:
@@ -97,6 +114,7 @@ def walk(page: str) -> list[tuple[Element, str]]:
                 blocks.append((top, text))
                 top.size += len(text)
                 top.links += min(link_chars, len(text))
+                top.titled |= title
             parts, link_chars = [], 0
 
     for m in _TOKEN.finditer(page):
@@ -112,29 +130,63 @@ def walk(page: str) -> list[tuple[Element, str]]:
         closing = bool(m["end"])
         if tag in _CONTAINERS:
             flush()
-            dropped = in_link = False
+            dropped = in_link = title = False
             if closing:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
                         del stack[k:]
                         break
             elif not m["attrs"].endswith("/"):
-                kind, boiler = _marks(tag, m["attrs"])
+                kind, boiler, mark = _marks(tag, m["attrs"])
                 up = stack[-1]
                 name = tag + ("." + kind if kind else "")
                 path = up.path if tag in ("html", "body") else f"{up.path}>{name}"
-                stack.append(Element(tag, path, up, up.boiler or boiler))
+                stack.append(Element(tag, path, up, up.boiler or boiler, mark))
         elif tag in _LEAVES:
             flush()
             in_link = False
-            dropped = False if closing or tag in _EMPTY else _marks(tag, m["attrs"])[1]
+            dropped = not closing and tag not in _EMPTY and any(_marks(tag, m["attrs"])[1:])
+            title = tag == "h1" and not closing
         elif tag == "a":
             in_link = not closing
         # other elements run inside their line of text
     if at < len(page):
         parts.append(page[at:])
     flush()
-    return blocks
+    return _outside_marks(blocks)
+
+
+def _outside_marks(blocks: list[tuple[Element, str]]) -> list[tuple[Element, str]]:
+    """The blocks that lie in no marked element, wrappers apart."""
+    if not any(e.mark for box in {id(b): b for b, _ in blocks}.values() for e in box.around()):
+        return blocks
+    total, mains = 0.0, {}
+    for box, text in blocks:
+        worth = _worth(text) * (1 - box.links / box.size)
+        lies_in = list(box.around())
+        remark = any(e.mark == "comment" for e in lies_in)
+        total += 0.0 if remark else worth
+        for e in lies_in:
+            e.held += worth
+            e.titled |= box.titled
+            if e.tag == "main" or e.tag == "article" and not remark:
+                mains[id(e)] = e
+    first = max(mains.values(), key=lambda e: (e.tag == "main", e.held), default=None)
+    holding = set(map(id, first.around())) if first else set()
+
+    def freed(e: Element) -> bool:
+        if e.mark == "comment":
+            return e.titled or (id(e) in holding and first.tag == "main")
+        return id(e) in holding or e.held >= MOST * total
+
+    wrapped: dict[int, bool] = {}
+    out = []
+    for box, text in blocks:
+        if id(box) not in wrapped:
+            wrapped[id(box)] = all(not e.mark or freed(e) for e in box.around())
+        if wrapped[id(box)]:
+            out.append((box, text))
+    return out
 
 
 def _worth(text: str) -> float:

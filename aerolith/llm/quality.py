@@ -24,9 +24,6 @@ from aerolith.llm.base import let
 SPACE = r"[\x20\x09-\x0D]"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
-# Positions of 3-word windows share a long with the upper bits of the window's hash.
-POSITION_BITS = 26
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -60,32 +57,18 @@ def mask_of(names: list[str]) -> int:
     return sum(1 << bits[n] for n in names)
 
 
-_LOW = (1 << POSITION_BITS) - 1
-
-
-def _place(row: Column) -> Column:
-    return row.bitwiseAND(F.lit(_LOW)).cast("int")
-
-
 def with_repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:
     """Add the number of words inside 3-word windows that occur twice or more in the text.
 
-    Windows are hashed and sorted together with their positions; equal neighbours are repeats. The sorted longs hold
-    only the upper bits of a hash, so neighbours alike in them are compared by their whole hash.
+    Windows are hashed and sorted as pairs of whole hash and position; equal neighbours are repeats.
     """
-    h, rows, n = "__hashes", "__sorted", F.size(words)
-    hashes = F.slice(F.transform(F.col(words), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))), F.lit(1), F.greatest(n - 2, F.lit(0)))
-    df = df.withColumn(h, hashes)
-    # sorting outside of any lambda runs as generated code over plain longs
-    df = df.withColumn(rows, F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~_LOW)).bitwiseOR(i.cast("bigint")))))
-
-    def same(x: Column, y: Column) -> Column:
-        return (x.bitwiseXOR(y) <= F.lit(_LOW)) & (F.get(h, _place(x)) == F.get(h, _place(y)))
-
-    repeats = F.filter(rows, lambda x, i: F.coalesce(same(x, F.get(rows, i + 1)), F.lit(False)) | F.coalesce(same(x, F.get(rows, i - 1)), F.lit(False)))
-    at = F.sort_array(F.transform(repeats, _place))
+    rows, n = "__sorted", F.size(words)
+    pair = lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))
+    df = df.withColumn(rows, F.sort_array(F.slice(F.transform(F.col(words), pair), F.lit(1), F.greatest(n - 2, F.lit(0)))))
+    same = lambda x, k: F.coalesce(x["h"] == F.get(rows, k)["h"], F.lit(False))
+    at = F.sort_array(F.transform(F.filter(rows, lambda x, k: same(x, k + 1) | same(x, k - 1)), lambda x: x["i"]))
     gaps = let(at, lambda p: F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))))
-    return df.withColumn(out, F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("bigint")).drop(h, rows)
+    return df.withColumn(out, F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("bigint")).drop(rows)
 
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import public_tokenizers
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from aerolith.llm import html_extraction, pii
+from aerolith.llm import html_extraction, pii, quality
 
 
 def test_numbers_after_a_blank_are_proposed(spark):
@@ -94,3 +95,35 @@ def test_last_stage_decodes_what_it_encodes(spark):
         text = {1: "One, two  three é 😀"}.get(r.doc_id, "")
         assert r.ids == library.encode(text, add_special_tokens=False).ids and r.n_tokens == len(r.ids)
         assert r.decoded_sha256 == hashlib.sha256(library.decode(r.ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+STORY = "".join(f"<p>Sentence {k} of the story, long enough to count, and plain.</p>" for k in range(6))
+TOLD = " ".join(f"Sentence {k} of the story, long enough to count, and plain." for k in range(6))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='content-sidebar-wrap'><article>{STORY}</article><div class='sidebar'><p>Side, with, commas</p></div></div>",
+        f"<form id='aspnetForm'><div class='page'>{STORY}</div><form class='search'><p>Find</p></form></form>",
+        f"<div class='no-comments hentry'>{STORY}</div>",
+        f"<div class='has-sidebar'><div>{STORY}</div><div class='sidebar'><p>Side</p></div></div>",
+        f"<div class='single comments-open'><h1></h1><div class='entry'>{STORY}</div><div class='comments'>{STORY.replace('Sentence', 'Remark') * 3}</div></div>",
+        f"<div class='header-layout'><main>{STORY}</main><div class='comments'><article><p>I, say, so</p></article></div></div>",
+        f"<article>{STORY}</article><div class='related'><article><p>Another, teaser</p></article><article><p>One more</p></article></div>",
+        f"<div class='post'>{STORY}</div><ol class='comment-list'><article class='comment-body'>{STORY.replace('Sentence', 'Remark') * 4}</article></ol>",
+        f"<div id='menu-page'>{STORY}</div><div class='menu'><ul><li><a href='/'>Home</a></li></ul></div>",
+    ],
+)
+def test_wrappers_are_judged_by_what_they_hold(page):
+    assert html_extraction.main_text(f"<html><body>{page}</body></html>", []) == TOLD
+
+
+def test_every_repeat_is_found(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(3, 400))) for _ in range(40)]
+    rows = quality.ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).select("doc_id", "n_repeat_words").collect()
+    for r in rows:
+        w = texts[r.doc_id].split()
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        assert r.n_repeat_words == len({i + d for i, g in enumerate(grams) if grams.count(g) > 1 for d in range(3)})
