@@ -138,6 +138,28 @@ def beside(elements: DataFrame, keys: Sequence[str], closed: bool) -> DataFrame:
     return rows.select(*keep, *[c.alias(n) for n, c in named.items()])
 
 
+def _line(borders: DataFrame, border: str) -> DataFrame:
+    """Segments of the borders with their length and the length before them; the last vertex has no segment."""
+    scan = OrderedScan([border], [F.col("k")], F.floor(F.col("k") / 1000))
+    line = scan.compute(borders.select(border, "k", "lon", "lat"), following={"_x": F.col("lon"), "_y": F.col("lat")})
+    line = line.withColumn("_len", F.when(F.col("_x").isNotNull(), distance_nm("lon", "lat", "_x", "_y")))
+    return scan.compute(line, running={"_cum": Running("sum", F.col("_len"), inclusive=False)}).withColumn("_cum", F.coalesce("_cum", F.lit(0.0)))
+
+
+def placed_on_borders(uses: DataFrame, borders: DataFrame, keys: Sequence[str], border: str = "border") -> DataFrame:
+    """Nearest place on the border of the points beside a use: keys, border, side (from, to), p (gap in NM, i, at, nm)."""
+    return _placed(uses, _line(borders, border), keys, border)
+
+
+def _placed(uses: DataFrame, line: DataFrame, keys: Sequence[str], border: str) -> DataFrame:
+    ends = uses.select(*keys, border, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_lon").alias("px"), F.col(f"{s}_lat").alias("py")) for s in ("from", "to")])).alias("e")).select(*keys, border, "e.*")
+    near = ends.where("px is not null and py is not null").join(line.where("_x is not null"), border)
+    t, _, _, gap = segment_offset("px", "py", "lon", "lat", "_x", "_y")
+    near = settle(near, _t=t, _gap=gap)
+    place = F.struct(F.col("_gap").alias("gap"), F.col("k").alias("i"), (F.col("k") + F.col("_t")).alias("at"), (F.col("_cum") + F.col("_t") * F.col("_len")).alias("nm"))
+    return near.groupBy(*keys, border, "side").agg(F.min(place).alias("p"))
+
+
 def follow_borders(uses: DataFrame, borders: DataFrame, keys: Sequence[str], border: str = "border") -> DataFrame:
     """The stretch of a border between the two points beside its use.
 
@@ -146,19 +168,11 @@ def follow_borders(uses: DataFrame, borders: DataFrame, keys: Sequence[str], bor
     taken), lon, lat, from_gap_nm, to_gap_nm (distance of the points from the line). A line that ends where it began is
     followed the shorter way round, any other one from place to place in the direction they have.
     """
-    scan = OrderedScan([border], [F.col("k")], F.floor(F.col("k") / 1000))
-    line = scan.compute(borders.select(border, "k", "lon", "lat"), following={"_x": F.col("lon"), "_y": F.col("lat")})
-    line = line.withColumn("_len", F.when(F.col("_x").isNotNull(), distance_nm("lon", "lat", "_x", "_y")))
-    line = scan.compute(line, running={"_cum": Running("sum", F.col("_len"), inclusive=False)}).withColumn("_cum", F.coalesce("_cum", F.lit(0.0)))
+    line = _line(borders, border)
     whole = borders.groupBy(border).agg(F.max("k").alias("_m"), F.min_by(F.struct("lon", "lat"), "k").alias("_a"), F.max_by(F.struct("lon", "lat"), "k").alias("_b"))
     whole = whole.join(line.groupBy(border).agg(F.sum("_len").alias("_total")), border)
     whole = whole.select(border, "_m", "_total", ((F.col("_a") == F.col("_b")) & (F.col("_m") > 2)).alias("_closed"))
-    ends = uses.select(*keys, border, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_lon").alias("px"), F.col(f"{s}_lat").alias("py")) for s in ("from", "to")])).alias("e")).select(*keys, border, "e.*")
-    near = ends.where("px is not null and py is not null").join(line.where("_x is not null"), border)
-    t, _, _, gap = segment_offset("px", "py", "lon", "lat", "_x", "_y")
-    near = settle(near, _t=t, _gap=gap)
-    place = F.struct(F.col("_gap").alias("gap"), F.col("k").alias("i"), (F.col("k") + F.col("_t")).alias("at"), (F.col("_cum") + F.col("_t") * F.col("_len")).alias("nm"))
-    placed = near.groupBy(*keys, border, "side").agg(F.min(place).alias("p"))
+    placed = _placed(uses, line, keys, border)
     both = placed.groupBy(*keys, border).agg(*[F.max(F.when(F.col("side") == s, F.col("p"))).alias(f"_{s}") for s in ("from", "to")])
     ways = uses.select(*keys, border).join(both.withColumnsRenamed({k: f"_j{i}" for i, k in enumerate(keys)} | {border: "_jb"}), _same(keys) & F.col(border).eqNullSafe(F.col("_jb")), "left").drop("_jb", *[f"_j{i}" for i in range(len(keys))])
     ways = ways.join(whole, border)

@@ -15,7 +15,7 @@ from .tables import position, position_sql, sql_distance, table
 FAMILY = Family()
 
 CX, CY = position_sql("p_partkey", 0, 2)
-ARCS_SQL = f"""arcs AS (SELECT p_partkey AS key, {CX} AS lon, {CY} AS lat, 0.5 + p_partkey % 130 AS r, p_partkey * 7 % 360 AS b1, p_partkey * 13 % 360 AS b2, p_size % 2 = 0 AS cw FROM part)"""
+ARCS_SQL = f"""arcs AS (SELECT p_partkey AS key, {CX} AS lon, {CY} AS lat, 0.5 + p_partkey % 130 AS r, p_partkey * 7 % 360 AS b1, (p_partkey * 13 + 1) % 360 AS b2, p_size % 2 = 0 AS cw FROM part)"""
 
 
 def _sweep(a: str, b: str) -> str:
@@ -27,7 +27,7 @@ def part_arcs(spark, sf):
     lon, lat = position("p_partkey", 0, 2)
     k = F.col("p_partkey")
     return table(spark, sf, "part").select(
-        k.alias("key"), lon.alias("lon"), lat.alias("lat"), (F.lit(0.5) + k % 130).alias("radius_nm"), (k * 7 % 360).cast("double").alias("from_deg"), (k * 13 % 360).cast("double").alias("to_deg"),
+        k.alias("key"), lon.alias("lon"), lat.alias("lat"), (F.lit(0.5) + k % 130).alias("radius_nm"), (k * 7 % 360).cast("double").alias("from_deg"), ((k * 13 + 1) % 360).cast("double").alias("to_deg"),
         (F.col("p_size") % 2 == 0).alias("clockwise"),
     )
 
@@ -55,7 +55,7 @@ def _fit_state(side: str) -> str:
     return f"CASE WHEN {side}g IS NULL THEN NULL WHEN {side}g <= 0.05 THEN 'on' WHEN {side}g <= least(0.5, 0.05 * r) THEN 'beside' WHEN {side}ok THEN 'through' ELSE 'off' END"
 
 
-@FAMILY.add("fun_03_fit_arc", f"""WITH {ARCS_SQL}, o AS (SELECT *, {_offsets(STARTS, 7, 0)} AS sa, {_offsets(STARTS, 7, 1)} AS sr, {_offsets(ENDS, 5, 0)} AS ea, {_offsets(ENDS, 5, 1)} AS er FROM arcs),
+FIT_SQL = f"""WITH {ARCS_SQL}, o AS (SELECT *, {_offsets(STARTS, 7, 0)} AS sa, {_offsets(STARTS, 7, 1)} AS sr, {_offsets(ENDS, 5, 0)} AS ea, {_offsets(ENDS, 5, 1)} AS er FROM arcs),
 {direct('pp', 'o', 'lon', 'lat', 'b1 + sa', 'r * (1 + sr)', 'px', 'py')}, {direct('nn', 'pp', 'lon', 'lat', 'b2 + ea', 'r * (1 + er)', 'nx', 'ny')},
 {direct('c1', 'nn', 'lon', 'lat', 'b1', 'r', 'sx', 'sy')}, {direct('c2', 'c1', 'lon', 'lat', 'b2', 'r', 'ex', 'ey')},
 {inverse('g1', 'c2', 'sx', 'sy', 'px', 'py', 'sg', 'sgz')}, {inverse('g2', 'g1', 'ex', 'ey', 'nx', 'ny', 'eg', 'egz')}, {inverse('h1', 'g2', 'lon', 'lat', 'px', 'py', 'sd', 'sz')}, {inverse('h2', 'h1', 'lon', 'lat', 'nx', 'ny', 'ed', 'ez')},
@@ -63,10 +63,11 @@ k AS (SELECT *, abs(sd - r) <= 0.15 * r AND abs(((sz - b1 + 180) % 360 + 360) %
 f AS (SELECT *, {_fit_state('s')} AS sf, {_fit_state('e')} AS ef FROM k),
 t AS (SELECT *, coalesce(sf = 'through' OR (ef = 'through' AND sf = 'beside' AND sok), false) AS st, coalesce(ef = 'through' OR (sf = 'through' AND ef = 'beside' AND eok), false) AS et FROM f),
 z AS (SELECT *, CASE WHEN st THEN sz ELSE b1 END AS f1, CASE WHEN et THEN ez ELSE b2 END AS f2 FROM t),
-w AS (SELECT *, abs({_sweep('f1', 'f2')} - {_sweep('b1', 'b2')}) > 10 AS turned FROM z), q AS (SELECT *, st AND NOT turned AS s, et AND NOT turned AS e FROM w)
-SELECT key AS p_partkey, CASE WHEN s THEN 'through' WHEN sf = 'through' THEN 'off' ELSE sf END AS start_fit, CASE WHEN e THEN 'through' WHEN ef = 'through' THEN 'off' ELSE ef END AS end_fit, round(sg, 5) AS start_gap_nm, round(eg, 5) AS end_gap_nm,
-  round(CASE WHEN s THEN sz ELSE b1 END, 5) % 360 AS fit_from, round(CASE WHEN e THEN ez ELSE b2 END, 5) % 360 AS fit_to, round(CASE WHEN s THEN sd ELSE r END, 5) AS fit_radius, round(CASE WHEN e THEN ed ELSE r END, 5) AS fit_end_radius FROM q""")
-def _(spark, sf):
+w AS (SELECT *, abs({_sweep('f1', 'f2')} - {_sweep('b1', 'b2')}) > 10 AS turned FROM z), q AS (SELECT *, st AND NOT turned AS s, et AND NOT turned AS e FROM w)"""
+
+
+def published_arcs(spark, sf):
+    """The arcs with published points beside them, some at the coded ends, some off them."""
     arcs = part_arcs(spark, sf)
     pick = lambda shifts, modulo, place: F.get(F.array(*[F.lit(float(s[place])) if s else F.lit(None).cast("double") for s in shifts]), (F.col("key") % modulo).cast("int"))
     for name, shifts, coded in (("prev", STARTS, "from_deg"), ("next", ENDS, "to_deg")):
@@ -74,7 +75,13 @@ def _(spark, sf):
         arcs = arcs.withColumns({"_a": F.col(coded) + pick(shifts, n, 0), "_r": F.col("radius_nm") * (1 + pick(shifts, n, 1))})
         arcs = destination_table(arcs, azimuth="_a", distance="_r").withColumnsRenamed({"dest_lon": f"{name}_lon", "dest_lat": f"{name}_lat"}).drop("_a", "_r")
         arcs = arcs.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in (f"{name}_lon", f"{name}_lat")})
-    fit = B.fit_arcs(arcs, ["key"])
+    return arcs
+
+
+@FAMILY.add("fun_03_fit_arc", f"""{FIT_SQL} SELECT key AS p_partkey, CASE WHEN s THEN 'through' WHEN sf = 'through' THEN 'off' ELSE sf END AS start_fit, CASE WHEN e THEN 'through' WHEN ef = 'through' THEN 'off' ELSE ef END AS end_fit, round(sg, 5) AS start_gap_nm, round(eg, 5) AS end_gap_nm,
+  round(CASE WHEN s THEN sz ELSE b1 END, 5) % 360 AS fit_from, round(CASE WHEN e THEN ez ELSE b2 END, 5) % 360 AS fit_to, round(CASE WHEN s THEN sd ELSE r END, 5) AS fit_radius, round(CASE WHEN e THEN ed ELSE r END, 5) AS fit_end_radius FROM q""")
+def _(spark, sf):
+    fit = B.fit_arcs(published_arcs(spark, sf), ["key"])
     r = lambda c: F.round(c, 5).alias(c)
     return fit.select(F.col("key").alias("p_partkey"), "start_fit", "end_fit", r("start_gap_nm"), r("end_gap_nm"), *[(F.round(c, 5) % 360).alias(c) for c in ("fit_from", "fit_to")], r("fit_radius"), r("fit_end_radius"))
 
@@ -85,9 +92,9 @@ MERC = "ln(tan(pi() / 4 + radians(greatest(-89.9, least(89.9, {0}))) / 2))"
 @FAMILY.add("fun_03_densify", f"""WITH {LEGS_SQL.split(', obs AS')[0]}, {inverse('i', 'legs', 'lon1', 'lat1', 'lon2', 'lat2', 'nm', 'az')}, {direct('m', 'i', 'lon1', 'lat1', 'az', 'nm / 2', 'mx', 'my')},
 o AS (SELECT *, (lon1 + lon2) / 2 AS cx, greatest({sql_distance('mx', 'my', '((lon1 + lon2) / 2)', '((lat1 + lat2) / 2)')}, {sql_distance('mx', 'my', '((lon1 + lon2) / 2)', f"(degrees(2 * atan(exp(({MERC.format('lat1')} + {MERC.format('lat2')}) / 2))) - 90)")}) AS off FROM m WHERE nm >= 1),
 n AS (SELECT *, CAST(least(512, ceil(sqrt(off / 0.005))) AS INTEGER) AS n FROM o WHERE off > 0.005), v AS (SELECT path, seq, lon1, lat1, az, nm, n, unnest(generate_series(1, n - 1)) AS k FROM n WHERE n > 1),
-{direct('p', 'v', 'lon1', 'lat1', 'az', 'nm * k / n', 'x', 'y')} SELECT path, seq, k::int AS k, round(x, 6) AS lon, round(y, 6) AS lat FROM p""")
+{direct('p', 'v', 'lon1', 'lat1', 'az', 'nm * k / n', 'x', 'y')} SELECT path, seq, k::int AS k, round(x, 5) AS lon, round(y, 5) AS lat FROM p""")
 def _(spark, sf):
-    return B.densify(order_legs(spark, sf), ["path", "seq"]).select("path", "seq", "k", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+    return B.densify(order_legs(spark, sf), ["path", "seq"]).select("path", "seq", "k", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"))
 
 
 # a border per nation: every third one is closed, several cross the antimeridian

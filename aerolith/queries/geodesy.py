@@ -46,7 +46,7 @@ def direct(name: str, source: str, lon: str, lat: str, azimuth: str, nm: str, x:
     return _layers(name, source, layers)
 
 
-def inverse(name: str, source: str, lon1: str, lat1: str, lon2: str, lat2: str, nm: str, azimuth: str, steps: int = 8) -> str:
+def inverse(name: str, source: str, lon1: str, lat1: str, lon2: str, lat2: str, nm: str, azimuth: str, steps: int = 14) -> str:
     """A CTE ``name``: the rows of ``source`` with the distance and the first bearing between two places."""
     p = f"{name}_"
     layers = [
