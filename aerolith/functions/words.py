@@ -18,6 +18,11 @@ def lookup(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*[x if isinstance(x, Column) else F.lit(x) for pair in table.items() for x in pair]), key)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text) -> Column:
     """Upper-case words of a text; a number and its unit are two words, marks around words are dropped."""
     t = F.regexp_replace(F.upper(F.coalesce(col(text), F.lit(""))), r"(?<=\d),(?=\d)", ".")
