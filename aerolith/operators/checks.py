@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.coords import format_dms
 from ..functions.geo import col
 from ..functions.ident import crc32q, natural_sort_key
-from ..functions.words import lookup, says, words
+from ..functions.words import let, lookup, says, words
 from .ordered import top_k_per_key
 
 # ---------------------------------------------------------------- rules
@@ -134,48 +134,59 @@ TYPE_KIND = {
     "STADIUM": "stadium", "TANK": "tank", "TETHERED_BALLOON": "balloon", "TOWER": "tower", "TRAMWAY": "pylon", "TRANSMISSION_LINE": "pylon", "TREE": "tree", "URBAN": "building",
     "VEGETATION": "tree", "WALL": "wall", "WATER_SYSTEM": "utility", "WATER_TOWER": "watertower", "WINDMILL": "windmill", "WINDMILL_FARMS": "windmill",
 }
-# Words and phrases of plain text by kind; a caller with another vocabulary hands in its own.
-KIND_PHRASES = {
-    "als": "APPROACH LIGHT, APPROACH LIGHTING, PAPI, VASIS, LIGHT BAR", "antenna": "ANTENNA, AERIAL, MAST, TELECOM, NAVAID, DME, NDB, ANEMOMETER", "balloon": "BALLOON, AEROSTAT, KITE",
-    "bridge": "BRIDGE, FLYOVER, VIADUCT, OVERPASS", "building": "BUILDING, BLDG, TERMINAL, HOTEL, HOUSE, HOSPITAL, SCHOOL, WAREHOUSE, OFFICE", "cooling": "COOLING TOWER",
-    "crane": "CRANE, TOWER CRANE, HOIST", "ctower": "CONTROL TOWER, ATC TOWER, ATC TWR, ATC", "dome": "DOME, RADOME, MOSQUE, OBSERVATORY", "gp": "GLIDE PATH, GLIDEPATH, GLIDE SLOPE, GP, GP ANTENNA",
-    "hangar": "HANGAR", "lamp": "LAMP, LIGHT POLE, LAMP POST, FLOODLIGHT, STREET LIGHT, LIGHT MAST, HIGH MAST", "lighthouse": "LIGHTHOUSE, LIGHT HOUSE",
-    "loc": "LOCALIZER, LOCALISER, LLZ, LLZ ANTENNA, LOCALIZER ANTENNA", "monument": "MONUMENT, STATUE, OBELISK, MEMORIAL, CLOCK TOWER", "peak": "HILL, PEAK, MOUNTAIN, TERRAIN, HIGHPOINT, RIDGE, DUNE",
-    "pole": "POLE, FLAG, FLAGPOLE, UTILITY POLE", "pylon": "PYLON, POWER LINE, POWERLINE, TRANSMISSION LINE, TRANSMISSION TOWER, CABLE, CATENARY, WIRE", "radar": "RADAR, RADAR TOWER, RADAR ANTENNA, SSR, PSR, SMR",
-    "rig": "RIG, DERRICK, PLATFORM", "sign": "SIGN, BILLBOARD, HOARDING, SIGNBOARD", "spire": "SPIRE, MINARET, STEEPLE, BELL TOWER, CHURCH TOWER", "stack": "STACK, CHIMNEY, FLARE, FLARE STACK",
-    "stadium": "STADIUM, ARENA, GRANDSTAND", "tank": "TANK, SILO, STORAGE TANK, RESERVOIR, GASHOLDER", "tower": "TOWER, TWR, RADIO TOWER, TELECOM TOWER, LATTICE TOWER", "tree": "TREE, PALM, FOREST, VEGETATION, HEDGE, BUSH",
-    "utility": "REFINERY, FACTORY, PLANT, POWER PLANT, POWER STATION, SUBSTATION", "vor": "VOR, DVOR, VORTAC", "wall": "WALL, FENCE, GATE, DAM, EMBANKMENT, BLAST FENCE",
-    "watertower": "WATER TOWER, ELEVATED TANK", "windmill": "WINDMILL, WIND TURBINE, WIND FARM, WTG", "windsock": "WINDSOCK, WIND SOCK, WIND CONE, WDI",
+# What plain words call a structure: nouns by kind, and for some nouns what a word before them makes of it. A caller with
+# another vocabulary hands in its own tables.
+NOUNS = {
+    "als": "PAPI VASIS", "antenna": "AERIAL ANTENNA DME MAST NAVAID NDB", "balloon": "AEROSTAT BALLOON KITE", "bridge": "AQUEDUCT BRIDGE FLYOVER VIADUCT", "building": "BLDG BUILDING HOSPITAL HOTEL HOUSE OFFICE SCHOOL TERMINAL",
+    "crane": "CRANE", "ctower": "ATC", "dome": "DOME MOSQUE RADOME", "gp": "GLIDEPATH GP", "hangar": "HANGAR", "lamp": "FLOODLIGHT LAMP LAMPPOST STREETLIGHT", "lighthouse": "LIGHTHOUSE", "loc": "LLZ LOCALISER LOCALIZER",
+    "monument": "MONUMENT OBELISK STATUE", "peak": "HILL MOUNTAIN PEAK RIDGE", "pole": "FLAG FLAGPOLE POLE POST", "pylon": "CABLE PYLON WIRE", "radar": "RADAR SSR", "rig": "DERRICK PLATFORM RIG", "sign": "BILLBOARD SIGN",
+    "spire": "MINARET SPIRE STEEPLE", "stack": "CHIMNEY FLARE STACK", "stadium": "ARENA STADIUM", "tank": "GASOMETER SILO TANK", "tower": "TOWER TWR", "tree": "FOREST PALM TREE WOOD", "utility": "FACTORY REFINERY SUBSTATION",
+    "vor": "DVOR VOR", "wall": "DAM FENCE GATE WALL", "windmill": "WINDMILL WTG", "windsock": "WINDSOCK",
 }
-# The kinds a name may put in place of a general one.
-REFINED_BY = {
-    "antenna": ("gp", "lamp", "loc", "radar", "vor", "windsock"), "building": ("ctower", "dome", "hangar", "stadium", "utility"), "pole": ("als", "lamp", "sign", "windsock"),
-    "tower": ("cooling", "ctower", "gp", "lamp", "lighthouse", "monument", "pylon", "radar", "watertower"),
+# noun -> kind -> the words right before it that make it that kind
+QUALIFIED = {
+    "TOWER": {"cooling": "COOLING", "ctower": "ATC CONTROL", "monument": "CLOCK", "pylon": "ELECTRICITY TRANSMISSION", "radar": "RADAR", "spire": "BELL CHURCH", "tower": "LATTICE RADIO", "watertower": "WATER"},
+    "TWR": {"ctower": "ATC CONTROL"}, "LINE": {"pylon": "OVERHEAD POWER TRANSMISSION"}, "LIGHT": {"als": "APPROACH", "lamp": "STREET"}, "LIGHTING": {"als": "APPROACH"}, "MAST": {"lamp": "LIGHT"},
+    "POLE": {"lamp": "LIGHT"}, "POST": {"lamp": "LAMP"}, "PATH": {"gp": "GLIDE"}, "SLOPE": {"gp": "GLIDE"}, "ANTENNA": {"gp": "GP", "loc": "LLZ LOCALIZER", "radar": "RADAR"}, "TANK": {"tank": "FUEL STORAGE", "watertower": "ELEVATED"},
+    "PLANT": {"utility": "POWER"}, "STATION": {"utility": "POWER PUMPING"}, "TURBINE": {"windmill": "WIND"}, "FARM": {"windmill": "WIND"}, "CONE": {"windsock": "WIND"}, "SOCK": {"windsock": "WIND"}, "CRANE": {"crane": "TOWER"},
 }
+# What a kind is built as: a name of that kind says more of a structure coded as one of these.
+BUILT_AS = {
+    "als": "pole", "cooling": "tower", "ctower": "building tower", "dome": "building", "gp": "antenna tower", "hangar": "building", "lamp": "antenna pole tower", "lighthouse": "tower", "loc": "antenna", "monument": "tower",
+    "pylon": "tower", "radar": "antenna tower", "sign": "pole", "stadium": "building", "utility": "building", "vor": "antenna", "watertower": "tower", "windsock": "antenna pole",
+}
+
+
+def kind_in_text(text, nouns: dict[str, str] | None = None, qualified: dict[str, dict[str, str]] | None = None) -> Column:
+    """Kind that the words of a text name: by the first noun with a word before it that tells, else by the first noun; null when none.
+
+    Words are compared in the singular.
+    """
+    one = {n: kind for kind, named in (nouns or NOUNS).items() for n in named.split()}
+    two = {f"{before} {noun}": kind for noun, kinds in (qualified or QUALIFIED).items() for kind, named in kinds.items() for before in named.split()}
+    plain = F.split(F.trim(F.regexp_replace(F.upper(F.coalesce(col(text), F.lit(""))), r"[^A-Z0-9]+", " ")), " ")
 
+    def told(w: Column) -> Column:
+        # a word that is no noun itself may be one without its plural ending
+        known = F.array(*[F.lit(x) for x in sorted({*one, *qualified_nouns})])
+        w = F.transform(w, lambda x: F.when(F.array_contains(known, x), x).otherwise(F.regexp_replace(x, "S$", "")))
+        return let(w, lambda s: F.get(F.array_compact(F.concat(F.transform(s, lambda x, i: lookup(two, F.concat_ws(" ", F.get(s, i - 1), x))), F.transform(s, lambda x: lookup(one, x)))), F.lit(0)))
 
-def kind_in_text(text, phrases: dict[str, str] | None = None) -> Column:
-    """Kind of the longest phrase of a text, of equally long ones the first; null when none is known."""
-    table = {p: k for k, listed in (phrases or KIND_PHRASES).items() for p in listed.split(", ")}
-    w = F.filter(F.split(F.regexp_replace(F.upper(F.coalesce(col(text), F.lit(""))), r"[^A-Z0-9]+", " "), " "), lambda x: x != "")
-    w = F.transform(w, lambda x: F.when(F.length(x) > 4, F.regexp_replace(x, "(?<!S)S$", "")).otherwise(x))
-    table |= {" ".join(x[:-1] if len(x) > 4 and x.endswith("S") and not x.endswith("SS") else x for x in p.split()): k for p, k in table.items()}
-    longest = max(len(p.split()) for p in table)
-    places = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)))
-    runs = lambda n: F.transform(places, lambda i: F.when(i + (n - 1) <= F.size(w), lookup(table, F.array_join(F.slice(w, i, n), " "))))
-    return F.get(F.array_compact(F.concat(*[runs(n) for n in range(longest, 0, -1)])), F.lit(0))
+    qualified_nouns = {word for pair in two for word in pair.split()}
+    return let(plain, told)
 
 
-def obstacle_kind(type_, name, phrases: dict[str, str] | None = None) -> Column:
-    """Kind by the coded type, else by the words of the type; the name decides where neither does and refines a general kind.
+def obstacle_kind(type_, name, nouns: dict[str, str] | None = None, qualified: dict[str, dict[str, str]] | None = None) -> Column:
+    """Kind by the coded type, else by the words of the type. The name decides where neither does, and where its kind is
+    built as what the type says.
 
     Null or empty type and name give 'other'.
     """
     code = F.regexp_replace(F.upper(F.trim(F.coalesce(col(type_), F.lit("")))), "^OTHER:", "")
-    by_type = F.coalesce(lookup(TYPE_KIND, F.regexp_replace(code, r"[^A-Z0-9]+", "_")), kind_in_text(code, phrases), F.lit("other"))
-    by_name = kind_in_text(name, phrases)
-    finer = F.array_contains(lookup({k: F.array(*[F.lit(x) for x in v]) for k, v in REFINED_BY.items()}, by_type), by_name)
-    return F.when(by_type == "other", F.coalesce(by_name, F.lit("other"))).when(finer, by_name).otherwise(by_type)
+    by_type = F.coalesce(lookup(TYPE_KIND, F.regexp_replace(code, r"[^A-Z0-9]+", "_")), kind_in_text(code, nouns, qualified), F.lit("other"))
+    by_name = kind_in_text(name, nouns, qualified)
+    says_more = F.array_contains(F.split(lookup(BUILT_AS, by_name), " "), by_type)
+    return F.when(by_type == "other", F.coalesce(by_name, F.lit("other"))).when(says_more, by_name).otherwise(by_type)
 
 
 # Accuracy required by obstacle area (first character), horizontal / vertical in metres.

@@ -147,22 +147,19 @@ def _(spark, sf):
     return b.select("p_brand", F.row_number().over(Window.orderBy(ident.natural_sort_key("p_brand"))).cast("long").alias("place"))
 
 
-# (type, name, kind expected): every kind by type, by words or by a name that refines a general type
-_KINDS = [
-    ("BUILDING", "BUILDING CRANE", "building"), ("TOWER", "WATER TOWER", "watertower"), ("TOWER", "TELECOM", "tower"), ("POLE", "street lights", "lamp"), ("POLE", "WINDSOCK", "windsock"), ("POLE", "PAPI", "als"),
-    ("ANTENNA", "DVOR", "vor"), ("ANTENNA", "LLZ 09", "loc"), ("ANTENNA", "GP", "gp"), ("ANTENNA", "SSR", "radar"), ("BUILDING", "HANGAR 3", "hangar"), ("BUILDING", "ATC TWR", "ctower"), ("BUILDING", "ARENA", "stadium"),
-    ("COOLING_TOWER", None, "cooling"), ("TRANSMISSION_LINE", "", "pylon"), ("WINDMILL_FARMS", "", "windmill"), ("CRANE", "", "crane"), ("NATURAL_HIGHPOINT", "", "peak"), ("STACK", "", "stack"), ("RIG", "", "rig"),
-    ("LIGHTHOUSE", "", "lighthouse"), ("SPIRE", "", "spire"), ("DOME", "", "dome"), ("REFINERY", "", "utility"), ("GRAIN_ELEVATOR", "", "tank"), ("ARCH", "", "bridge"), ("TETHERED_BALLOON", "", "balloon"),
-    ("SIGN", "TREE", "sign"), ("MONUMENT", "", "monument"), ("GATE", "", "wall"), ("OTHER:PALM TREES", "", "tree"), ("OTHER", "OFFICE", "building"), (None, "FLAG", "pole"), (None, "MAST ON HOTEL", "antenna"), (None, None, "other"),
-]
-_TEXT = lambda x: "NULL" if x is None else f"'{x}'"
-
-
-@FAMILY.add("prj_14_obstacle_kind", f"SELECT p_partkey, list_extract([{', '.join(_TEXT(k) for _, _, k in _KINDS)}], p_partkey % {len(_KINDS)} + 1) AS kind FROM part")
+# coded types and words behind the part's own name; which kind comes of them is the SQL's own reading of the text
+_TYPES = ["TOWER", "POLE", "BUILDING", "OTHER:CHIMNEYS", "ANTENNA", "", "WATER_TOWER", "OTHER"]
+_WORDS = ["radar tower", "light pole", "hangar", "crane", "", "wind turbines", "ATC twr"]
+
+
+@FAMILY.add("prj_14_obstacle_kind", f"""WITH p AS (SELECT p_partkey, {_TYPES}[p_size % 8 + 1] AS t, upper(p_name || ' ' || {_WORDS}[p_partkey % 7 + 1]) AS n FROM part),
+k AS (SELECT *, CASE WHEN n LIKE '%RADAR TOWER%' THEN 'radar' WHEN n LIKE '%LIGHT POLE%' THEN 'lamp' WHEN n LIKE '%WIND TURBINES%' THEN 'windmill' WHEN n LIKE '%ATC TWR%' THEN 'ctower' WHEN n LIKE '%HANGAR%' THEN 'hangar' WHEN n LIKE '%CRANE%' THEN 'crane' END AS named FROM p)
+SELECT p_partkey, CASE WHEN t IN ('', 'OTHER') THEN coalesce(named, 'other') WHEN t = 'OTHER:CHIMNEYS' THEN 'stack' WHEN t = 'WATER_TOWER' THEN 'watertower'
+  WHEN t = 'TOWER' AND named IN ('radar', 'lamp', 'ctower') OR t = 'POLE' AND named = 'lamp' OR t = 'BUILDING' AND named IN ('hangar', 'ctower') OR t = 'ANTENNA' AND named IN ('radar', 'lamp') THEN named ELSE lower(t) END AS kind FROM k""")
 def _(spark, sf):
-    at = (F.col("p_partkey") % len(_KINDS)).cast("int")
-    pick = lambda i: F.get(F.array(*[F.lit(c[i]).cast("string") for c in _KINDS]), at)
-    return table(spark, sf, "part").select("p_partkey", pick(0).alias("type"), pick(1).alias("name")).select("p_partkey", K.obstacle_kind("type", "name").alias("kind"))
+    pick = lambda texts, at: F.get(F.array(*[F.lit(x) for x in texts]), at.cast("int"))
+    p = table(spark, sf, "part").select("p_partkey", pick(_TYPES, F.col("p_size") % 8).alias("type"), F.concat_ws(" ", "p_name", pick(_WORDS, F.col("p_partkey") % 7)).alias("name"))
+    return p.select("p_partkey", K.obstacle_kind("type", "name").alias("kind"))
 
 
 @FAMILY.add("prj_09_search", """SELECT p_partkey, p_name FROM (SELECT *, CASE WHEN starts_with(lower(p_name), 'blue') THEN 0 ELSE 2 END + CASE WHEN p_size > 25 THEN 0 ELSE 1 END AS score FROM part

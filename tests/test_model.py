@@ -46,3 +46,18 @@ def test_item_letters_inside_a_text(spark):
     df = spark.createDataFrame([("(A0001/26 NOTAMN\nQ) EAAD/QXXXX/IV/M/A/000/999/5522N02515E005\nA) EADD B) 2610010600 C) PERM\nE) SEE CHART A) AND B) OF PAGE 2\nG) FL100)",), ("",), (None,)], "text string")
     rows = N.notam_fields(N.split_notams(df)).collect()
     assert len(rows) == 1 and rows[0].text == "SEE CHART A) AND B) OF PAGE 2" and rows[0].upper_m == 3048.0
+
+
+def test_kinds_by_type_and_name(spark):
+    from aerolith.operators.checks import kind_in_text, obstacle_kind
+
+    cases = [
+        ("BUILDING", "BUILDING CRANE", "building"), ("TOWER", "WATER TOWER", "watertower"), ("TOWER", "radio towers", "tower"), ("POLE", "street lights", "lamp"), ("POLE", "WINDSOCK", "windsock"), ("POLE", "PAPI", "als"), ("ANTENNA", "DVOR", "vor"),
+        ("ANTENNA", "LLZ 09", "loc"), ("ANTENNA", "GP", "gp"), ("ANTENNA", "SSR", "radar"), ("BUILDING", "HANGAR 3", "hangar"), ("BUILDING", "ATC TWR", "ctower"), ("BUILDING", "ARENA", "stadium"), ("COOLING_TOWER", None, "cooling"),
+        ("TRANSMISSION_LINE", "", "pylon"), ("WINDMILL_FARMS", "", "windmill"), ("NATURAL_HIGHPOINT", "", "peak"), ("SIGN", "TREE", "sign"), ("GATE", "", "wall"), ("OTHER:PALM TREES", "", "tree"), ("OTHER", "OFFICE", "building"),
+        (None, "FLAG", "pole"), (None, "MAST ON HOTEL", "antenna"), (None, None, "other"), ("", "overhead lines", "pylon"), ("power plant", "", "utility"), ("OTHER", "STREET RIGHT ASPIRE", "other"), (None, "MOSQUE", "dome"),
+    ]
+    rows = spark.createDataFrame(cases, "t string, n string, k string").select("t", "n", "k", obstacle_kind("t", "n").alias("got")).collect()
+    assert [(r.t, r.n, r.got) for r in rows] == cases
+    own = spark.createDataFrame([("a big grue",), ("gruel",)], "n string").select(kind_in_text("n", {"monster": "GRUE"}, {}).alias("k")).collect()
+    assert [r.k for r in own] == ["monster", None]
