@@ -114,13 +114,13 @@ def keep_near(points: DataFrame, sites: DataFrame, nm: float, key: str, lon: str
 
 # ---------------------------------------------------------------- paths
 
-def path_segments(vertices: DataFrame, keys: Sequence[str], seq: str = "seq", lon: str = "lon", lat: str = "lat", block: int = 1000) -> DataFrame:
-    """Consecutive vertices of each path as segments: keys, seq (of the start), lon1, lat1, lon2, lat2."""
+def path_segments(vertices: DataFrame, keys: Sequence[str], seq: str = "seq", lon: str = "lon", lat: str = "lat", block: int = 1000, carry: Sequence[str] = ()) -> DataFrame:
+    """Consecutive vertices of each path as segments: keys, seq (of the start), lon1, lat1, lon2, lat2 and ``carry`` of the start."""
     from .ordered import OrderedScan
 
     scan = OrderedScan(keys, [F.col(seq)], F.floor(F.col(seq) / block))
-    paired = scan.compute(vertices.select(*keys, seq, lon, lat), following={"lon2": F.col(lon), "lat2": F.col(lat)})
-    return paired.filter(F.col("lon2").isNotNull()).select(*keys, seq, F.col(lon).alias("lon1"), F.col(lat).alias("lat1"), "lon2", "lat2")
+    paired = scan.compute(vertices.select(*keys, seq, lon, lat, *carry), following={"lon2": F.col(lon), "lat2": F.col(lat)})
+    return paired.filter(F.col("lon2").isNotNull()).select(*keys, seq, F.col(lon).alias("lon1"), F.col(lat).alias("lat1"), "lon2", "lat2", *carry)
 
 
 def _cover_segment(segments: DataFrame, height: float, nm: float) -> DataFrame:
@@ -156,15 +156,18 @@ def near_path(points: DataFrame, segments: DataFrame, nm: float, segment_columns
     Long segments want larger cells, dense points smaller ones; the default cell is four times the distance.
     """
     h = cell_height(max(nm, cell_nm or 4 * nm))
-    right = _cover_segment(segments, h, nm).select(
+    # a few segments become many rows below: they are dealt out before that, not in the few tasks their own size asks for
+    dealt = segments.repartition(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lon1", "lat1", "lon2", "lat2")
+    right = _cover_segment(dealt, h, nm).select(
         "_row", "_colno", *[F.col(c).alias(f"_{c}") for c in ("lon1", "lat1", "lon2", "lat2")], *segment_columns
     )
-    k = F.cos(F.radians(F.col(lat)))
-    p = settle(
-        with_cell(points, h, lon, lat).join(right, ["_row", "_colno"]),
-        _k=k, _ax=wrap180(F.col("_lon1") - F.col(lon)) * k, _ay=F.col("_lat1") - F.col(lat),
-        _dx=wrap180(F.col("_lon2") - F.col("_lon1")) * k, _dy=F.col("_lat2") - F.col("_lat1"),
-    )
+    left = settle(with_cell(points, h, lon, lat), _k=F.cos(F.radians(F.col(lat))))
+    ax, ay = wrap180(F.col("_lon1") - F.col(lon)) * F.col("_k"), F.col("_lat1") - F.col(lat)
+    dx, dy = wrap180(F.col("_lon2") - F.col("_lon1")) * F.col("_k"), F.col("_lat2") - F.col("_lat1")
+    # off the whole line by more than the distance: most rows of a cell go here, before anything is divided
+    aside = ax * dy - ay * dx
+    beside = aside * aside <= (dx * dx + dy * dy) * (nm / 60.0) ** 2 * (1 + 1e-9) + 1e-18
+    p = settle(left.join(right, ["_row", "_colno"]).where(beside), _ax=ax, _ay=ay, _dx=dx, _dy=dy)
     ax, ay, dx, dy = (F.col(c) for c in ("_ax", "_ay", "_dx", "_dy"))
     l2 = dx * dx + dy * dy
     p = settle(p, _t=F.when(l2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / l2))).otherwise(F.lit(0.0)))

@@ -214,9 +214,8 @@ hits AS (SELECT p_partkey, path, seq, elev_m, alt_m, sqrt(power(ax + t * dx, 2)
 
 def order_legs(spark, sf):
     lon, lat = position("o_orderkey", 0, 20)
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("seq"), lon.alias("lon"), lat.alias("lat"))
-    alt = table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_totalprice") / 100).alias("alt_m"))
-    return S.path_segments(o, ["path"], block=5000).join(alt, "seq").withColumn("moc_m", F.lit(150.0))
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("seq"), lon.alias("lon"), lat.alias("lat"), (F.col("o_totalprice") / 100).alias("alt_m"))
+    return S.path_segments(o, ["path"], block=5000, carry=["alt_m"]).withColumn("moc_m", F.lit(150.0))
 
 
 def part_points(spark, sf):
