@@ -2,13 +2,15 @@
 
 1. Base spans follow fixed forms (address, dotted number, card with check digit, international phone). They always stay.
 2. Generators of high recall propose overlapping candidates: anything around an at sign, any run of digits with
-   separators. Each gets small whole-number features of format and context. Its label for training is whether it meets
-   a base span or bears evidence of its own (`evident`): a word such as `tel` or `passport` right before it, or the check
-   digit of a card in groups. So forms that the base rules do not know count as personal data where texts name them.
+   separators, any long run of letters and digits. Each gets small whole-number features of format and context. Its label
+   for training is whether it meets a base span or bears evidence of its own (`evident`): a word such as `tel` or
+   `passport` right before it, the check digit of a card in groups, or, for a key, letters and digits in frequent change
+   inside quotes or behind a sign of assignment. So forms that the base rules do not know count as personal data where
+   texts show them as such.
 3. The features are levels, so the training set is the table of counts per (features, label, half): Spark sums it over
    all documents and at most LEVELS rows, the product of the levels, can ever reach the driver. True candidates count
-   once more with what decided their label masked (`masked`: the plus sign, the word before), so the same form without it
-   can be told from other numbers by the rest. Trees of depth two are boosted on these counts (logistic loss), and the
+   once more with what decided their label masked (`masked`: the plus sign, the word before, what surrounds a key), so the
+   same form without it can be told from others by the rest. Trees of depth two are boosted on these counts (logistic loss), and the
    threshold is calibrated on the other half of the texts: the lowest score above which the share of true ones is PRECISION.
 4. The trees become one column expression; candidates at or above the threshold that touch no base span are added.
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from aerolith.llm.base import let, row_key
 from aerolith.session import cut_lineage
 
-KINDS = ["email", "ip", "card", "phone", "number"]  # the last is only added by the trees
+KINDS = ["email", "ip", "card", "phone", "number", "key"]  # the last two are only added by the trees
 ROUNDS, RATE, PRECISION = 20, 0.5, 0.99
 
 _SPAN = "array<struct<start: int, end: int, text: string, before: string, after: string>>"
@@ -121,6 +123,16 @@ def _address(c: Column) -> Column:
     return F.contains(c["text"], F.lit("@"))
 
 
+def _key(c: Column) -> Column:
+    return ~_address(c) & c["text"].rlike("[A-Za-z]")
+
+
+def _random(c: Column) -> Column:
+    """Letters and digits that change often, as in keys and tokens, and hardly in words."""
+    groups = F.size(F.split(c["text"], "[^0-9]+"))
+    return (F.length(c["text"]) >= 20) & (F.length(_digits(c["text"])) >= 5) & (F.length(F.regexp_replace(c["text"], "[^A-Za-z]+", "")) >= 5) & (groups >= 6)
+
+
 def _plain(c: Column) -> Column:
     """A date, alone or with more digits behind it, or a decimal fraction: never personal data by itself."""
     date = c["text"].rlike(r"^(?:[12][0-9]{3}[.-][01]?[0-9][.-][0-3]?[0-9]|[0-3]?[0-9][.-][0-3]?[0-9][.-][12][0-9]{3})(?![0-9])")
@@ -134,12 +146,13 @@ def evident(c: Column) -> Column:
     number = _named(c) & digits.between(7, 15) & ~_plain(c)
     card = digits.between(13, 19) & luhn(_digits(c["text"])) & c["text"].rlike(r"^[0-9]{4}[\x20.-][0-9]{4,6}[\x20.-][0-9]{4,5}(?:[\x20.-][0-9]{1,7})?$")
     address = _named(c) & c["text"].rlike(rf"^[{_LABEL}._%+]+@[{_LABEL}.]+$")
-    return F.when(_address(c), address).otherwise(apart & (number | card))
+    given = c["before"].rlike("[=:\"'`]\\s*$") | c["after"].rlike("^[\"'`]")
+    return F.when(_address(c), address).when(_key(c), given & _random(c)).otherwise(apart & (number | card))
 
 
 # name -> (number of levels, level of a candidate)
 FEATURES: dict[str, tuple[int, Callable[[Column], Column]]] = {
-    "shape": (2, lambda c: F.contains(c["text"], F.lit("@")).cast("int")),
+    "shape": (3, lambda c: F.when(_address(c), 1).when(_key(c), 2).otherwise(0)),
     "digits": (7, lambda c: _level(F.length(_digits(c["text"])), 7, 9, 12, 13, 16, 17)),
     "groups": (5, lambda c: _level(F.size(F.split(c["text"], "[^0-9]+")), 2, 3, 4, 5)),
     "separator": (4, lambda c: F.when(c["text"].rlike(r"[()]"), 3).when(c["text"].rlike(r"[0-9]\.[0-9]"), 2).when(c["text"].rlike(r"[\x20-]"), 1).otherwise(0)),
@@ -152,6 +165,10 @@ FEATURES: dict[str, tuple[int, Callable[[Column], Column]]] = {
 LEVELS = 4 * math.prod(n for n, _ in FEATURES.values())
 
 
+# A run of twenty letters, digits and joining signs with a letter and a digit among its first twenty.
+_MIXED = r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z0-9_/+-]{0,19}[0-9])(?=[A-Za-z0-9_/+-]{0,19}[A-Za-z])[A-Za-z0-9_/+-]{20,}+"
+
+
 def proposed(text: Column) -> Column:
     """Candidates of high recall; they may overlap each other and the base spans."""
     at = r"(?:\G|(?<![^\s@,;<>\"]))[^\s@,;<>\"]++@[^\s@,;<>\"]++"
@@ -160,6 +177,7 @@ def proposed(text: Column) -> Column:
     return F.concat(
         _when(F.contains(text, F.lit("@")), spans(text, at)),
         _when(text.rlike(r"[0-9][\x20().-]?[0-9]"), F.filter(spans(text, run), lambda s: F.length(_digits(s["text"])) >= 7)),
+        _when(text.rlike(_MIXED), spans(text, _MIXED)),
     )
 
 
@@ -197,8 +215,12 @@ def counts(rows: DataFrame) -> list[tuple[tuple[int, ...], int, int, int]]:
 
 def masked(table: list[tuple[tuple[int, ...], int, int, int]]) -> list[tuple[tuple[int, ...], int, int, int]]:
     """The counts, and those of true candidates again without a plus sign and a word before where they have any."""
-    hidden = [k for k, n in enumerate(FEATURES) if n in ("plus", "cue")]
+    place = {n: k for k, n in enumerate(FEATURES)}
+    hidden = [place["plus"], place["cue"]]
     bare = [(tuple(0 if k in hidden else x for k, x in enumerate(features)), label, half, n) for features, label, half, n in table if label and any(features[k] for k in hidden)]
+    # a key between blanks instead of quotes
+    around = [place["before"], place["after"]]
+    bare += [(tuple(1 if k in around else x for k, x in enumerate(features)), label, half, n) for features, label, half, n in table if label and features[place["shape"]] == 2]
     return [*table, *bare]
 
 
@@ -285,7 +307,7 @@ def personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     else:
         # a candidate that a base span meets is covered already, a date is none
         chosen = F.filter("cands", lambda c: c["free"] & (_score(c, start, trees) >= F.lit(bound - 1e-6)))
-        extra = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), F.when(c["shape"] == 1, 0).otherwise(4).alias("kind"), c["end"].alias("end")))
+        extra = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), F.when(c["shape"] == 1, 0).when(c["shape"] == 2, 5).otherwise(4).alias("kind"), c["end"].alias("end")))
     return rows.select("doc_id", "base", F.sort_array(F.array_union("base", extra)).alias("spans"), "key")
 
 

@@ -127,3 +127,21 @@ def test_every_repeat_is_found(spark):
         w = texts[r.doc_id].split()
         grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
         assert r.n_repeat_words == len({i + d for i, g in enumerate(grams) if grams.count(g) > 1 for d in range(3)})
+
+
+def test_keys_are_added_without_a_naming_word(spark):
+    """Random letter-digit runs, mostly assigned or quoted, some bare; long words with a number stay."""
+    rng = random.Random(8)
+    run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    planted = []
+    for k in range(80):
+        hexa, base = run("0123456789abcdef", 40), run("ABCDEFGHijklmnop0123456789", 32)
+        planted += [(f'and so x = "{hexa}" there', hexa), (f"thing: {base}\nnext", base), (f"a bare one {run('0123456789abcdef', 40)} stands", None)]
+        planted += [(f"the section-of-{1900 + k}-and-of-other-things is", ""), (f"see Programme{k:03d}Intercontinental of", "")]
+    planted.append((f"a bare one {run('0123456789abcdef', 40)} stands", None))
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(planted)], "doc_id bigint, text string")
+    got = {r.doc_id: {t[s.start : s.end] for s in r.spans} for r in pii.personal_data(df).collect() for t in [planted[r.doc_id][0]]}
+    named = [w in got[k] for k, (_, w) in enumerate(planted) if w]
+    assert sum(named) >= 0.95 * len(named)
+    assert got[len(planted) - 1]
+    assert not any(got[k] for k, (_, w) in enumerate(planted) if w == "")
