@@ -49,6 +49,14 @@ def uuid_for(key) -> Column:
 
 
 def natural_sort_key(text) -> Column:
-    """Sort key in which digit groups compare as numbers (A2 before A10); leading zeros do not count."""
-    padded = F.regexp_replace(F.lower(col(text)), r"(\d+)", "000000000000000000$1")
-    return F.regexp_replace(padded, r"0*(\d{18})(?!\d)", "$1")
+    """Sort key in which digit groups of any length compare as numbers (A2 before A10); leading zeros do not count.
+
+    A group is led by its number of digits, so longer numbers come later.
+    """
+    parts = F.regexp_extract_all(F.lower(col(text)), F.lit(r"(\d+|\D+)"), F.lit(1))
+
+    def one(part: Column) -> Column:
+        digits = F.regexp_replace(part, r"^0+", "")
+        return F.when(part.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)).otherwise(part)
+
+    return F.array_join(F.transform(parts, one), "")

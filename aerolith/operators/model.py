@@ -238,11 +238,11 @@ def timesheet_text(day, day_til, start, end, excluded=None) -> Column:
 
 # ---------------------------------------------------------------- hull
 
-def hull_by_group(points: DataFrame, group: str, salts: int = 64) -> DataFrame:
+def hull_by_group(points: DataFrame, group: str, salts: int = 16) -> DataFrame:
     """Convex hull of the points of each group: group, seq (counter-clockwise from the leftmost), lon, lat.
 
-    Every Arrow batch is reduced to the hulls of its groups before anything is shuffled, then salted parts, then groups:
-    only corners of parts meet, also where one group holds most points. Repeated points count once; fewer than three points, or points on one line, give their ends.
+    Every Arrow batch is reduced to the hulls of its groups before anything is shuffled, then salted parts, then fewer of
+    them, then groups: only corners of parts meet, also where one group holds most points. Repeated points count once; fewer than three points, or points on one line, give their ends.
     Groups of null and points without numbers are left out.
     """
     import numpy as np
@@ -272,6 +272,7 @@ def hull_by_group(points: DataFrame, group: str, salts: int = 64) -> DataFrame:
     kind = points.schema[group].dataType.simpleString()
     p = points.filter(F.col(group).isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(group, F.col("lon").cast("double"), F.col("lat").cast("double"))
     schema = f"`{group}` {kind}, seq int, lon double, lat double"
-    first = p.mapInPandas(batches, schema).withColumn("_salt", F.pmod(F.xxhash64("lon", "lat"), F.lit(salts)))
-    parts = first.groupBy(group, "_salt").applyInPandas(lambda rows: corners(rows), schema)
+    parts = p.mapInPandas(batches, schema)
+    for few in (salts, max(1, salts // 4)):  # corners of ever larger parts meet
+        parts = parts.withColumn("_salt", F.pmod(F.xxhash64("lon", "lat"), F.lit(few))).groupBy(group, "_salt").applyInPandas(lambda rows: corners(rows), schema)
     return parts.groupBy(group).applyInPandas(lambda rows: corners(rows), schema)

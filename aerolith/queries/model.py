@@ -157,10 +157,20 @@ def _(spark, sf):
     return M.notes(a, "surface")
 
 
-@FAMILY.add("fun_19_qcode_text", """SELECT o_orderkey AS key, CASE o_orderkey % 4 WHEN 0 THEN 'obstacle erected' WHEN 1 THEN 'runway closed' WHEN 2 THEN 'restricted area activated' END AS text FROM orders""")
+# every subject with every condition, and letters of the clerks that are in neither table
+_SUBJECTS, _CONDITIONS = list(N.SUBJECT_TEXT), list(N.CONDITION_TEXT)
+_PAIRS = lambda table: ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in table.items())
+
+
+@FAMILY.add("fun_19_qcode_text", f"""WITH s(k, t) AS (VALUES {_PAIRS(N.SUBJECT_TEXT)}), c(k, t) AS (VALUES {_PAIRS(N.CONDITION_TEXT)}),
+o AS (SELECT o_orderkey AS key, o_orderkey % 9 = 0 AS odd, CASE WHEN o_orderkey % 9 = 0 THEN upper(substr(regexp_replace(o_orderpriority, '[^A-Za-z]', '', 'g'), 1, 2)) ELSE {_SUBJECTS}[o_orderkey % {len(_SUBJECTS)} + 1] END AS a, {_CONDITIONS}[o_custkey % {len(_CONDITIONS)} + 1] AS b FROM orders)
+SELECT key, coalesce(s.t, a) || ' ' || coalesce(c.t, b) AS text FROM o LEFT JOIN s ON s.k = a LEFT JOIN c ON c.k = b""")
 def _(spark, sf):
     k = F.col("o_orderkey")
-    return table(spark, sf, "orders").select(k.alias("key"), N.qcode_text(pick_of(("QOBCE", "MRLC", "qrrca", "Q"), k % 4)).alias("text"))
+    letters = F.upper(F.substring(F.regexp_replace("o_orderpriority", "[^A-Za-z]", ""), 1, 2))
+    subject = F.when(k % 9 == 0, letters).otherwise(pick_of(_SUBJECTS, k % len(_SUBJECTS)))
+    code = F.concat(F.when(k % 2 == 0, "Q").otherwise("q"), subject, F.lower(pick_of(_CONDITIONS, F.col("o_custkey") % len(_CONDITIONS))))
+    return table(spark, sf, "orders").select(k.alias("key"), N.qcode_text(code).alias("text"))
 
 
 @FAMILY.add("fun_20_texts", """SELECT p_partkey AS key, CASE p_partkey % 5 WHEN 0 THEN 'FL ' || p_size WHEN 1 THEN p_size || ' ft AMSL' WHEN 2 THEN 'GND' WHEN 3 THEN 'UNL' ELSE '' END AS limit_text,
@@ -176,13 +186,16 @@ def _(spark, sf):
 
 
 # a point is a corner of a box-shaped cloud: the hull's bounds and its area are those of the box
-@FAMILY.add("fun_16_hull_by_group", """SELECT l_suppkey AS g, CAST(4 AS BIGINT) AS n, min(l_suppkey) - 60.0::DOUBLE AS lon0, max(l_suppkey) + 60.0::DOUBLE AS lon1 FROM lineitem GROUP BY 1""")
+@FAMILY.add("fun_16_hull_by_group", """SELECT l_suppkey AS g, min(l_quantity)::DOUBLE AS lon0, max(l_quantity)::DOUBLE AS lon1, min(l_extendedprice / 1000)::DOUBLE AS lat0, max(l_extendedprice / 1000)::DOUBLE AS lat1, 0::BIGINT AS n_outside FROM lineitem GROUP BY 1""")
 def _(spark, sf):
-    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_quantity").cast("double").alias("q"), F.col("l_linenumber").cast("double").alias("y"))
-    corner = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-60.0, 60.0) for y in (-9.0, 9.0)])
-    box = li.select("g").distinct().select("g", F.explode(corner).alias("c")).select("g", (F.col("g") + F.col("c.x")).alias("lon"), F.col("c.y").alias("lat"))
-    cloud = li.select("g", (F.col("g") + F.col("q")).alias("lon"), F.col("y").alias("lat")).unionByName(box)
-    return M.hull_by_group(cloud, "g").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("lon").alias("lon0"), F.max("lon").alias("lon1"))
+    cloud = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_quantity").cast("double").alias("lon"), (F.col("l_extendedprice") / 1000).cast("double").alias("lat"))
+    hull = M.hull_by_group(cloud, "g")
+    box = hull.groupBy("g").agg(F.min("lon").alias("lon0"), F.max("lon").alias("lon1"), F.min("lat").alias("lat0"), F.max("lat").alias("lat1"))
+    # no point lies to the right of an edge
+    edges = P.ring_edges(hull, ["g"]).select("g", "lon1", "lat1", "lon2", "lat2")
+    turn = (F.col("lon2") - F.col("lon1")) * (F.col("lat") - F.col("lat1")) - (F.col("lat2") - F.col("lat1")) * (F.col("lon") - F.col("lon1"))
+    outside = cloud.join(edges, "g").groupBy("g").agg(F.count_if(turn < -1e-6).alias("n_outside"))
+    return box.withColumnsRenamed({"lon1": "_e"}).withColumnRenamed("_e", "lon1").join(outside, "g")
 
 
 @FAMILY.add("prj_18_notam_areas", """SELECT o_orderkey AS key, 'EAR' || o_orderkey % 90 AS desig, CASE WHEN o_orderkey % 3 = 0 THEN 'off' ELSE 'on' END AS activation, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 5 ELSE 73 END AS INTEGER) AS n FROM orders""")

@@ -171,9 +171,9 @@ def _(spark, sf):
 DX, DY = position_sql("l_partkey", 1, 300)
 
 
-@FAMILY.add("agg_20_duplicate_codes", "SELECT c_custkey, substr(c_name, 1, 17) AS code, n FROM customer JOIN (SELECT substr(c_name, 1, 17) AS code, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1) d ON d.code = substr(c_name, 1, 17)")
+@FAMILY.add("agg_20_duplicate_codes", "SELECT c_custkey, c_mktsegment || ' ' || c_nationkey AS code, n FROM customer JOIN (SELECT c_mktsegment AS s, c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1, 2 HAVING count(*) > 1) d ON s = c_mktsegment AND k = c_nationkey")
 def _(spark, sf):
-    c = table(spark, sf, "customer").withColumn("code", F.substring("c_name", 1, 17))
+    c = table(spark, sf, "customer").withColumn("code", F.concat_ws(" ", "c_mktsegment", "c_nationkey"))
     return K.duplicate_codes(c, "c_custkey", "code")
 
 

@@ -148,7 +148,7 @@ def _(spark, sf):
     return R.chain_segments(seg, ["route"], "a", "b", ["seg"]).select("route", "seg", "chain_no", "head")
 
 
-@FAMILY.add("jon_34_harmonize_states", """WITH d AS (SELECT c_custkey AS id, substr(c_name, 1, 16) AS prefix, c_mktsegment AS state,
+@FAMILY.add("jon_34_harmonize_states", """WITH d AS (SELECT c_custkey AS id, CAST(c_custkey // 10 AS VARCHAR) AS prefix, c_mktsegment AS state,
    CASE WHEN c_custkey % 10 = 0 THEN 'strong' WHEN c_custkey % 10 < 4 THEN 'code' ELSE 'weak' END AS strength FROM customer),
 best AS (SELECT w.id, arg_min(s.state, s.id) AS st FROM d w JOIN d s ON s.prefix = w.prefix AND s.id <> w.id AND s.state <> w.state AND s.strength IN ('strong', 'code')
          AND (w.strength = 'weak' OR s.strength = 'strong') WHERE w.strength <> 'strong' GROUP BY 1)
@@ -157,7 +157,7 @@ def _(spark, sf):
     c = table(spark, sf, "customer")
     k = F.col("c_custkey")
     d = c.select(
-        k.alias("dataset_id"), k.alias("dataset_order"), F.substring("c_name", 1, 16).alias("prefix"), F.col("c_mktsegment").alias("state"),
+        k.alias("dataset_id"), k.alias("dataset_order"), F.floor(k / 10).cast("string").alias("prefix"), F.col("c_mktsegment").alias("state"),
         F.when(k % 10 == 0, "strong").when(k % 10 < 4, "code").otherwise("weak").alias("strength"),
     )
     return R.harmonize_states(d).select("dataset_id", "state", "state_detected")

@@ -119,13 +119,14 @@ SELECT feature_id, slice_no, 'Feature withdrawn (end of life)', life_end, 0, fal
 UNION ALL
 SELECT feature_id, slice_no, CASE WHEN false THEN 'New feature' ELSE 'Amended (new baseline)' END, valid_begin, 0, false
 FROM slices WHERE interp = 'BASELINE' AND life_end IS NULL AND feature_id IN (SELECT feature_id FROM slices GROUP BY 1 HAVING count(*) = 1)
+UNION ALL
+SELECT feature_id, slice_no, 'Feature withdrawn (validity ended)', valid_end, 0, false FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY valid_end DESC, nth) AS pick FROM perm WHERE valid_end IS NOT NULL)
+WHERE pick = 1 AND feature_id NOT IN (SELECT feature_id FROM slices WHERE life_end IS NOT NULL)
+  AND feature_id IN (SELECT l.feature_id FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY nth DESC) AS rn FROM perm) l, (SELECT max(valid_begin) AS m FROM slices WHERE interp <> 'TEMPDELTA')
+    WHERE rn = 1 AND l.valid_end <= m AND NOT EXISTS (SELECT 1 FROM slices s WHERE s.feature_id = l.feature_id AND s.interp <> 'TEMPDELTA' AND s.slice_no <> l.slice_no AND s.valid_begin >= l.valid_end AND s.valid_begin <= m))
 """)
 def _(spark, sf):
-    changes = S.in_file_changes(event_slices(spark, sf))
-    # "validity ended" events have their own query
-    return changes.filter(F.col("kind") != "Feature withdrawn (validity ended)").select(
-        "feature_id", "slice_no", "kind", "from", "n_fields", "same"
-    )
+    return S.in_file_changes(event_slices(spark, sf)).select("feature_id", "slice_no", "kind", "from", "n_fields", "same")
 
 
 @FAMILY.add("win_02_withdrawn", f"""WITH {SLICES_SQL},
