@@ -79,6 +79,19 @@ def dest_lon(lon, lat, bearing_deg, distance, radius: float = R_NM) -> Column:
     return wrap180(col(lon) + F.degrees(F.atan2(F.sin(b) * F.sin(d) * F.cos(p), F.cos(d) - F.sin(p) * sin_p2)))
 
 
+def arc_between(centre: Column, start: Column, end: Column, clockwise: Column, step: float = 5.0) -> Column:
+    """Vertices (lon, lat) between two points of an arc round a centre with the radius of the first; the points themselves
+    are not among them."""
+    at = lambda p: (p["lon"], p["lat"])
+    b0, b1 = bearing(*at(centre), *at(start)), bearing(*at(centre), *at(end))
+    swept = F.when(clockwise, fmod360(b1 - b0)).otherwise(-fmod360(b0 - b1))
+    n = F.greatest(F.lit(2), F.ceil(F.abs(swept) / step).cast("int"))
+    r = distance_nm(*at(centre), *at(start))
+    return F.transform(
+        F.sequence(F.lit(1), n - 1), lambda i: F.named_struct(F.lit("lon"), dest_lon(*at(centre), b0 + swept * i / n, r), F.lit("lat"), dest_lat(centre["lat"], b0 + swept * i / n, r))
+    )
+
+
 def cross_track(lon1, lat1, lon2, lat2, lon, lat) -> Column:
     """Signed distance in metres of a point from the great circle 1 -> 2 (right of it positive)."""
     d13 = _central_angle(lon1, lat1, lon, lat)

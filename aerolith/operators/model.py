@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import col
-from ..functions.words import lookup
+from ..functions.geo import arc_between, bearing, col, dest_lat, dest_lon
+from ..functions.words import let, lookup
 from .ordered import top_k_per_key
 from .refs import resolve_refs
 
@@ -123,6 +123,60 @@ def procedure_legs(listed: DataFrame, named: DataFrame) -> DataFrame:
     return listed.select(*cols).withColumn("origin", F.lit("listed")).unionByName(more.select(*cols).withColumn("origin", F.lit("named")))
 
 
+# Nautical miles of a leg that has a course and no length, and the most that is drawn of one; arc legs.
+COURSE_NM, COURSE_MOST_NM, ARC_LEGS = 3.0, 10.0, ("AF", "RF")
+_POINT, _LINE = "struct<lon: double, lat: double>", "array<struct<lon: double, lat: double>>"
+
+
+def procedure_paths(legs: DataFrame, proc: str = "proc_id") -> DataFrame:
+    """The path of each leg of the procedures: proc, seq, leg_id, way (trajectory, arc, line, course), path (points).
+
+    ``legs``: proc, transition, seq, leg_id, leg_type, start, end, centre (points or null), clockwise, course, length_nm,
+    trajectory (points or null), origin (where the procedure begins, or null). A leg begins where the one before it
+    ended unless it names its start; a named transition after another one begins at the origin again. A leg without a path (an initial
+    fix, a leg reduced to its end) still sets where the next one begins. Null turns take the shorter way.
+
+    What a leg ends on decides the next one, so the legs of one procedure, a few dozen by the format, are folded in
+    order; procedures are spread over the tasks.
+    """
+    leg = F.struct("seq", "leg_id", F.coalesce("transition", F.lit("")).alias("tr"), F.upper(F.coalesce("leg_type", F.lit(""))).alias("type"), "start", "end", "centre", "clockwise", "course", "length_nm", "trajectory")
+    rows = legs.groupBy(proc).agg(F.sort_array(F.collect_list(leg)).alias("_legs"), F.min("origin").alias("_origin"))
+    found = "array<struct<seq: int, leg_id: string, way: string, path: array<struct<lon: double, lat: double>>>>"
+    state = F.struct(F.col("_origin").cast(_POINT).alias("at"), F.lit(None).cast("string").alias("tr"), F.array().cast(found).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        again = (F.coalesce(acc["tr"], F.lit("")) != "") & (acc["tr"] != x["tr"]) & (x["tr"] != "")
+        before = F.when(again, F.col("_origin").cast(_POINT)).otherwise(acc["at"])
+        return let(F.struct(F.coalesce(x["start"], before).alias("a"), x["end"].alias("b"), before.alias("before")), lambda p: ended(acc, x, p["a"], p["b"], p["before"]))
+
+    def ended(acc: Column, x: Column, a: Column, b: Column, before: Column) -> Column:
+        c, both = x["centre"], a.isNotNull() & b.isNotNull()
+        right = F.pmod(bearing(c["lon"], c["lat"], b["lon"], b["lat"]) - bearing(c["lon"], c["lat"], a["lon"], a["lat"]), F.lit(360.0)) <= 180
+        far = F.least(F.coalesce(F.nullif(x["length_nm"], F.lit(0.0)), F.lit(COURSE_NM)), F.lit(COURSE_MOST_NM))
+        ahead = F.struct(dest_lon(a["lon"], a["lat"], x["course"], far).alias("lon"), dest_lat(a["lat"], x["course"], far).alias("lat"))
+        way = (
+            F.when(F.size(F.coalesce(x["trajectory"], F.array().cast(_LINE))) > 1, "trajectory").when(both & x["type"].isin(*ARC_LEGS) & c.isNotNull(), "arc").when(both, "line")
+            .when(a.isNotNull() & x["course"].isNotNull(), "course")
+        )
+
+        def drawn(w: Column) -> Column:
+            path = (
+                F.when(w == "trajectory", x["trajectory"]).when(w == "arc", F.concat(F.array(a), arc_between(c, a, b, F.coalesce(x["clockwise"], right)), F.array(b)))
+                .when(w == "line", F.array(a, b)).when(w == "course", F.array(a, ahead))
+            ).cast(_LINE)
+            return let(path, lambda line: moved(w, line))
+
+        def moved(w: Column, line: Column) -> Column:
+            fix = F.coalesce(b, F.when(x["type"] == "IF", a))
+            at = F.when(w.isNotNull(), F.element_at(line, -1)).otherwise(F.coalesce(fix, before))
+            one = F.struct(x["seq"].cast("int").alias("seq"), x["leg_id"].cast("string").alias("leg_id"), w.alias("way"), line.alias("path"))
+            return F.struct(at.cast(_POINT).alias("at"), x["tr"].alias("tr"), F.when(w.isNotNull(), F.concat(acc["out"], F.array(one).cast(found))).otherwise(acc["out"]).alias("out"))
+
+        return let(way, drawn)
+
+    return rows.select(proc, F.explode(F.aggregate("_legs", state, step, lambda acc: acc["out"])).alias("o")).select(proc, "o.*")
+
+
 # The kinds of declared distance.
 DECLARED = ("TORA", "TODA", "ASDA", "LDA")
 

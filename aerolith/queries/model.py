@@ -10,7 +10,7 @@ from ..plans import effects as E
 from ..sources import notam as N
 from . import Family
 from .spatial import AREA_SQL, AT_SQL, CELL, _box_edges, part_grids, part_terrain, supplier_areas, terrain_points
-from .tables import SLICES_SQL, event_slices, table
+from .tables import SLICES_SQL, event_slices, position, position_sql, sql_bearing, table
 
 FAMILY = Family()
 
@@ -106,6 +106,40 @@ e AS (SELECT *, row_number() OVER (PARTITION BY dir_id ORDER BY point_id) AS rn
 m AS (SELECT l_orderkey AS dir_id, min(CASE WHEN l_linenumber % 4 = 0 THEN CAST(l_quantity AS DOUBLE) END) AS tora_m, min(CASE WHEN l_linenumber % 4 = 3 THEN CAST(l_quantity AS DOUBLE) END) AS lda_m FROM lineitem GROUP BY 1)"""
 
 
+PX0, PY0 = position_sql("l_partkey", 0, 100)
+QX0, QY0 = position_sql("l_suppkey", 7, 100)
+# legs of an order: kinds by part and line; every order that divides by five begins at the origin of its customer
+PROC_SQL = f"""l AS (SELECT l_orderkey AS id, l_linenumber AS seq, (l_partkey + l_linenumber) % 6 AS k, {PX0} AS px, {PY0} AS py, {QX0} AS qx, {QY0} AS qy, l_quantity * 7 % 360 AS crs, CASE WHEN l_suppkey % 3 > 0 THEN l_quantity / 4 END AS len, l_partkey AS o1, l_suppkey AS o2, l_quantity AS o3 FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq, o1, o2, o3) AS i FROM l)"""
+
+
+@FAMILY.add("jon_20_procedure_paths", f"""WITH RECURSIVE {PROC_SQL},
+w AS (SELECT id, 0::BIGINT AS i, 0 AS seq, NULL::VARCHAR AS way, NULL::DOUBLE AS ax, NULL::DOUBLE AS ay, NULL::DOUBLE AS bx, NULL::DOUBLE AS by_, CASE WHEN id % 5 = 0 THEN 1.5::DOUBLE END AS x, CASE WHEN id % 5 = 0 THEN 2.5::DOUBLE END AS y, 0 AS pts FROM (SELECT DISTINCT id FROM n)
+UNION ALL SELECT n.id, n.i, n.seq, v.way, v.ax, v.ay, v.bx, v.by_, CASE WHEN v.way IS NOT NULL THEN v.bx WHEN n.k IN (0, 4) THEN n.px ELSE w.x END, CASE WHEN v.way IS NOT NULL THEN v.by_ WHEN n.k IN (0, 4) THEN n.py ELSE w.y END, v.pts
+FROM w JOIN n ON n.id = w.id AND n.i = w.i + 1, LATERAL (SELECT CASE WHEN n.k = 3 THEN 'trajectory' WHEN n.k IN (0, 4) AND w.x IS NOT NULL THEN CASE WHEN n.k = 4 THEN 'arc' ELSE 'line' END WHEN n.k = 1 AND w.x IS NOT NULL THEN 'course' WHEN n.k = 5 THEN 'line' END AS way,
+  CASE WHEN n.k IN (3, 5) THEN n.qx ELSE w.x END AS ax, CASE WHEN n.k IN (3, 5) THEN n.qy ELSE w.y END AS ay,
+  CASE WHEN n.k = 1 THEN (((w.x + degrees(atan2(sin(radians(n.crs)) * sin(least(coalesce(n.len, 3), 10) / 3440.065) * cos(radians(w.y)), cos(least(coalesce(n.len, 3), 10) / 3440.065) - sin(radians(w.y)) * (sin(radians(w.y)) * cos(least(coalesce(n.len, 3), 10) / 3440.065) + cos(radians(w.y)) * sin(least(coalesce(n.len, 3), 10) / 3440.065) * cos(radians(n.crs))))) + 180) % 360 + 360) % 360 - 180) ELSE n.px END AS bx,
+  CASE WHEN n.k = 1 THEN degrees(asin(sin(radians(w.y)) * cos(least(coalesce(n.len, 3), 10) / 3440.065) + cos(radians(w.y)) * sin(least(coalesce(n.len, 3), 10) / 3440.065) * cos(radians(n.crs)))) ELSE n.py END AS by_,
+  CASE WHEN n.k = 3 THEN 3 WHEN n.k = 4 THEN 1 + greatest(2, ceil(((({sql_bearing('n.qx', 'n.qy', 'n.px', 'n.py')} - {sql_bearing('n.qx', 'n.qy', 'w.x', 'w.y')}) % 360 + 360) % 360) / 5)) ELSE 2 END::INTEGER AS pts) v)
+SELECT id AS proc_id, seq, way, pts AS n, round(ax, 5) AS lon1, round(ay, 5) AS lat1, round(bx, 5) AS lon2, round(by_, 5) AS lat2 FROM w WHERE way IS NOT NULL""")
+def _(spark, sf):
+    px, py = position("l_partkey", 0, 100)
+    qx, qy = position("l_suppkey", 7, 100)
+    k = (F.col("l_partkey") + F.col("l_linenumber")) % 6
+    point = lambda x, y: F.struct(x.cast("double").alias("lon"), y.cast("double").alias("lat"))
+    end, other = point(px, py), point(qx, qy)
+    legs = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("proc_id"), F.lit(None).cast("string").alias("transition"), F.col("l_linenumber").cast("int").alias("seq"), F.format_string("%09d/%09d/%03d", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("leg_id"),
+        F.when(k == 4, "RF").when(k == 2, "IF").otherwise("TF").alias("leg_type"), F.when(k == 5, other).alias("start"), F.when(k.isin(0, 4, 5), end).alias("end"), F.when(k == 4, other).alias("centre"), F.lit(True).alias("clockwise"),
+        F.when(k == 1, (F.col("l_quantity") * 7 % 360).cast("double")).alias("course"), F.when(F.col("l_suppkey") % 3 > 0, (F.col("l_quantity") / 4).cast("double")).alias("length_nm"),
+        F.when(k == 3, F.array(other, point((px + qx) / 2, (py + qy) / 2), end)).alias("trajectory"), F.when(F.col("l_orderkey") % 5 == 0, point(F.lit(1.5), F.lit(2.5))).alias("origin"),
+    )
+    rows = M.procedure_paths(legs)
+    first, last = F.element_at("path", 1), F.element_at("path", -1)
+    r = lambda p, axis, name: F.round(p[axis], 5).alias(name)
+    return rows.select("proc_id", "seq", "way", F.size("path").alias("n"), r(first, "lon", "lon1"), r(first, "lat", "lat1"), r(last, "lon", "lon2"), r(last, "lat", "lat2"))
+
+
 @FAMILY.add("jon_21_runway_ends", f"""WITH {ENDS_SQL} SELECT d.dir_id, t.lon AS thr_lon, t.lat AS thr_lat, coalesce(e.lon, o.lon) AS end_lon, coalesce(e.lat, o.lat) AS end_lat, tora_m, lda_m
 FROM d LEFT JOIN t ON t.dir_id = d.dir_id AND t.rn = 1 LEFT JOIN e ON e.dir_id = d.dir_id AND e.rn = 1 LEFT JOIN m ON m.dir_id = d.dir_id
 LEFT JOIN t o ON o.rn = 1 AND o.dir_id = d.dir_id + CASE WHEN d.dir_id % 2 = 0 THEN 1 ELSE -1 END""")

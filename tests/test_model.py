@@ -61,3 +61,27 @@ def test_kinds_by_type_and_name(spark):
     assert [(r.t, r.n, r.got) for r in rows] == cases
     own = spark.createDataFrame([("a big grue",), ("gruel",)], "n string").select(kind_in_text("n", {"monster": "GRUE"}, {}).alias("k")).collect()
     assert [r.k for r in own] == ["monster", None]
+
+
+def test_paths_of_procedures(spark):
+    from aerolith.operators.model import procedure_paths
+
+    point = "struct<lon: double, lat: double>"
+    schema = f"proc_id string, transition string, seq int, leg_id string, leg_type string, start {point}, end {point}, centre {point}, clockwise boolean, course double, length_nm double, trajectory array<{point}>, origin {point}"
+    a, b, c = (0.0, 0.0), (0.0, 1.0), (1.0, 1.0)
+
+    def leg(proc, seq, kind="TF", tr=None, start=None, end=None, centre=None, turn=None, course=None, length=None, line=None, origin=None):
+        return (proc, tr, seq, f"{proc}{seq}", kind, start, end, centre, turn, course, length, line, origin)
+
+    legs = [
+        leg("p", 1, "IF", end=a), leg("p", 2, end=b), leg("p", 3, "RF", end=c, centre=(0.5, 1.0), turn=True), leg("p", 4, "CF", course=90.0, length=50.0), leg("p", 5, "CA", course=0.0), leg("p", 6), leg("p", 7, end=a),
+        leg("q", 1, "CF", course=180.0, origin=b), leg("q", 2, tr="X", end=c, origin=b), leg("q", 3, tr="Y", end=a, origin=b), leg("q", 4, end=c, origin=b),
+        leg("r", 1, course=10.0), leg("r", 2, line=[a, b, c]), leg("r", 3, "AF", end=b, centre=(0.5, 1.0)), leg("r", 4, "IF", start=a), leg("r", 5, end=c),
+    ]
+    rows = procedure_paths(spark.createDataFrame(legs, schema)).orderBy("proc_id", "seq").collect()
+    got = {r.leg_id: (r.way, [(round(x.lon, 3), round(x.lat, 3)) for x in r.path]) for r in rows}
+    assert got["p2"] == ("line", [a, b]) and got["p3"][0] == "arc" and got["p3"][1][0] == b and got["p3"][1][-1] == c and max(y for _, y in got["p3"][1]) > 1.4
+    assert got["p4"][0] == "course" and got["p4"][1][1] == (1.167, 1.0) and got["p5"][1] == [(1.167, 1.0), (1.167, 1.05)]
+    assert "p6" not in got and got["p7"][1][0] == (1.167, 1.05) and "p1" not in got and "r1" not in got and "r4" not in got
+    assert got["q1"][1][0] == b and got["q2"][1] == [(0.0, 0.95), c] and got["q3"][1] == [b, a] and got["q4"][1] == [a, c]
+    assert got["r2"] == ("trajectory", [a, b, c]) and got["r3"][0] == "arc" and got["r3"][1][0] == c and got["r5"][1] == [a, c]
