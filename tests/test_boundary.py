@@ -27,58 +27,61 @@ def at(lon, lat, deg, nm):
     return float(x[0]), float(y[0])
 
 
-def ring(spark, elements, border=None, closed=True):
-    lines = None if border is None else spark.createDataFrame(border, "border string, k int, lon double, lat double")
-    rows = B.drawn(spark.createDataFrame(elements, ELEMENT), lines, ["id"], closed).orderBy("id", "seq", "k").collect()
-    return [(r.seq, r.kind, r.lon, r.lat) for r in rows]
-
-
 def test_circle_keeps_the_radius(spark):
-    got = ring(spark, [arc("C", 0, 179.9, 60.0, 40.0, 0, 0, True)])
-    assert len(got) > 100 and got[0][2:] != got[1][2:]
-    d = inverse_arrays([179.9] * len(got), [60.0] * len(got), [p[2] for p in got], [p[3] for p in got])[0]
-    assert abs(d - 40).max() < 1e-6
+    got = B.arc_points(spark.createDataFrame([arc("C", 0, 179.9, 60.0, 40.0, 0, 0, True)], ELEMENT), ["id"]).orderBy("k").collect()
+    x, y = [r.lon for r in got], [r.lat for r in got]
+    assert len(got) > 100
+    assert abs(inverse_arrays([179.9] * len(got), [60.0] * len(got), x, y)[0] - 40).max() < 1e-6
     # the middle of a chord is at most the tolerance inside
-    mid = inverse_arrays([p[2] for p in got[:-1]], [p[3] for p in got[:-1]], [p[2] for p in got[1:]], [p[3] for p in got[1:]])[0] / 2
+    mid = inverse_arrays(x[:-1], y[:-1], x[1:], y[1:])[0] / 2
     assert (40 - (40**2 - mid**2) ** 0.5).max() <= B.CHORD_NM
 
 
-def test_published_points_replace_the_ends(spark):
-    c = (10.0, 50.0)
-    on, through, away = at(*c, 0.3, 30.02), at(*c, 93, 33.0), at(*c, 90, 50.0)
-    rows = ring(spark, [point("A", 0, *on), arc("A", 1, *c, 30.0, 0, 90, True), point("A", 2, *through), point("A", 3, 10.0, 49.0)])
+def test_arcs_between_published_points(spark):
+    c, c1, c2 = (10.0, 50.0), (0.0, 0.0), (0.0, 1.0)
+    on, through = at(*c, 0.3, 30.02), at(*c, 93, 33.0)
+    first = at(*c1, 180, 20)
+    elements = [
+        point("A", 0, *on), arc("A", 1, *c, 30.0, 0, 90, True), point("A", 2, *through), point("A", 3, 10.0, 49.0),
+        point("far", 0, 9.0, 50.0), arc("far", 1, *c, 30.0, 0, 90, True), point("far", 2, *at(*c, 90, 50.0)),
+        arc("two", 0, *c1, 20.0, 180, 0, True), arc("two", 1, *c2, 20.0, 0, 180, False), point("two", 2, *first),
+    ]
+    found = {}
+    for r in B.drawn(spark.createDataFrame(elements, ELEMENT), None, ["id"]).orderBy("seq", "k").collect():
+        found.setdefault(r.id, []).append((r.seq, r.kind, r.lon, r.lat))
+    rows = found["A"]
     bent = [p for p in rows if p[0] == 1]
     d = inverse_arrays([c[0]] * len(bent), [c[1]] * len(bent), [p[2] for p in bent], [p[3] for p in bent])[0]
     # the start lies off the arc by more than rounding, the end by far more: drawn through both, the radius changes evenly
-    assert rows[0][2:] == pytest.approx(on) and d[-1] < 33 and all(a < b for a, b in zip(d, d[1:]))
-    assert bent[-1][2:] == pytest.approx(through) and [p[0] for p in rows[-2:]] == [3, 4]
-    assert rows[-1][2:] == rows[0][2:]
-    coded = [p for p in ring(spark, [point("A", 0, 9.0, 50.0), arc("A", 1, *c, 30.0, 0, 90, True), point("A", 2, *away)]) if p[0] == 1]
+    assert rows[0][2:] == pytest.approx(on) and all(x < y for x, y in zip(d, d[1:])) and bent[-1][2:] == pytest.approx(through)
+    assert [p[0] for p in rows[-2:]] == [3, 4] and rows[-1][2:] == rows[0][2:]
+    coded = [p for p in found["far"] if p[0] == 1]
     assert inverse_arrays([c[0]], [c[1]], [coded[-1][2]], [coded[-1][3]])[0][0] == pytest.approx(30.0)
+    two = found["two"]
+    assert [p[0] for p in two].count(2) == 1 and two[0][1] == "arc" and two[0][2:] == two[-1][2:]  # the first arc begins on the coded point
 
 
-def test_arcs_in_a_row_and_round_the_ring(spark):
-    c1, c2 = (0.0, 0.0), (0.0, 1.0)
-    first = at(*c1, 180, 20)
-    got = ring(spark, [arc("A", 0, *c1, 20.0, 180, 0, True), arc("A", 1, *c2, 20.0, 0, 180, False), point("A", 2, *first)])
-    assert [p[0] for p in got].count(2) == 1 and got[0][1] == "arc"  # the first arc begins on the coded point
-    assert got[0][2:] == got[-1][2:]
+def border(i, seq, name):
+    return (i, seq, "border", None, None, None, None, None, None, name)
 
 
 def test_border_across_the_antimeridian(spark):
-    line = [("L", k, (170 + k + 180) % 360 - 180, 10.0 + (k % 2) * 0.1) for k in range(20)]
-    elements = [point("A", 0, 172.5, 10.2), ("A", 1, "border", None, None, None, None, None, None, "L"), point("A", 2, -174.6, 9.7), point("A", 3, 179.0, 5.0)]
-    got = ring(spark, elements, line)
-    assert [round(p[2]) for p in got if p[1] == "border"] == [173, 174, 175, 176, 177, 178, 179, -180, -179, -178, -177, -176, -175]
-    back = [point("A", 0, -174.6, 9.7), ("A", 1, "border", None, None, None, None, None, None, "L"), point("A", 2, 172.5, 10.2)]
-    assert [round(p[2]) for p in ring(spark, back, line, closed=False) if p[1] == "border"] == [-175, -176, -177, -178, -179, -180, 179, 178, 177, 176, 175, 174, 173]
-    # the border closes the ring: its ends are the last and the first point; an unknown border leaves a gap
-    round_ = [("A", 0, "border", None, None, None, None, None, None, "L"), point("A", 1, 174.5, 10.0), point("A", 2, 171.5, 10.0)]
-    assert [round(p[2]) for p in ring(spark, round_, line) if p[1] == "border"] == [172, 173, 174]
-    assert not [p for p in ring(spark, [("A", 0, "border", None, None, None, None, None, None, "X"), point("A", 1, 0.0, 0.0), point("A", 2, 1.0, 0.0)], line) if p[1] == "border"]
-    # open, first and last: from the border's own beginning and to its own end
-    lead = [("A", 0, "border", None, None, None, None, None, None, "L"), point("A", 1, 172.5, 10.0)]
-    assert [round(p[2]) for p in ring(spark, lead, line, closed=False) if p[1] == "border"] == [170, 171, 172]
+    line = [("L", k, (170.0 + k + 180) % 360 - 180, 10.0 + (k % 2) * 0.1) for k in range(20)]
+    closed = [
+        point("across", 0, 172.5, 10.2), border("across", 1, "L"), point("across", 2, -174.6, 9.7), point("across", 3, 179.0, 5.0),
+        # the border closes the ring: its ends are the last and the first point; an unknown border leaves a gap
+        border("round", 0, "L"), point("round", 1, 174.5, 10.0), point("round", 2, 171.5, 10.0), border("gap", 0, "X"), point("gap", 1, 0.0, 0.0), point("gap", 2, 1.0, 0.0),
+    ]
+    # open, first: from the border's own beginning
+    lines = [point("back", 0, -174.6, 9.7), border("back", 1, "L"), point("back", 2, 172.5, 10.2), border("lead", 0, "L"), point("lead", 1, 172.5, 10.0)]
+    found = {}
+    for elements, kind in ((closed, True), (lines, False)):
+        for r in B.drawn(spark.createDataFrame(elements, ELEMENT), spark.createDataFrame(line, "border string, k int, lon double, lat double"), ["id"], kind).where("kind = 'border'").orderBy("seq", "k").collect():
+            found.setdefault(r.id, []).append(round(r.lon))
+    assert found == {
+        "across": [173, 174, 175, 176, 177, 178, 179, -180, -179, -178, -177, -176, -175], "round": [172, 173, 174],
+        "back": [-175, -176, -177, -178, -179, -180, 179, 178, 177, 176, 175, 174, 173], "lead": [170, 171, 172],
+    }
 
 
 def test_closed_border_goes_the_shorter_way(spark):
