@@ -20,10 +20,11 @@ MAX_LAT = 89.9
 
 
 def _rows_columns(row: Column, height: float) -> Column:
-    """Number of columns of a latitude row; columns are at least as wide as the row is high."""
+    """Number of columns of a latitude row; columns are at least as wide as the row is high. Rows beyond a pole are one cell."""
     south, north = row * height - 90.0, (row + 1) * height - 90.0
     edge = F.least(F.greatest(F.abs(south), F.abs(north)), F.lit(MAX_LAT))
-    return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(edge)) / height)).cast("int")
+    columns = F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(edge)) / height)).cast("int")
+    return F.when((south >= 90.0) | (north <= -90.0), 1).otherwise(columns)
 
 
 def cell_height(reach_nm: float) -> float:
@@ -61,8 +62,8 @@ def with_reach(sites: DataFrame, reach_nm, height: float, lon: str = "lon", lat:
     pole = F.abs(F.col(lat)) + angle >= 90.0
     dlon = F.when(pole | (ratio >= 1), F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0))))) + 1e-9
     x = wrap180(F.col(lon))
-    south, north = F.greatest(F.col(lat) - angle - 1e-9, F.lit(-90.0)), F.least(F.col(lat) + angle + 1e-9, F.lit(90.0))
-    return _cover(sites, height, x - dlon, x + dlon, south, north)
+    # not cut at the poles: a latitude beyond them keeps its own rows, as points do, instead of all rows back to the pole
+    return _cover(sites, height, x - dlon, x + dlon, F.col(lat) - angle - 1e-9, F.col(lat) + angle + 1e-9)
 
 
 def within_distance(points: DataFrame, sites: DataFrame, nm: float, site_columns: Sequence[str], lon: str = "lon", lat: str = "lat",
@@ -127,10 +128,7 @@ def _cover_segment(segments: DataFrame, height: float, nm: float) -> DataFrame:
     """One copy of each segment per cell within ``nm`` of it: row by row, the columns its stretch of that row touches."""
     pad = nm / 60.0
     low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
-    rows = F.sequence(
-        F.floor((F.greatest(low - pad, F.lit(-90.0)) + 90.0) / height).cast("int"),
-        F.floor((F.least(high + pad, F.lit(90.0)) + 90.0) / height).cast("int"),
-    )
+    rows = F.sequence(F.floor((low - pad + 90.0) / height).cast("int"), F.floor((high + pad + 90.0) / height).cast("int"))
     dlon, dlat = wrap180(F.col("lon2") - F.col("lon1")), F.col("lat2") - F.col("lat1")
     cut = segments.withColumns({"_x1": wrap180(F.col("lon1")), "_dx": dlon, "_dy": dlat}).withColumn("_row", F.explode(rows))
     south, north = F.col("_row") * height - 90.0 - pad, (F.col("_row") + 1) * height - 90.0 + pad
