@@ -332,6 +332,10 @@ def harmonize_states(datasets: DataFrame) -> DataFrame:
         "prefix", F.col("state").alias("_state"), F.col("dataset_id").alias("_from"), F.col("dataset_order").alias("_order"),
         F.col("strength").alias("_strength"),
     )
+    # of the leaders of one prefix, strength and State the first two decide: the second where the first is the data set itself
+    group = ["prefix", "_strength", "_state"]
+    lead = lead.groupBy(*group, "_from").agg(F.min("_order").alias("_order")).filter(F.col("_order").isNotNull())
+    lead = top_k_per_key(lead, group, [F.col("_order"), F.col("_from")], 2, salts=4)
     cand = datasets.filter(F.col("strength") != "strong").join(lead, "prefix").filter(
         (F.col("_from") != F.col("dataset_id")) & (F.col("_state") != F.col("state"))
         & ((F.col("strength") == "weak") | (F.col("_strength") == "strong"))
