@@ -295,38 +295,76 @@ def timesheet_text(day, day_til, start, end, excluded=None) -> Column:
 def hull_by_group(points: DataFrame, group: str, salts: int = 16) -> DataFrame:
     """Convex hull of the points of each group: group, seq (counter-clockwise from the leftmost), lon, lat.
 
-    Every Arrow batch is reduced to the hulls of its groups before anything is shuffled, then salted parts, then fewer of
-    them, then groups: only corners of parts meet, also where one group holds most points. Repeated points count once; fewer than three points, or points on one line, give their ends.
+    Every Arrow batch is reduced to the hulls of its groups before anything is shuffled, then salted parts, then groups: only
+    corners of parts meet, also where one group holds most points. A task walks its sorted rows once, whatever the number of
+    groups. Repeated points count once; fewer than three points, or points on one line, give their ends.
     Groups of null and points without numbers are left out.
     """
     import numpy as np
     import pandas as pd
 
-    def chain(xy: np.ndarray) -> list[tuple[float, float]]:
-        half: list[tuple[float, float]] = []
-        for x, y in xy:
-            while len(half) > 1 and (half[-1][0] - half[-2][0]) * (y - half[-2][1]) - (half[-1][1] - half[-2][1]) * (x - half[-2][0]) <= 0:
+    def chain(xs: list[float], ys: list[float]) -> list[int]:
+        """Places of the corners below, left to right."""
+        half: list[int] = []
+        for i in range(len(xs)):
+            x, y = xs[i], ys[i]
+            while len(half) > 1:
+                p, q = half[-2], half[-1]
+                if (xs[q] - xs[p]) * (y - ys[p]) - (ys[q] - ys[p]) * (x - xs[p]) > 0:
+                    break
                 half.pop()
-            half.append((x, y))
+            half.append(i)
         return half
 
-    def corners(rows: pd.DataFrame) -> pd.DataFrame:
-        xy = np.unique(rows[["lon", "lat"]].to_numpy(), axis=0)
-        around = chain(xy) if len(xy) < 2 else chain(xy)[:-1] + chain(xy[::-1])[:-1]
-        out = pd.DataFrame(around, columns=["lon", "lat"])
-        out.insert(0, "seq", range(len(out)))
-        out.insert(0, group, rows[group].iloc[0])
+    def corners(frame: pd.DataFrame) -> pd.DataFrame:
+        """Hulls of the groups of a frame, groups in the order of their first row, with ``seq``."""
+        codes = pd.factorize(frame[group])[0]
+        lon, lat = frame["lon"].to_numpy(), frame["lat"].to_numpy()
+        order = np.lexsort((lat, lon, codes))
+        order = order[codes[order] >= 0]
+        c, x, y = codes[order], lon[order], lat[order]
+        fresh = np.ones(len(c), bool)
+        fresh[1:] = (c[1:] != c[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        order, c, xs, ys = order[fresh], c[fresh], x[fresh].tolist(), y[fresh].tolist()
+        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.empty(0, np.int64)
+        rows: list[int] = []
+        seqs: list[int] = []
+        for start, stop in zip(first.tolist(), [*first[1:].tolist(), len(c)], strict=True):
+            if stop - start < 3:
+                around = list(range(start, stop))
+            else:
+                px, py = xs[start:stop], ys[start:stop]
+                last = stop - start - 1
+                around = [start + i for i in chain(px, py)[:-1]] + [start + last - i for i in chain(px[::-1], py[::-1])[:-1]]
+            rows += around
+            seqs += range(len(around))
+        out = frame.take(order[rows])[[group, "lon", "lat"]]
+        out.insert(1, "seq", np.array(seqs, np.int32))
         return out
 
     def batches(frames):
         for frame in frames:
             if len(frame):
-                yield pd.concat([corners(rows) for _, rows in frame.groupby(group)])
+                yield corners(frame)[[group, "lon", "lat"]]
+
+    def merged(frames):
+        """Frames of rows sorted by group: the corners of the last group wait for its further rows."""
+        waiting = None
+        for frame in frames:
+            if not len(frame):
+                continue
+            rows = frame if waiting is None else pd.concat([waiting, frame], ignore_index=True)
+            codes = pd.factorize(rows[group])[0]
+            ends = codes == codes[-1]
+            if not ends.all():
+                yield corners(rows[~ends])
+            waiting = corners(rows[ends])[[group, "lon", "lat"]]
+        if waiting is not None:
+            yield corners(waiting)
 
     kind = points.schema[group].dataType.simpleString()
     p = points.filter(F.col(group).isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(group, F.col("lon").cast("double"), F.col("lat").cast("double"))
-    schema = f"`{group}` {kind}, seq int, lon double, lat double"
-    parts = p.mapInPandas(batches, schema)
-    for few in (salts, max(1, salts // 4)):  # corners of ever larger parts meet
-        parts = parts.withColumn("_salt", F.pmod(F.xxhash64("lon", "lat"), F.lit(few))).groupBy(group, "_salt").applyInPandas(lambda rows: corners(rows), schema)
-    return parts.groupBy(group).applyInPandas(lambda rows: corners(rows), schema)
+    plain = f"`{group}` {kind}, lon double, lat double"
+    parts = p.mapInPandas(batches, plain).withColumn("_salt", F.pmod(F.xxhash64("lon", "lat"), F.lit(salts)))
+    parts = parts.repartition(group, "_salt").select(group, "lon", "lat").sortWithinPartitions(group).mapInPandas(lambda frames: (f[[group, "lon", "lat"]] for f in merged(frames)), plain)
+    return parts.repartition(group).sortWithinPartitions(group).mapInPandas(merged, f"`{group}` {kind}, seq int, lon double, lat double")
