@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import NM_M, R_M, distance_m
@@ -88,12 +88,19 @@ def related(points: DataFrame, aerodromes: DataFrame, owned: DataFrame, nm: floa
 
     ``points``: key, lon, lat; ``aerodromes``: ad_id, lon, lat; ``owned``: key, ad_id.
     """
-    near = within_distance(points, aerodromes.withColumnsRenamed({"lon": "_alon", "lat": "_alat"}), nm, ["ad_id"], site_lon="_alon", site_lat="_alat").select("key", "ad_id", F.lit(2).alias("_r"))
-    own = owned.select("key", "ad_id", F.lit(1).alias("_r"))
-    first = own.unionByName(near).groupBy("key", "ad_id").agg(F.min("_r").alias("_r"))
-    return first.select("key", "ad_id", F.when(F.col("_r") == 1, "aerodrome data").otherwise("near").alias("tag"))
-
-
+    once = lambda df, k: df.select(k, "lon", "lat").distinct().withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(k)))
+    p, a = once(points, "key"), once(aerodromes, "ad_id").withColumnsRenamed({"lon": "_alon", "lat": "_alat"})
+    own = owned.select("key", "ad_id").distinct()
+    p = p.join(own.groupBy("key").agg(F.collect_set("ad_id").alias("_own")), "key", "left")
+
+    def near(p: DataFrame, a: DataFrame) -> DataFrame:
+        pairs = within_distance(p.drop("_n"), a.drop("_n"), nm, ["ad_id"], site_lon="_alon", site_lat="_alat")
+        return pairs.filter(~F.coalesce(F.array_contains("_own", F.col("ad_id")), F.lit(False))).select("key", "ad_id")
+
+    # a pair of one place each comes once and needs no grouping; only what has several places is made distinct
+    plain = near(p.filter("_n = 1"), a.filter("_n = 1"))
+    several = near(p.filter("_n > 1"), a).unionByName(near(p.filter("_n = 1"), a.filter("_n > 1"))).distinct()
+    return own.withColumn("tag", F.lit("aerodrome data")).unionByName(plain.unionByName(several).withColumn("tag", F.lit("near")))
 
 
 def derive_parents(elements: DataFrame, kind: str, code: str) -> DataFrame:

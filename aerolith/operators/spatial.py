@@ -66,16 +66,22 @@ def with_reach(sites: DataFrame, reach_nm, height: float, lon: str = "lon", lat:
     return _cover(sites, height, x - dlon, x + dlon, F.col(lat) - angle - 1e-9, F.col(lat) + angle + 1e-9)
 
 
+WIDE_NM, WIDE_CELLS = 5.0, 3
+
+
 def within_distance(points: DataFrame, sites: DataFrame, nm: float, site_columns: Sequence[str], lon: str = "lon", lat: str = "lat",
                     site_lon: str = "lon", site_lat: str = "lat") -> DataFrame:
     """Pairs of a point and a site at most ``nm`` apart, with ``distance_nm``.
 
     The result has a row for every such pair: use it with a reach at which a point meets few sites, or aggregate it.
     """
-    h = cell_height(nm)
+    # a wide reach has several cells: with cells of its own size a whole region would be a few tasks
+    h = cell_height(nm / WIDE_CELLS if nm > WIDE_NM else nm)
+    # few rows make many pairs: both sides are dealt out before they meet, whichever of them is small
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     right = sites.select(*[F.col(c).alias(f"_s_{c}") for c in dict.fromkeys([*site_columns, site_lon, site_lat])])
-    right = with_reach(right, nm, h, f"_s_{site_lon}", f"_s_{site_lat}")
-    left = with_cell(points, h, lon, lat)
+    right = with_reach(right.repartition(parts, f"_s_{site_lon}", f"_s_{site_lat}"), nm, h, f"_s_{site_lon}", f"_s_{site_lat}")
+    left = with_cell(points.repartition(parts, lon, lat), h, lon, lat)
     d = distance_nm(lon, lat, f"_s_{site_lon}", f"_s_{site_lat}")
     pairs = settle(left.join(right, ["_row", "_colno"]), distance_nm=d).filter(F.col("distance_nm") <= nm)
     plain = {f"_s_{c}": c for c in site_columns if c not in points.columns}
@@ -115,7 +121,7 @@ def with_fan(sites: DataFrame, height: float, lon: str, lat: str, ux: str, uy: s
     return cut.withColumn("_colno", F.explode(F.sequence(first, last))).withColumn("_colno", F.pmod("_colno", F.col("_n"))).drop("_fan", "_w", "_e", "_n")
 
 
-def nearest(points: DataFrame, sites: DataFrame, max_nm: float, key: str, site_key: str, levels: Sequence[float] = (0.125, 1.0),
+def nearest(points: DataFrame, sites: DataFrame, max_nm: float, key: str, site_key: str, levels: Sequence[float] = (1 / 64, 0.125, 1.0),
             lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Nearest site of each point within ``max_nm``: key, site_key, distance_nm. Equal distances: the smallest site key.
 
