@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .words import UNIT_WORDS, lookup, words
+from .geo import col
+from .words import UNIT_WORDS, let, lookup, words
 
 # Words for the ground and for no upper limit, and abbreviations of what a height counts from.
 NO_HEIGHT = {"GND": 0.0, "GROUND": 0.0, "SFC": 0.0, "SURFACE": 0.0, "UNL": float("inf"), "UNLTD": float("inf"), "UNLIMITED": float("inf")}
@@ -14,12 +15,20 @@ COUNTS_FROM = {"AAL": "SFC", "AGL": "SFC", "GND": "SFC", "HGT": "SFC", "SFC": "S
 
 def limit_words(text) -> Column:
     """Words of a limit; the number of a flight level stands alone."""
-    return words(F.regexp_replace(F.upper(text if isinstance(text, Column) else F.col(text)), r"\bFL(?=[0-9])", "FL "))
+    return words(F.regexp_replace(F.upper(col(text)), r"\bFL(?=[0-9])", "FL "))
+
+
+def _of_words(text, body) -> Column:
+    """``body`` of the words of a limit, cut once; null for null and empty texts."""
+    return F.when(col(text) != "", let(limit_words(text), body))
 
 
 def limit_in_text_m(text) -> Column:
     """Metres of a limit such as GND, FL150, 3000FT AMSL, 450 M AGL, UNL; a bare number is feet, other texts are null."""
-    w = limit_words(text)
+    return _of_words(text, _metres)
+
+
+def _metres(w: Column) -> Column:
     first, second = F.get(w, F.lit(0)), F.get(w, F.lit(1))
     level = F.when((first == "FL") & second.rlike("^[0-9]{2,3}$"), second.try_cast("double") * 30.48)
     value = F.when(first.rlike(r"^[0-9]+(\.[0-9]+)?$"), first.try_cast("double"))
@@ -29,7 +38,10 @@ def limit_in_text_m(text) -> Column:
 
 def limit_in_text_reference(text) -> Column:
     """SFC, MSL or STD: what a limit counts from; a number that names nothing counts from the sea."""
-    w = limit_words(text)
+    return _of_words(text, _reference)
+
+
+def _reference(w: Column) -> Column:
     first = F.get(w, F.lit(0))
     named = F.exists(F.slice(w, 2, 2), lambda x: F.coalesce(lookup(COUNTS_FROM, x) == "SFC", F.lit(False)))
     flat = lookup({k: "SFC" if v == 0 else "STD" for k, v in NO_HEIGHT.items()}, first)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .geo import col
 from .units import METRES
 
+BETWEEN = r"\s()\[\],;:"
 UNIT_WORDS = {"FT": "FT", "FEET": "FT", "M": "M", "METRE": "M", "METRES": "M", "METER": "M", "METERS": "M", "NM": "NM", "KM": "KM"}
 
 
@@ -25,11 +26,14 @@ def let(value: Column, body) -> Column:
 
 def words(text) -> Column:
     """Upper-case words of a text; a number and its unit are two words, marks around words are dropped."""
-    t = F.regexp_replace(F.upper(F.coalesce(col(text), F.lit(""))), r"(?<=\d),(?=\d)", ".")
-    t = F.regexp_replace(t, r"(?<=\d)(?=(?:FT|FEET|MET(?:RE|ER)S?|M|NM|KM)\b)", " ")
-    t = F.regexp_replace(t, r"\b(RWY|TWY|THR)(?=\d)", "$1 ")
-    t = F.regexp_replace(t, r"(\d\d[LRC]?)\s*/\s*(?=\d\d[LRC]?\b)", "$1/")
-    return F.filter(F.transform(F.split(t, r"[\s()\[\],;:]+"), lambda w: F.regexp_replace(w, r"\.+$", "")), lambda w: w != "")
+    t = F.upper(F.coalesce(col(text), F.lit("")))
+    # a mark that most texts do not hold is looked for before its pattern is tried
+    t = let(t, lambda t: F.when(t.contains(","), F.regexp_replace(t, r"(?<=\d),(?=\d)", ".")).otherwise(t))
+    t = F.regexp_replace(t, r"(?<=\d)(?=(?:FT|FEET|MET(?:RE|ER)S?|M|NM|KM)\b)|(?<=\b(?:RWY|TWY|THR))(?=\d)", " ")
+    t = let(t, lambda t: F.when(t.contains("/"), F.regexp_replace(t, r"(\d\d[LRC]?)\s*/\s*(?=\d\d[LRC]?\b)", "$1/")).otherwise(t))
+    t = let(t, lambda t: F.when(t.contains("."), F.regexp_replace(t, rf"\.+(?=[\x85\u2028\u2029](?:[{BETWEEN}]|\z))", "")).otherwise(t))
+    # points at the end of a word stay behind
+    return F.regexp_extract_all(t, F.lit(rf"[^{BETWEEN}]*[^{BETWEEN}.]"), F.lit(0))
 
 
 def says(said: Column, terms: Iterable[str]) -> Column:
@@ -60,4 +64,6 @@ def measures(said: Column) -> Column:
         value = F.when(F.get(said, i).rlike(r"^\d+(\.\d+)?$"), F.get(said, i).try_cast("double"))
         return F.struct(i.alias("i"), (value * lookup(METRES, unit)).alias("m"), unit.alias("unit"))
 
-    return F.filter(F.transform(places(said), one), lambda x: x["m"].isNotNull())
+    # most words stand before no unit: they go before anything is read as a number
+    before = F.filter(places(said), lambda i: F.get(said, i + 1).isin(*UNIT_WORDS))
+    return F.filter(F.transform(before, one), lambda x: x["m"].isNotNull())
