@@ -235,6 +235,17 @@ def clock_minutes(text) -> Column:
     return F.when(h != "", h.cast("int") * 60 + m.cast("int"))
 
 
+def read_sheet(df, sheet: dict[str, str]):
+    """Adds what the texts of a schedule row say whatever the moment: ``_utc`` and the minutes of its two clock times.
+
+    ``cover_rows`` takes them from there; rows that are copied to many moments are read once, before they are copied.
+    """
+    from ..operators.stage import settle
+
+    clock = lambda which: clock_minutes(F.col(sheet[f"{which}_time"])).cast("double")
+    return settle(df, _utc=utc_offset_minutes(F.col(sheet["time_ref"])), _clock_start=clock("start"), _clock_end=clock("end"))
+
+
 def cover_rows(df, ts, sheet: dict[str, str], lon, lat, rule: str = "EU", holidays: Sequence[str] = (), out: str = "_covers"):
     """Two rows per schedule row, for today's window and for yesterday's that may run past midnight, with ``out``: it covers ts.
 
@@ -246,7 +257,8 @@ def cover_rows(df, ts, sheet: dict[str, str], lon, lat, rule: str = "EU", holida
     from ..operators.stage import settle
 
     c = {k: F.col(v) for k, v in sheet.items()}
-    offset = utc_offset_minutes(c["time_ref"])
+    df = df if "_utc" in df.columns else read_sheet(df, sheet)
+    offset = F.col("_utc")
     if rule != "none":
         offset = offset + F.when((c["dst"] == "YES") & in_dst(ts, rule), 60).otherwise(0)
     d = settle(df, _off=offset, _ms=F.unix_millis(col(ts)))
@@ -261,7 +273,7 @@ def cover_rows(df, ts, sheet: dict[str, str], lon, lat, rule: str = "EU", holida
     )
 
     def edge(which: str) -> Column:
-        clock, event = clock_minutes(c[f"{which}_time"]).cast("double"), c[f"{which}_event"]
+        clock, event = F.col(f"_clock_{which}"), c[f"{which}_event"]
         sun = F.when(event == "SR", F.coalesce("_rise", F.when(F.col("_dark") == "day", 0.0).otherwise(720.0))).when(
             event == "SS", F.coalesce("_set", F.when(F.col("_dark") == "day", 1440.0).otherwise(720.0))
         ) + F.coalesce(c[f"{which}_rel"], F.lit(0))
@@ -271,5 +283,5 @@ def cover_rows(df, ts, sheet: dict[str, str], lon, lat, rule: str = "EU", holida
     d = settle(d, _from=F.coalesce(edge("start"), F.lit(0.0)), _to=F.coalesce(edge("end"), F.lit(1440.0)))
     end = F.when(F.col("_to") <= F.col("_from"), F.col("_to") + 1440.0).otherwise(F.col("_to"))
     return d.withColumn(out, F.col("_match") & (F.col("_since") >= F.col("_from")) & (F.col("_since") < end)).drop(
-        "_off", "_ms", "_epoch_day", "_day", "_since", "_match", "_rise", "_set", "_dark", "_from", "_to"
+        "_utc", "_clock_start", "_clock_end", "_off", "_ms", "_epoch_day", "_day", "_since", "_match", "_rise", "_set", "_dark", "_from", "_to"
     )

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import cover_rows
+from ..functions.calendar import cover_rows, read_sheet
 from ..functions.geo import col
 from ..operators.ordered import OrderedScan, Running
+from ..session import cut_lineage
 
 SHEET = {k: k for k in (
     "time_ref dst day day_til start_date end_date start_time end_time start_event end_event start_rel end_rel start_interp end_interp".split()
@@ -55,20 +56,30 @@ def valid_state(states: DataFrame, t: Column) -> Column:
 def state_intervals(samples: DataFrame, keys: Sequence[str], at: str = "at", state: str = "state", segment: str = "day") -> DataFrame:
     """Runs of equal state over a time grid: keys, state, from, until (last sample), n."""
     scan = OrderedScan(keys, [F.col(at)], F.date_trunc(segment, at))
-    seen = scan.previous(samples, _before=F.col(state))
+    # both scans read the samples twice: what made them runs once
+    seen = scan.previous(cut_lineage(samples.select(*keys, at, state)), _before=F.col(state))
     flagged = seen.withColumn("_new", (~F.col(state).eqNullSafe(F.col("_before"))).cast("int"))
     runs = scan.running(flagged, _run=Running("sum", F.col("_new")))
     return runs.groupBy(*keys, "_run", state).agg(F.min(at).alias("from"), F.max(at).alias("until"), F.count(F.lit(1)).alias("n")).drop("_run")
 
 
-def time_grid(features: DataFrame, start: str, end: str, step_minutes: int) -> DataFrame:
-    """One row per feature and step."""
+def time_grid(features: DataFrame, start: str, end: str, step_minutes: int, by: Sequence[str] = ()) -> DataFrame:
+    """One row per feature and step.
+
+    With ``by`` the rows are dealt out by these columns before they are copied: a few rows become many, and what groups
+    by them afterwards moves none of the copies. Schedule rows are read before they are copied.
+    """
+    if by:
+        features = features.repartition(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    if set(SHEET) <= set(features.columns):
+        features = read_sheet(features, SHEET)
     steps = F.sequence(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"), F.expr(f"INTERVAL {step_minutes} MINUTES"))
     return features.withColumn("at", F.explode(steps))
 
 
 def next_change(samples: DataFrame, keys: Sequence[str], at: str = "at", state: str = "state") -> DataFrame:
     """First sample whose state differs from the first one: keys, changes_at, new_state (null: no change)."""
+    samples = cut_lineage(samples.select(*keys, at, state))  # read twice below
     first = samples.groupBy(*keys).agg(F.min_by(state, at).alias("_now"))
     later = samples.join(first, list(keys)).filter(~F.col(state).eqNullSafe(F.col("_now")))
     change = later.groupBy(*keys).agg(F.min(F.struct(F.col(at).alias("changes_at"), F.col(state).alias("new_state"))).alias("_c"))

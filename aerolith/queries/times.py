@@ -80,7 +80,7 @@ s AS ({STATE_CASE.format(extra='h,')} FROM x GROUP BY feature_id, h)"""
 
 
 def _grid(spark, sf):
-    rows = H.time_grid(schedule_entries(spark, sf), "2026-10-07 00:00:00", "2026-10-08 23:00:00", 60)
+    rows = H.time_grid(schedule_entries(spark, sf), "2026-10-07 00:00:00", "2026-10-08 23:00:00", 60, by=["feature_id", "entry_no"])
     return H.state_at(rows, ["feature_id", "at"], F.col("at"))
 
 
