@@ -237,20 +237,49 @@ def clearance_severity(clearance, required) -> Column:
     return F.when(c < 0, "error").when(c < moc, "warning").when(c < 1.5 * moc, "caution")
 
 
+BAND_LEGS, BAND_STEP = 1000, 8  # legs in the lowest band of altitudes, at least; how much each further band holds more
+
+
 def obstacle_leg_clearance(obstacles: DataFrame, legs: DataFrame, key: str = "obstacle_id", leg_key: str = "leg_id", nm: float = 1.0,
-                           cell_nm: float | None = None) -> DataFrame:
+                           cell_nm: float | None = None, band_legs: int = BAND_LEGS) -> DataFrame:
     """Worst leg within 1 NM of each obstacle: leg altitude minus top, with severity.
 
-    ``obstacles``: key, lon, lat, elev_m; ``legs`` (segments): leg_key, alt_m, moc_m, lon1, lat1, lon2, lat2.
+    ``obstacles``: key, lon, lat, elev_m; ``legs`` (segments): leg_key, alt_m, moc_m, lon1, lat1, lon2, lat2. The lowest
+    legs go first, in bands of altitude; an obstacle leaves when no higher leg can be worse for it, so where many legs
+    pass it meets only the lowest of them.
     """
-    usable = legs.filter(F.col("alt_m").isNotNull())
-    hits = near_path(obstacles.filter(F.col("elev_m").isNotNull()).select(key, "lon", "lat", "elev_m"), usable, nm, [leg_key, "alt_m", "moc_m"], cell_nm=cell_nm)
-    per_leg = hits.groupBy(key, leg_key).agg(
-        F.min("distance_nm").alias("distance_nm"), F.any_value(F.col("alt_m") - F.col("elev_m")).alias("clearance_m"),
-        F.any_value("moc_m").alias("moc_m"),
-    ).withColumn("severity", clearance_severity("clearance_m", "moc_m")).filter(F.col("severity").isNotNull())
-    worst = per_leg.groupBy(key).agg(F.min(F.struct("clearance_m", leg_key, "distance_nm", "severity")).alias("_w"))
-    return worst.select(key, "_w.*")
+    points = obstacles.filter(F.col("elev_m").isNotNull()).select(key, "lon", "lat", "elev_m")
+    # a clearance from this on is no finding, so legs this far above the highest obstacle meet none
+    limit = F.greatest(F.lit(0.0), F.col("moc_m"), 1.5 * F.col("moc_m"))
+    top = points.agg(F.max("elev_m").alias("t"))
+    usable = legs.filter(F.col("alt_m").isNotNull()).join(F.broadcast(top)).filter(F.col("alt_m") - F.col("t") <= limit)
+    usable = cut_lineage(usable.select(leg_key, "alt_m", "moc_m", "lon1", "lat1", "lon2", "lat2"))
+    n, most = usable.agg(F.count(F.lit(1)), F.max(limit)).first()
+    shares = []
+    while n * BAND_STEP ** -(len(shares) + 1) >= band_legs:
+        shares.insert(0, float(BAND_STEP) ** -(len(shares) + 1))
+    tops = usable.agg(F.percentile_approx("alt_m", shares, 10000)).first()[0] if shares else []
+    found: DataFrame | None = None
+    low: float | None = None
+    for high in [*dict.fromkeys(tops), None]:
+        band = usable if low is None else usable.filter(F.col("alt_m") > low)
+        band = band if high is None else band.filter(F.col("alt_m") <= high)
+        hits = near_path(points, band, nm, [leg_key, "alt_m", "moc_m"], cell_nm=cell_nm)
+        per_leg = hits.filter(clearance_severity(F.col("alt_m") - F.col("elev_m"), "moc_m").isNotNull()).groupBy(key, leg_key).agg(
+            F.min("distance_nm").alias("distance_nm"), F.any_value(F.col("alt_m") - F.col("elev_m")).alias("clearance_m"),
+            F.any_value("moc_m").alias("moc_m"),
+        ).withColumn("severity", clearance_severity("clearance_m", "moc_m"))
+        worst = per_leg.groupBy(key).agg(F.min(F.struct("clearance_m", leg_key, "distance_nm", "severity")).alias("_w"))
+        if high is None:
+            found = worst if found is None else found.unionByName(worst)
+            break
+        worst = cut_lineage(worst)
+        found = worst if found is None else found.unionByName(worst)
+        next_up = F.lit(high) - F.col("elev_m")  # higher legs clear the obstacle by at least that
+        open_ = points.join(worst.select(F.col(key).alias("_k"), F.col("_w.clearance_m").alias("_c")), F.col(key).eqNullSafe(F.col("_k")), "left")
+        points = cut_lineage(open_.filter((F.col("_c").isNull() | (next_up <= F.col("_c"))) & (next_up <= F.lit(most))).select(*points.columns))
+        low = high
+    return found.groupBy(key).agg(F.min("_w").alias("_w")).select(key, "_w.*")
 
 
 def highest_in_rings(sites: DataFrame, cells: DataFrame, rings: Sequence[float], site_key: str, elev: str = "elev") -> DataFrame:
