@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.units import number
 from ..functions.words import lookup
+from ..session import cut_lineage
 from ..sources.osm import Extract
 from .polygons import point_in_polygon, ring_edges
 
@@ -38,12 +40,27 @@ def stitched(members: DataFrame, vertices: DataFrame) -> DataFrame:
     role = F.when(F.col("role") == "inner", "inner").otherwise("outer")
     at = lambda c: F.concat_ws(" ", F.col(f"{c}.lon").cast("string"), F.col(f"{c}.lat").cast("string"))
     rows = ends.select("id", role.alias("role"), "seq", "way", at("first").alias("a"), at("last").alias("b"))
-    return rows.groupBy("id", "role").applyInPandas(_rings, "id string, role string, ring int, nth int, way string, backwards boolean")
+    # relations are many and small: a task reads its own one after the other, a call of the function for each would cost more
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "role")
+    return dealt.sortWithinPartitions("id", "role", F.asc_nulls_last("seq"), "way").mapInPandas(_relations, "id string, role string, ring int, nth int, way string, backwards boolean")
 
 
-def _rings(ways: pd.DataFrame) -> pd.DataFrame:
-    ways = ways.sort_values(["seq", "way"])
-    rows = list(ways[["way", "a", "b"]].itertuples(index=False, name=None))
+def _relations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = (r for batch in batches for r in batch[["id", "role", "way", "a", "b"]].itertuples(index=False, name=None))
+    out: list[tuple] = []
+    for (relation, role), ways in groupby(rows, key=lambda r: r[:2]):
+        out += [(relation, role, *found) for found in _rings([w[2:] for w in ways])]
+        if len(out) >= 10000:
+            yield pd.DataFrame(out, columns=RING_COLUMNS)
+            out = []
+    yield pd.DataFrame(out, columns=RING_COLUMNS)
+
+
+RING_COLUMNS = ["id", "role", "ring", "nth", "way", "backwards"]
+
+
+def _rings(rows: list[tuple]) -> list[tuple]:
+    """(ring, nth, way, backwards) of the ways (way, first, last) of one relation and role."""
     at: dict[str, list[int]] = {}
     for k, (_, a, b) in enumerate(rows):
         at.setdefault(a, []).append(k)
@@ -68,10 +85,7 @@ def _rings(ways: pd.DataFrame) -> pd.DataFrame:
         if end == begin:
             out += [(ring, nth, rows[j][0], back) for nth, (j, back) in enumerate(chain)]
             ring += 1
-    found = pd.DataFrame(out, columns=["ring", "nth", "way", "backwards"])
-    found.insert(0, "role", ways["role"].iloc[0])
-    found.insert(0, "id", ways["id"].iloc[0])
-    return found
+    return out
 
 
 def ring_vertices(rings: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -81,16 +95,17 @@ def ring_vertices(rings: DataFrame, vertices: DataFrame) -> DataFrame:
     numbered = v.join(v.groupBy("way").agg(F.sort_array(F.collect_list("seq")).alias("_s")), "way").withColumn("_i", F.array_position("_s", F.col("seq")).cast("int") - 1)
     rows = rings.join(numbered, "way").join(ends, "way")
     order = F.when(F.col("backwards"), F.col("n") - 1 - F.col("_i")).otherwise(F.col("_i"))
-    return rows.withColumn("seq", order.cast("int")).where("nth = 0 or seq > 0").select("id", "role", "ring", "nth", "seq", "lon", "lat")
+    # written once: whoever looks for holes reads the vertices several times
+    return cut_lineage(rows.withColumn("seq", order.cast("int")).where("nth = 0 or seq > 0").select("id", "role", "ring", "nth", "seq", "lon", "lat"))
 
 
 def holes(vertices: DataFrame) -> DataFrame:
     """The outer ring each inner ring lies in: id, ring (inner), outer; found by the inner ring's first vertex."""
     flat = vertices.withColumn("_seq", F.struct("nth", "seq"))
     outer = flat.where("role = 'outer'").select("id", "ring", (F.col("nth") * 4096 + F.col("seq")).alias("seq"), "lon", "lat")
-    inner = flat.where("role = 'inner'").groupBy("id", "ring").agg(F.min_by(F.struct("lon", "lat"), "_seq").alias("p")).select(F.concat_ws("/", "id", "ring").alias("hole"), F.col("id").alias("of"), F.col("ring").alias("inner_ring"), "p.lon", "p.lat")
-    hits = point_in_polygon(inner, ring_edges(outer, ["id", "ring"]), ["id", "ring"], "hole")
-    return hits.join(inner.select("hole", "of", "inner_ring"), "hole").where("id = of").select("id", F.col("inner_ring").alias("ring"), F.col("ring").alias("outer"))
+    inner = flat.where("role = 'inner'").groupBy("id", "ring").agg(F.min_by(F.struct("lon", "lat"), "_seq").alias("p")).select(F.struct(F.col("ring").alias("inner"), "id").alias("hole"), "id", "p.lon", "p.lat")
+    hits = point_in_polygon(inner, ring_edges(outer, ["id", "ring"]), ["id", "ring"], "hole", shared=["id"])
+    return hits.select("id", F.col("hole.inner").alias("ring"), F.col("ring").alias("outer"))
 
 
 def shapes(osm: Extract) -> DataFrame:
