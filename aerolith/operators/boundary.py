@@ -47,6 +47,8 @@ def arc_points(arcs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     far = F.col("end_radius_nm") if "end_radius_nm" in arcs.columns else F.col("radius_nm")
     rows = arcs.select(*keys, "lon", "lat", "radius_nm", far.alias("_far"), "from_deg", "clockwise", sweep(F.col("from_deg"), F.col("to_deg"), F.col("clockwise")).alias("_sweep"))
+    # a few arcs become many vertices: they are dealt out before that, not in the few tasks their own size asks for
+    rows = rows.repartition(int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lon", "lat", "radius_nm", "from_deg", "_sweep")
     rows = rows.withColumn("_n", arc_steps(F.greatest("radius_nm", "_far"), F.col("_sweep"))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("_n"))))
     share = F.col("k") / F.col("_n")
     turn = F.when(F.col("clockwise"), F.col("_sweep")).otherwise(-F.col("_sweep")) * share
