@@ -79,17 +79,41 @@ def dest_lon(lon, lat, bearing_deg, distance, radius: float = R_NM) -> Column:
     return wrap180(col(lon) + F.degrees(F.atan2(F.sin(b) * F.sin(d) * F.cos(p), F.cos(d) - F.sin(p) * sin_p2)))
 
 
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def dest_places(lon, lat, bearings: Column, distance) -> Column:
+    """ARRAY<STRUCT<lon, lat>> of the destinations at an array of bearings; what is the same for all is worked out once."""
+    p, d = F.radians(col(lat)), col(distance) / R_NM
+    facts = F.struct(
+        col(lon).alias("lon"), F.sin(p).alias("sp"), F.cos(p).alias("cp"), F.sin(d).alias("sd"), F.cos(d).alias("cd"), (col(lat).isNotNull() & col(distance).isNotNull()).alias("known")
+    )
+
+    def place(f: Column, deg: Column) -> Column:
+        b = F.radians(deg)
+        z = F.struct(F.sin(b).alias("sb"), (f["sp"] * f["cd"] + f["cp"] * f["sd"] * F.cos(b)).alias("z"), (f["known"] & deg.isNotNull()).alias("known"))
+        return _once(z, lambda g: F.named_struct(
+            F.lit("lon"), wrap180(f["lon"] + F.degrees(F.atan2(g["sb"] * f["sd"] * f["cp"], f["cd"] - f["sp"] * g["z"]))),
+            F.lit("lat"), F.when(g["known"], F.degrees(F.asin(_bounded(g["z"])))),
+        ))
+
+    return _once(facts, lambda f: F.transform(bearings, lambda deg: place(f, deg)))
+
+
 def arc_between(centre: Column, start: Column, end: Column, clockwise: Column, step: float = 5.0) -> Column:
     """Vertices (lon, lat) between two points of an arc round a centre with the radius of the first; the points themselves
     are not among them."""
     at = lambda p: (p["lon"], p["lat"])
-    b0, b1 = bearing(*at(centre), *at(start)), bearing(*at(centre), *at(end))
-    swept = F.when(clockwise, fmod360(b1 - b0)).otherwise(-fmod360(b0 - b1))
-    n = F.greatest(F.lit(2), F.ceil(F.abs(swept) / step).cast("int"))
-    r = distance_nm(*at(centre), *at(start))
-    return F.transform(
-        F.sequence(F.lit(1), n - 1), lambda i: F.named_struct(F.lit("lon"), dest_lon(*at(centre), b0 + swept * i / n, r), F.lit("lat"), dest_lat(centre["lat"], b0 + swept * i / n, r))
-    )
+    ends = F.struct(bearing(*at(centre), *at(start)).alias("b0"), bearing(*at(centre), *at(end)).alias("b1"))
+
+    def turned(e: Column) -> Column:
+        swept = F.when(clockwise, fmod360(e["b1"] - e["b0"])).otherwise(-fmod360(e["b0"] - e["b1"]))
+        return F.struct(e["b0"].alias("b0"), swept.alias("swept"), F.greatest(F.lit(2), F.ceil(F.abs(swept) / step).cast("int")).alias("n"))
+
+    bearings = _once(ends, lambda e: _once(turned(e), lambda t: F.transform(F.sequence(F.lit(1), t["n"] - 1), lambda i: t["b0"] + t["swept"] * i / t["n"])))
+    return dest_places(*at(centre), bearings, distance_nm(*at(centre), *at(start)))
 
 
 def cross_track(lon1, lat1, lon2, lat2, lon, lat) -> Column:

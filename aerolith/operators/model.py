@@ -15,6 +15,7 @@ from ..functions.geo import arc_between, bearing, col, dest_lat, dest_lon
 from ..functions.words import let, lookup
 from .ordered import top_k_per_key
 from .refs import resolve_refs
+from .stage import settle
 
 # The property that holds the position of a type (others: location), and equipment a navaid lists.
 POSITION_PROPERTY = {"AirportHeliport": "ARP", "RunwayDirection": "_thr", "Unit": "position", "VerticalStructure": "part"}
@@ -140,41 +141,48 @@ def procedure_paths(legs: DataFrame, proc: str = "proc_id") -> DataFrame:
     order; procedures are spread over the tasks.
     """
     leg = F.struct("seq", "leg_id", F.coalesce("transition", F.lit("")).alias("tr"), F.upper(F.coalesce("leg_type", F.lit(""))).alias("type"), "start", "end", "centre", "clockwise", "course", "length_nm", "trajectory")
-    rows = legs.groupBy(proc).agg(F.sort_array(F.collect_list(leg)).alias("_legs"), F.min("origin").alias("_origin"))
-    found = "array<struct<seq: int, leg_id: string, way: string, path: array<struct<lon: double, lat: double>>>>"
-    state = F.struct(F.col("_origin").cast(_POINT).alias("at"), F.lit(None).cast("string").alias("tr"), F.array().cast(found).alias("out"))
+    # legs are small and cost much: they are dealt out by number, not by size
+    dealt = legs.repartition(int(legs.sparkSession.conf.get("spark.sql.shuffle.partitions")), proc)
+    rows = dealt.groupBy(proc).agg(F.sort_array(F.collect_list(leg)).alias("_legs"), F.min("origin").alias("_origin"))
+    state = F.struct(F.col("_origin").cast(_POINT).alias("at"), F.lit(None).cast("string").alias("tr"), F.array().cast(_LINE).alias("out"))
+    known = lambda *points: F.concat(*[p[c].cast("string") for p in points for c in ("lon", "lat")]).isNotNull()
+
+    def way_of(x: Column, a: Column, b: Column) -> Column:
+        both = a.isNotNull() & b.isNotNull()
+        return (
+            F.when(F.size(F.coalesce(x["trajectory"], F.array().cast(_LINE))) > 1, "trajectory").when(both & x["type"].isin(*ARC_LEGS) & x["centre"].isNotNull(), "arc").when(both, "line")
+            .when(a.isNotNull() & x["course"].isNotNull(), "course")
+        )
+
+    def ahead(x: Column, a: Column) -> Column:
+        far = F.least(F.coalesce(F.nullif(x["length_nm"], F.lit(0.0)), F.lit(COURSE_NM)), F.lit(COURSE_MOST_NM))
+        return F.struct(dest_lon(a["lon"], a["lat"], x["course"], far).alias("lon"), dest_lat(a["lat"], x["course"], far).alias("lat")).cast(_POINT)
 
     def step(acc: Column, x: Column) -> Column:
+        """Only where a leg begins is folded; it is drawn after that, leg by leg."""
         again = (F.coalesce(acc["tr"], F.lit("")) != "") & (acc["tr"] != x["tr"]) & (x["tr"] != "")
         before = F.when(again, F.col("_origin").cast(_POINT)).otherwise(acc["at"])
-        return let(F.struct(F.coalesce(x["start"], before).alias("a"), x["end"].alias("b"), before.alias("before")), lambda p: ended(acc, x, p["a"], p["b"], p["before"]))
+        return let(F.struct(before.alias("before"), F.coalesce(x["start"], before).cast(_POINT).alias("a")), lambda p: ended(acc, x, p["a"], x["end"], p["before"]))
 
     def ended(acc: Column, x: Column, a: Column, b: Column, before: Column) -> Column:
-        c, both = x["centre"], a.isNotNull() & b.isNotNull()
-        right = F.pmod(bearing(c["lon"], c["lat"], b["lon"], b["lat"]) - bearing(c["lon"], c["lat"], a["lon"], a["lat"]), F.lit(360.0)) <= 180
-        far = F.least(F.coalesce(F.nullif(x["length_nm"], F.lit(0.0)), F.lit(COURSE_NM)), F.lit(COURSE_MOST_NM))
-        ahead = F.struct(dest_lon(a["lon"], a["lat"], x["course"], far).alias("lon"), dest_lat(a["lat"], x["course"], far).alias("lat"))
-        way = (
-            F.when(F.size(F.coalesce(x["trajectory"], F.array().cast(_LINE))) > 1, "trajectory").when(both & x["type"].isin(*ARC_LEGS) & c.isNotNull(), "arc").when(both, "line")
-            .when(a.isNotNull() & x["course"].isNotNull(), "course")
+        w = way_of(x, a, b)
+        at = (
+            F.when(w.isNull(), F.coalesce(b, F.when(x["type"] == "IF", a), before)).when(w == "trajectory", F.element_at(x["trajectory"], -1))
+            .when(w == "arc", F.when(known(a, b, x["centre"]), b)).when(w == "line", b).otherwise(ahead(x, a))
         )
-
-        def drawn(w: Column) -> Column:
-            path = (
-                F.when(w == "trajectory", x["trajectory"]).when(w == "arc", F.concat(F.array(a), arc_between(c, a, b, F.coalesce(x["clockwise"], right)), F.array(b)))
-                .when(w == "line", F.array(a, b)).when(w == "course", F.array(a, ahead))
-            ).cast(_LINE)
-            return let(path, lambda line: moved(w, line))
-
-        def moved(w: Column, line: Column) -> Column:
-            fix = F.coalesce(b, F.when(x["type"] == "IF", a))
-            at = F.when(w.isNotNull(), F.element_at(line, -1)).otherwise(F.coalesce(fix, before))
-            one = F.struct(x["seq"].cast("int").alias("seq"), x["leg_id"].cast("string").alias("leg_id"), w.alias("way"), line.alias("path"))
-            return F.struct(at.cast(_POINT).alias("at"), x["tr"].alias("tr"), F.when(w.isNotNull(), F.concat(acc["out"], F.array(one).cast(found))).otherwise(acc["out"]).alias("out"))
-
-        return let(way, drawn)
-
-    return rows.select(proc, F.explode(F.aggregate("_legs", state, step, lambda acc: acc["out"])).alias("o")).select(proc, "o.*")
+        return F.struct(at.cast(_POINT).alias("at"), x["tr"].alias("tr"), F.concat(acc["out"], F.array(before.cast(_POINT)).cast(_LINE)).alias("out"))
+
+    begun = settle(rows, _before=F.aggregate("_legs", state, step, lambda acc: acc["out"]))
+    drawn = begun.select(proc, F.explode(F.transform("_legs", lambda x, i: F.struct(x.alias("x"), F.get("_before", i).alias("before")))).alias("l")).select(proc, "l.x", F.coalesce("l.x.start", "l.before").cast(_POINT).alias("_a"))
+    x, a, b, c = F.col("x"), F.col("_a"), F.col("x.end"), F.col("x.centre")
+    drawn = settle(drawn, way=way_of(x, a, b)).filter(F.col("way").isNotNull())
+    right = F.pmod(bearing(c["lon"], c["lat"], b["lon"], b["lat"]) - bearing(c["lon"], c["lat"], a["lon"], a["lat"]), F.lit(360.0)) <= 180
+    w = F.col("way")
+    path = (
+        F.when(w == "trajectory", x["trajectory"].cast(_LINE)).when(w == "arc", F.concat(F.array(a), arc_between(c, a, b, F.coalesce(x["clockwise"], right)), F.array(b)).cast(_LINE))
+        .when(w == "line", F.array(a, b).cast(_LINE)).otherwise(F.array(a, ahead(x, a)).cast(_LINE))
+    )
+    return settle(drawn.select(proc, F.col("x.seq").cast("int").alias("seq"), F.col("x.leg_id").cast("string").alias("leg_id"), "way", "x", "_a"), path=path).drop("x", "_a")
 
 
 # The kinds of declared distance.
