@@ -28,6 +28,13 @@ def wrap180(x: Column) -> Column:
     return F.pmod(x + 180.0, F.lit(360.0)) - 180.0
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """As F.round of a double, which goes through text: that way only close to a tie, where the other one may differ."""
+    y = x * float(10**digits)
+    whole = F.rint(y)
+    return F.when((F.abs(y - whole) < 0.4999) & (F.abs(y) < 1e9), whole / float(10**digits) + 0.0).otherwise(F.round(x, digits))
+
+
 def _bounded(x: Column) -> Column:
     """x kept within -1 .. 1. It skips nulls, so the callers look at their inputs (_known)."""
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))

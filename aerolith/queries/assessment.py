@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.geo import rounded
 from ..operators import polygons as P
 from ..plans import route as R
 from ..plans import runway as W
@@ -68,7 +69,7 @@ takeoff AS (SELECT *, g IS NOT NULL AND g > coalesce(max(g) OVER (PARTITION BY e
   round(net, 4) AS net_clearance, net_ok, round(pdg, 7) AS pdg, close_in, charted FROM takeoff""")
 def _(spark, sf):
     t = W.takeoff(obstacles(spark, sf), takeoff_ends(spark, sf))
-    r = lambda c, n: F.round(c, n).alias(c)
+    r = lambda c, n: rounded(F.col(c), n).alias(c)
     return t.select("end_id", "obstacle_id", r("s", 2), r("x", 2), r("type_a_pen", 4), r("required_gradient", 7), r("net_clearance", 4), "net_ok", r("pdg", 7), "close_in", "charted")
 
 
@@ -101,7 +102,7 @@ app AS (SELECT *, h - allowed AS pen, 15 + s * tan(radians(3.0)) - h AS glide, C
   round(vpen, 4) AS visual_pen, round(displacement, 2) AS displacement FROM app""")
 def _(spark, sf):
     a = W.approach(obstacles(spark, sf), approach_ends(spark, sf))
-    r = lambda c, n: F.round(c, n).alias(c)
+    r = lambda c, n: rounded(F.col(c), n).alias(c)
     return a.select("end_id", "obstacle_id", r("s", 2), r("x", 2), r("allowed", 4), r("pen", 4), r("glide_clearance", 4), r("visual_pen", 4), r("displacement", 2))
 
 
