@@ -25,7 +25,7 @@ def _of_words(text, body) -> Column:
 
 def limit_in_text_m(text) -> Column:
     """Metres of a limit such as GND, FL150, 3000FT AMSL, 450 M AGL, UNL; a bare number is feet, other texts are null."""
-    return _of_words(text, _metres)
+    return _of_words(text, _metres).alias("limit_m")  # else its name is the whole expression
 
 
 def _metres(w: Column) -> Column:
@@ -38,7 +38,7 @@ def _metres(w: Column) -> Column:
 
 def limit_in_text_reference(text) -> Column:
     """SFC, MSL or STD: what a limit counts from; a number that names nothing counts from the sea."""
-    return _of_words(text, _reference)
+    return _of_words(text, _reference).alias("limit_reference")
 
 
 def _reference(w: Column) -> Column:
